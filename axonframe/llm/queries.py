@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import chunk_dedup, packing, token_orc
+from axonframe.llm import chunk_dedup, packing, simhash, token_orc
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +23,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_docs(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_chunk_dedup, op5_best_fit_packing)}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_docs(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_chunk_dedup, op5_best_fit_packing, op8_simhash)}
 
 ORACLE_SQL = {
     "op2_chunk_dedup": """
