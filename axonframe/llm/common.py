@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import itertools
 import tempfile
 import uuid
 
@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 #: Bytes of text that one vectorised step handles at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 #: Entries of a Python worker's word cache; it is emptied beyond this.
-CACHE_WORDS = 900_000
+CACHE_WORDS = 1_200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -77,47 +77,73 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), counts[offsets]
 
 
-_TAIL = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]+)")
-_state: dict = {}
+#: A word of letters and digits with a run of ASCII punctuation behind it.
+_TAILED = r"^(?P<stem>[\pL\pN]+)(?P<tail>[!-/:-@\[-`{-~]+)$"
 
 
-def _word_ids(path: str, words: list[str]) -> list[np.ndarray]:
-    """Each word's ids. White space never joins two words' ids, nor does a run of punctuation that ends a word of letters."""
-    from tokenizers import Tokenizer
+class WordIds:
+    """Ids of words, kept for later batches of the same Python worker: all ids lie in one array, a part of a word is a number.
 
-    if _state.get("path") != path:
-        _state.update(path=path, tokenizer=Tokenizer.from_file(path), cache={})
-    cache, tokenizer = _state["cache"], _state["tokenizer"]
-    if len(cache) > CACHE_WORDS:
-        cache.clear()
-    parts = []
-    for w in words:
-        if w.isascii():
-            w = w.lower()
-        m = _TAIL.fullmatch(w)
-        parts.append(m.groups() if m else (w,))
-    new = list({p for ps in parts for p in ps if p not in cache})
-    known = cache
-    if new:
-        got = (np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(new, add_special_tokens=False))
-        known = cache | dict(zip(new, got)) if len(new) > CACHE_WORDS else cache
-        if known is cache:
-            cache.update(zip(new, got))
-    return [known[ps[0]] if len(ps) == 1 else np.concatenate([known[p] for p in ps]) for ps in parts]
+    White space never joins two words' ids, nor does a run of punctuation that ends a word of letters and digits, so
+    that stems and tails are encoded apart, once each.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.parts: dict[str, int] = {"": 0}
+        self.size, self.start, self.pool = np.zeros(1, np.int32), np.zeros(1, np.int64), np.empty(0, np.int32)
+
+    def _numbers(self, parts: pa.Array) -> np.ndarray:
+        coded = parts.dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        known = self.parts
+        if new := [w for w in words if w not in known]:
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            size = np.fromiter(map(len, got), np.int32, len(got))
+            known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
+            self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size, dtype=np.int64) - size])
+            self.size = np.concatenate([self.size, size])
+            self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(size.sum()))])
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+
+    def runs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, one after the other, and where each word's end (a zero first)."""
+        if len(self.parts) > CACHE_WORDS:
+            self.clear()
+        lower = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
+        split = pc.extract_regex(lower, _TAILED)
+        stem, tail = pc.coalesce(pc.struct_field(split, "stem"), lower), pc.coalesce(pc.struct_field(split, "tail"), "")
+        both = np.column_stack([self._numbers(stem), self._numbers(tail)]).ravel()
+        ids, ends = gather(self.pool, self.start[both], self.size[both])
+        return ids, ends[::2]
+
+
+def gather(pool: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs pool[start : start + size], one after the other, and where each ends (a zero first)."""
+    ends = np.zeros(len(size) + 1, np.int64)
+    np.cumsum(size, out=ends[1:])
+    place = np.repeat((start - ends[:-1]).astype(np.int32), size)
+    place += np.arange(ends[-1], dtype=np.int32)
+    return pool[place], ends
+
+
+_cached: list[WordIds] = []
 
 
 def encode_words(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """The ids of whole texts, one after the other, and each text's first place among them (one more at the end)."""
+    if not _cached or _cached[0].path != path:
+        _cached[:] = [WordIds(path)]
     words, first = split_words(texts)
     coded = words.dictionary_encode()
+    pool, ends = _cached[0].runs(coded.dictionary)
     code = coded.indices.to_numpy()
-    each = _word_ids(path, coded.dictionary.to_pylist())
-    size = np.fromiter(map(len, each), np.int64, len(each))
-    start = np.cumsum(size) - size
-    pool = np.concatenate(each) if each else np.empty(0, np.int32)
-    n = size[code]
-    ends = np.concatenate([[0], np.cumsum(n)])
-    ids = pool[np.arange(ends[-1]) - np.repeat(ends[:-1] - start[code], n)]
+    ids, ends = gather(pool, ends[:-1][code], np.diff(ends)[code])
     return ids, ends[first]
 
 
