@@ -158,8 +158,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, id_col:
     """Trees learned from labels.quality of rows outside the held-out fold, at most `most` of them; no row: a constant of one half."""
     sample = F.broadcast(sampled_labels(labels, "quality", FOLDS, HELD_OUT_FOLD, most))
     rows = texts_of(docs, id_col, text_col).join(sample, F.col("doc_id") == F.col("label_id"))
-    learned = rows.select("y", "text").mapInArrow(_vectors_with_label, "y double, x array<double>").orderBy("y", "x").toPandas()
-    return fit_trees(np.array(learned["x"].tolist()).reshape(-1, len(FEATURES)), learned["y"].to_numpy(float))
+    learned = rows.select("y", "text").mapInArrow(_vectors_with_label, "y double, x array<double>").toPandas()
+    return fit_trees(*in_order(learned, len(FEATURES)))
+
+
+def in_order(learned, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """x and y of the sample in one order, however its rows came in."""
+    x, y = np.array(learned["x"].tolist()).reshape(-1, width), learned["y"].to_numpy(float)
+    order = np.lexsort(np.column_stack([x, y]).T)
+    return x[order], y[order]
 
 
 def _vectors_with_label(batches):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import chunk_dedup, packing, quality, secrets, simhash, substring, token_orc, toxicity
+from axonframe.llm import chunk_dedup, hnsw, packing, quality, secrets, simhash, substring, token_orc, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +43,11 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(_docs(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_chunk_dedup, op3_quality, op4_suffix_trees, op5_best_fit_packing, op6_secrets, op8_simhash, op9_toxicity)}
+def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_chunk_dedup, op3_quality, op4_suffix_trees, op5_best_fit_packing, op6_secrets, op8_simhash, op9_toxicity, op10_hnsw)}
 
 ORACLE_SQL = {
     "op2_chunk_dedup": """

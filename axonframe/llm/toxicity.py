@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.llm.common import slices, split_words, texts_of
-from axonframe.llm.quality import held_out, sampled_labels
+from axonframe.llm.quality import held_out, in_order, sampled_labels
 
 #: Labelled rows to learn from at most (those with the least hashes of their ids).
 MAX_TRAIN_ROWS = 40_000
@@ -146,9 +146,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, id_col:
     x, y = [np.empty((0, 4))], [np.empty(0)]
     for half in (True, False):
         lexicon = learn_lexicon(rows.where(F.col("half") == half).select("y", "text"))
-        seen = rows.where(F.col("half") != half).select("y", "text").mapInArrow(_measure_rows(lexicon), "y double, x array<double>").orderBy("y", "x").toPandas()
-        x.append(np.array(seen["x"].tolist()).reshape(-1, 4))
-        y.append(seen["y"].to_numpy(float))
+        seen = rows.where(F.col("half") != half).select("y", "text").mapInArrow(_measure_rows(lexicon), "y double, x array<double>").toPandas()
+        for held, part in zip((x, y), in_order(seen, 4)):
+            held.append(part)
     return learn_lexicon(rows.select("y", "text")), fit_logistic(np.concatenate(x), np.concatenate(y))
 
 
