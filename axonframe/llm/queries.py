@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from axonframe.llm import chunk_dedup, hnsw, packing, quality, secrets, simhash, substring, token_orc, toxicity
+from axonframe.llm import chunk_dedup, hnsw, packing, quality, secrets, sentencepiece_codec, simhash, substring, token_orc, toxicity
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.find_secrets(_docs(spark, sf_dir))
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_codec.round_trip(_docs(spark, sf_dir))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_docs(spark, sf_dir))
 
@@ -47,7 +52,7 @@ def op10_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hnsw.near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_orc, op2_chunk_dedup, op3_quality, op4_suffix_trees, op5_best_fit_packing, op6_secrets, op8_simhash, op9_toxicity, op10_hnsw)}
+QUERIES = {f.__name__: f for f in (op1_token_orc, op2_chunk_dedup, op3_quality, op4_suffix_trees, op5_best_fit_packing, op6_secrets, op7_sentencepiece, op8_simhash, op9_toxicity, op10_hnsw)} | {"pipeline": corpus_pipeline.run}
 
 ORACLE_SQL = {
     "op2_chunk_dedup": """
