@@ -1,0 +1 @@
+"""Analytics over neuronal wiring data as Spark DataFrames."""
