@@ -5,17 +5,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from axonframe.functions.columns import is_finite, require_columns
 from axonframe.functions.coords import VOXEL_NM
 from axonframe.operators.versions import root_at
 
 
-def cell_keys(cell, prefix: str = "") -> list[Column]:
-    """Grid cell of a point, one column per axis."""
-    return [F.floor(F.col(prefix + a) / float(c)).cast("long").alias(f"c{a}") for a, c in zip("xyz", cell)]
-
-
 def points_to_segments(points: DataFrame, cells: DataFrame, cell=(1.0, 1.0, 1.0), raw: bool = False, voxel=VOXEL_NM, root: bool = True, history: DataFrame | None = None, at: Column | None = None, integer: bool = False) -> DataFrame:
     """points(x, y, z, ..) with segment_id: the supervoxel of the point's grid cell, or its root at a moment.
 
@@ -42,7 +38,8 @@ def lookup_service(points: DataFrame, fetch, chunksize: int = 2000) -> DataFrame
     Each partition sends chunks of at most chunksize points. A chunk that fails is sent again in halves until it cannot
     shrink; points that still fail keep "0". A partition of a single chunk lets its error through.
     """
-    schema = points.schema.add("segment_id", "string")
+    columns = points.columns
+    schema = StructType([*points.schema.fields, StructField("segment_id", StringType())])
 
     def halves(rows: list) -> list[str]:
         try:
@@ -54,7 +51,7 @@ def lookup_service(points: DataFrame, fetch, chunksize: int = 2000) -> DataFrame
             return halves(rows[:middle]) + halves(rows[middle:])
 
     def look(frames):
-        pdf = pd.concat(list(frames) or [pd.DataFrame(columns=points.columns)], ignore_index=True)
+        pdf = pd.concat(list(frames) or [pd.DataFrame(columns=columns)], ignore_index=True)
         rows = list(map(tuple, pdf[["x", "y", "z"]].to_numpy(float)))
         chunks = [rows[i : i + chunksize] for i in range(0, len(rows), chunksize)]
         ids = list(fetch(chunks[0])) if len(chunks) == 1 else [i for c in chunks for i in halves(c)]
