@@ -9,11 +9,11 @@ Phrases in which a term is harmless are exceptions: the automaton finds them too
 from __future__ import annotations
 
 import functools
-import re
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,20 +32,19 @@ HOMOGLYPHS = str.maketrans("абвгдеёіјкмнорстухѕԁɡιοαεν
 DIGITS = str.maketrans("0134578@$!|", "oieastbasii")
 #: Harmless phrases, folded.
 EXCEPTIONS = ("trash can", "trash bag", "trash bin", "clown fish", "circus clown", "sore loser", "pond scum", "soap scum", "useful idiot")
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_MIXED = re.compile(r"[^\W\d_].*[0-9@$!|]|[0-9@$!|].*[^\W\d_]")
+#: What is cut from both ends of a word.
+EDGES = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~“”‘’«»…–—¡¿"
+_OTHER_ALPHABET, _MIXED = r"[\p{Cyrillic}\p{Greek}]", r"\pL.*[0-9@$!|]|[0-9@$!|].*\pL"
 
 
-def fold(word: str) -> str:
-    """Lower case without outer punctuation; in a word with letters, look-alike letters, digits and signs become Latin letters."""
-    word = word.lower()
-    if not word.isascii():
-        if re.search("[a-z]", word) or not re.search("[à-ÿ]", word):
-            word = word.translate(HOMOGLYPHS)
-    if _MIXED.search(word):
-        inner = _EDGE.sub("", word).translate(DIGITS)
-        return _EDGE.sub("", inner)
-    return _EDGE.sub("", word)
+def fold(words: pa.Array) -> pa.Array:
+    """Lower case without outer punctuation; letters of other alphabets that look Latin, and digits and signs in a word with letters, become Latin letters."""
+    words = pc.utf8_trim(pc.utf8_lower(words), characters=EDGES)
+    for pattern, table in ((_OTHER_ALPHABET, HOMOGLYPHS), (_MIXED, DIGITS)):
+        mask = pc.match_substring_regex(words, pattern)
+        if pc.any(mask).as_py():
+            words = pc.replace_with_mask(words, mask, pa.array([w.translate(table) for w in words.filter(mask).to_pylist()], pa.string()))
+    return words
 
 
 @functools.lru_cache(200_000)
@@ -60,7 +59,7 @@ def _term_rows(batches):
         for part in slices(batch):
             words, first = split_words(part.column(1))
             coded = words.dictionary_encode()
-            folded = np.array([fold(w) for w in coded.dictionary.to_pylist()] or [""], object)
+            folded = np.array(fold(coded.dictionary).to_pylist() or [""], object)
             code = coded.indices.to_numpy()
             labels = part.column(0).to_numpy()
             ys, terms = [], []
@@ -94,12 +93,17 @@ def automaton(lexicon: dict[str, float]):
     return machine
 
 
-def measures(texts: pa.Array, lexicon: dict[str, float], machine) -> np.ndarray:
-    """Per text: log of weighted matches, weighted matches by root of length, weighted matches per hundred words, different terms."""
+def measures(texts: pa.Array, machine) -> np.ndarray:
+    """The different words of a batch are matched first, then whole texts that hold one of the words found. Per text: log of weighted matches, weighted matches by root of length, weighted matches per hundred words, different terms."""
     words, first = split_words(texts)
     coded = words.dictionary_encode()
-    folded = [fold(w) for w in coded.dictionary.to_pylist()]
-    hit = np.array([any(t in lexicon for t in terms_of(f)) for f in folded] or [False])
+    folded = fold(coded.dictionary)
+    hit = np.zeros(max(1, len(folded)), bool)
+    starts = np.cumsum(pc.utf8_length(folded).to_numpy(zero_copy_only=False) + 1)
+    line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(folded)], pa.int32()), folded), " ")[0].as_py() if len(folded) else ""
+    ends = [end - size + 1 for end, (term, _, size) in machine.iter(f" {line} ") if term]
+    hit[np.searchsorted(starts, ends, side="right")] = True
+    folded = folded.to_pylist() if hit.any() else []
     code = coded.indices.to_numpy()
     hits = np.concatenate([[0], np.cumsum(hit[code])]) if len(code) else np.zeros(1, np.int64)
     out = np.zeros((len(texts), 4))
@@ -132,7 +136,7 @@ def _measure_rows(lexicon):
         machine = automaton(lexicon)
         for batch in batches:
             for part in slices(batch):
-                x = measures(part.column(1), lexicon, machine)
+                x = measures(part.column(1), machine)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["y", "x"])
 
@@ -157,7 +161,7 @@ def _scorer(lexicon: dict[str, float], weights: np.ndarray):
         machine = automaton(lexicon)
         for batch in batches:
             for part in slices(batch):
-                x = measures(part.column(1), lexicon, machine)
+                x = measures(part.column(1), machine)
                 margin = np.clip(x @ weights[:-1] + weights[-1], -30, 30)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(1 / (1 + np.exp(-margin)))], ["doc_id", "score"])
 
