@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 WORD_BPE = "word_bpe_49k.json"
 PIECE_BPE = "piece_bpe_32k.model"
 #: Bytes of text that one vectorised step handles at once.
-SLICE_BYTES = 8 << 20
-#: Entries of a Python worker's word cache; it is emptied beyond this.
-CACHE_WORDS = 1_200_000
+SLICE_BYTES = 4 << 20
+#: Entries of a Python worker's word cache; beyond this, words met in one slice only are forgotten.
+CACHE_WORDS = 600_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -56,13 +56,14 @@ def as_arrow(column) -> pa.Array:
 
 def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES):
     """The batch in runs of rows of about `most` bytes of text; a longer text is a run of its own."""
-    ends = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(column))).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         base = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
         yield batch.slice(at, stop - at)
         at = stop
+    pa.default_memory_pool().release_unused()
 
 
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -92,11 +93,19 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
         self.parts: dict[str, int] = {"": 0}
         self.size, self.start, self.pool = np.zeros(1, np.int32), np.zeros(1, np.int64), np.empty(0, np.int32)
+        self.met = np.full(1, 2, np.int32)
+
+    def forget(self) -> None:
+        """Keeps the words that several slices held."""
+        stay = self.met > 1
+        stay[0] = True
+        new = np.cumsum(stay) - 1
+        self.parts = {w: int(new[n]) for w, n in self.parts.items() if stay[n]}
+        self.pool, ends = gather(self.pool, self.start[stay], self.size[stay])
+        self.start, self.size, self.met = ends[:-1].copy(), self.size[stay], np.minimum(self.met[stay], 4) // 2
+        self.met[0] = 2
 
     def _numbers(self, parts: pa.Array) -> np.ndarray:
         coded = parts.dictionary_encode()
@@ -108,13 +117,16 @@ class WordIds:
             known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size, dtype=np.int64) - size])
             self.size = np.concatenate([self.size, size])
+            self.met = np.concatenate([self.met, np.zeros(len(new), np.int32)])
             self.pool = np.concatenate([self.pool, np.fromiter(itertools.chain.from_iterable(got), np.int32, int(size.sum()))])
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy()]
+        number = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        self.met[number] += 1
+        return number[coded.indices.to_numpy()]
 
     def runs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of words, one after the other, and where each word's end (a zero first)."""
         if len(self.parts) > CACHE_WORDS:
-            self.clear()
+            self.forget()
         lower = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
         split = pc.extract_regex(lower, _TAILED)
         stem, tail = pc.coalesce(pc.struct_field(split, "stem"), lower), pc.coalesce(pc.struct_field(split, "tail"), "")
