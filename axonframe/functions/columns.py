@@ -34,6 +34,6 @@ def missing_id(c: Column) -> Column:
     return F.coalesce(c, F.lit(0)) == 0
 
 
-def add_centred(df: DataFrame, suffix: str, f) -> DataFrame:
+def map_suffix(df: DataFrame, suffix: str, f) -> DataFrame:
     """Applies f to every column whose name ends with suffix."""
     return df.withColumns({c: f(F.col(c)) for c in df.columns if c.endswith(suffix)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -64,6 +65,17 @@ def details_from_json(df: DataFrame, column: str = "json", fields: str = "timest
     return rows.select(key.alias("operation_id"), *[value(c).alias(c) for c in names])
 
 
+def fetch_operations(ids: DataFrame, fetch, chunksize: int = 50) -> DataFrame:
+    """Rows of details_from_json for ids(operation_id) from a remote service: each partition asks fetch(list of ids) for at most chunksize operations at a time, and gets a JSON object keyed by id."""
+
+    def ask(frames):
+        for pdf in frames:
+            wanted = pdf["operation_id"].astype(int).tolist()
+            yield pd.DataFrame({"json": [fetch(wanted[i : i + chunksize]) for i in range(0, len(wanted), chunksize)]})
+
+    return details_from_json(ids.select("operation_id").mapInPandas(ask, "json string"))
+
+
 def add_centroids(df: DataFrame) -> DataFrame:
     """Adds sink_x .. source_z; unchanged where a coordinate column is absent."""
     if not {"sink_coords", "source_coords"} <= set(df.columns):

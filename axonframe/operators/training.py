@@ -7,8 +7,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from axonframe.functions.columns import map_suffix
+from axonframe.functions.coords import parse_xyz
 from axonframe.functions.scoring import FEATURES, SomaModel, chunk_features
-from axonframe.operators.geometry import nearest_rows
+from axonframe.operators.geometry import Mesh, mesh_distance, nearest_rows, surface_label
+from axonframe.operators.lookup import points_to_segments
 
 QUANTILES = (0.05, 0.10, 0.25, 0.50, 0.75, 0.90, 0.95)
 
@@ -19,6 +22,21 @@ def positives(chunks: DataFrame, somata: DataFrame) -> DataFrame:
     return nearest_rows(somata, named, tie="l2_id").withColumnsRenamed({a: f"rep_coord_nm_{a}" for a in "xyz"})
 
 
+def hard_negatives(chunks: DataFrame, points: DataFrame, cells: DataFrame, cell=(1.0, 1.0, 1.0), history: DataFrame | None = None, at=None) -> DataFrame:
+    """The chunk nearest to each curated bad point(x, y, z raw) of the root that holds the point now; points in no segment are dropped."""
+    held = points_to_segments(points, cells, cell, raw=True, history=history, at=at, integer=True).where("segment_id <> 0")
+    targets = held.groupBy(F.col("segment_id").alias("root_id")).agg(F.min(F.struct("x", "y", "z")).alias("p")).select("root_id", *[F.col("p")[a].alias(f"p{a}") for a in "xyz"])
+    return positives(chunks, targets)
+
+
+def neuropil_distances(nuclei: DataFrame, mesh: Mesh, position: str = "pt_position") -> DataFrame:
+    """nuclei with dist_um (negative outside) and where (inside, outside, surface) of their positions; all *position columns as text."""
+    p = parse_xyz(F.col(position).cast("string"))
+    rows = mesh_distance(nuclei.select("*", *[p[a].alias(f"__{a}") for a in "xyz"]), mesh, "__", "__d").drop("__x", "__y", "__z")
+    out = rows.withColumns({"dist_um": F.col("__d") / 1000, "where": surface_label(F.col("__d"))}).drop("__d")
+    return map_suffix(out, "position", lambda c: c.cast("string"))
+
+
 def soft_negatives(chunks: DataFrame, per_root: int = 10, seed: int = 20260524) -> DataFrame:
     """Up to per_root chunks of each root, those with the least seeded hashes: the same rows on every run. This sample is the operator's purpose."""
     ranked = chunks.withColumn("__h", F.xxhash64("l2_id", F.lit(seed)))

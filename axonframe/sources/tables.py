@@ -22,6 +22,13 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None, **opti
     return (reader.schema(schema) if schema else reader).format(kind).load(path)
 
 
+def read_by_ids(table: DataFrame, ids: DataFrame, key: str = "root_id", columns: list[str] | None = None) -> DataFrame:
+    """Rows of a table (nuclei, chunk membership, chunk attributes, skeletons) whose key is among the ids; only the asked columns are read."""
+    wanted = ids.select(F.col(ids.columns[0]).alias("__id")).distinct()
+    rows = table.join(wanted, F.col(key) == F.col("__id"), "left_semi")
+    return rows.select(*columns) if columns else rows
+
+
 def list_tables(spark: SparkSession) -> DataFrame:
     """(name, kind) of the catalogue's tables and views."""
     return spark.createDataFrame([(t.name, t.tableType) for t in spark.catalog.listTables()], "name string, kind string")

@@ -299,3 +299,23 @@ def test_read_neurons(spark):
     assert tuples(neurons.fillna("none"), "ordinal", "root_id", "soma_source") == [(0, 1, "nucleus"), (1, 2, "none")]
     again, _ = skeleton.read_neurons(nodes.limit(0), ids, previous=nodes)
     assert again.count() == 5
+
+
+def test_training_points(spark):
+    mesh = box_mesh((0, 0, 0), (10_000, 10_000, 10_000))
+    nuc = spark.createDataFrame([(1, "5000,5000,1000"), (2, "5000,5000,-2000"), (3, None)], "id int, pt_position string")
+    assert tuples(training.neuropil_distances(nuc, mesh).fillna(0.0).fillna("none"), "id", "dist_um", "where") == [(1, 1.0, "inside"), (2, -2.0, "outside"), (3, 0.0, "none")]
+    chunks = spark.createDataFrame([(10, 1, 1.0, 1.0, 1.0), (10, 2, 5.0, 5.0, 5.0), (11, 3, 0.0, 0.0, 0.0)], "root_id long, l2_id long, rep_coord_nm_x double, rep_coord_nm_y double, rep_coord_nm_z double")
+    cells = spark.createDataFrame([(4, 4, 4, 10)], "cx long, cy long, cz long, supervoxel_id long")
+    points = spark.createDataFrame([(4.5, 4.5, 4.5), (900.0, 0.0, 0.0)], "x double, y double, z double")
+    assert tuples(training.hard_negatives(chunks, points, cells), "root_id", "l2_id") == [(10, 2)]
+
+
+def test_fetch_operations(spark):
+    ids = spark.range(1, 8).select(F.col("id").cast("int").alias("operation_id")).coalesce(1)
+
+    def fetch(wanted):
+        assert len(wanted) <= 3
+        return json.dumps({str(i): {"user": f"u{i}"} for i in wanted if i != 4})
+
+    assert tuples(edits.fetch_operations(ids, fetch, 3), "operation_id", "user") == [(i, f"u{i}") for i in (1, 2, 3, 5, 6, 7)]

@@ -44,6 +44,7 @@ def test_cached_and_formats(spark, tmp_path):
         df.write.option("header", True).format(end).save(path)
         assert sorted(map(tuple, tables.read_table(spark, path, "i int, s string").collect())) == [(1, "a"), (2, None)]
     assert tables.sql_over(spark, "SELECT count(*) AS n FROM {t}", t=df).first().n == 2
+    assert [tuple(r) for r in tables.read_by_ids(df, spark.createDataFrame([(2,), (2,), (9,)], "x int"), "i", ["s"]).collect()] == [(None,)]
     assert "kind" in tables.list_tables(spark).columns
 
 
