@@ -61,4 +61,21 @@ ORACLE_SQL = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op4_suffix_trees": r"""
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+             s AS (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35),
+             h AS (SELECT r, i, array_to_string(list_slice(w, i, i + 34), ' ') AS t FROM s),
+             again AS (SELECT r, i FROM h QUALIFY count(*) OVER (PARTITION BY t) > 1),
+             gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS j FROM again),
+             x AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+             k AS (SELECT x.r, string_agg(word, ' ' ORDER BY x.j) AS kept FROM x ANTI JOIN gone g ON g.r = x.r AND g.j = x.j GROUP BY 1),
+             n AS (SELECT r, count(*) AS n FROM gone GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k USING (r) LEFT JOIN n USING (r)""",
+    "op10_hnsw": """
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL),
+             l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+             r(id, reach) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON r.reach = l.a),
+             c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY 1), n AS (SELECT a, count(*) AS n FROM l GROUP BY 1)
+        SELECT id AS vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, id = component_id AS kept FROM c LEFT JOIN n ON n.a = c.id""",
 }
