@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonframe.functions.columns import missing_id, require_columns
+from axonframe.functions.shared import checkpointed
 from axonframe.operators.versions import root_at
 
 
@@ -49,8 +50,8 @@ def modal_width(df: DataFrame, column: str = "serial_id") -> DataFrame:
 
 
 def numbered(df: DataFrame, order: str, out: str = "__rank") -> DataFrame:
-    """Rows numbered from 1 in order, without one task for all: range partitions are counted, and each adds the rows before it."""
-    ranged = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id())
+    """Rows numbered from 1 in order, without one task for all: range partitions are counted, and each adds the rows before it. The ranges are written down first: made again, they could fall elsewhere."""
+    ranged = checkpointed(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__m", F.monotonically_increasing_id()))
     part = F.shiftright("__m", 33)
     sizes = ranged.groupBy(part.alias("__p")).agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("__p", F.coalesce(F.sum("n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))

@@ -5,11 +5,11 @@ from __future__ import annotations
 import hashlib
 import json
 import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axonframe.functions.shared import checkpointed
 from axonframe.operators.edits import new_missing, stored_columns, to_fetch
 
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc"}
@@ -59,14 +59,6 @@ def cached(spark: SparkSession, path: str, build, refresh: bool = False) -> Data
     return spark.read.parquet(path)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df, written to spark.checkpoint.dir (a temporary folder only where that is unset) and read again."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="axonframe-"))
-    return df.checkpoint()
-
-
 class OperationCache:
     """Fetched operations and ids known to be missing, as two Parquet folders that only grow; one cache per dataset."""
 
