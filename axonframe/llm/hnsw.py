@@ -141,7 +141,7 @@ def build(vectors: np.ndarray) -> list[np.ndarray]:
 
 
 def links(vectors: np.ndarray, graphs: list[np.ndarray], queries: np.ndarray, exact: np.ndarray, exact_queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs of cosine or more. Beams double where the last point is still a link, and for all until the audit's recall is reached or a beam holds all points."""
+    """(query, point) pairs of cosine or more. Beams double where the last point is still a link, and for all until the audit's recall is reached. Where a beam would hold an eighth of the points, plain comparison with all of them costs less and is exact."""
     n = len(vectors)
     audit = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
     truth = exact_queries[audit] @ exact.T >= cosine
@@ -150,13 +150,16 @@ def links(vectors: np.ndarray, graphs: list[np.ndarray], queries: np.ndarray, ex
         pairs = [np.empty((0, 2), np.int64)]
         for at in range(0, len(queries), BLOCK):
             rows = np.arange(at, min(at + BLOCK, len(queries)))
-            width = min(beam, n)
+            width = beam
             while len(rows):
+                if 8 * width >= n:
+                    pairs += [np.column_stack([part[r], c]) for part in np.array_split(rows, -(-len(rows) // 256)) for r, c in [np.nonzero(queries[part] @ vectors.T >= cosine - SLACK)]]
+                    break
                 found, sims = search(vectors, graphs[-1], queries[rows], descend(vectors, graphs[:-1], queries[rows], n), width)
-                full = (sims[:, -1] >= cosine - SLACK) & (width < n)
+                full = sims[:, -1] >= cosine - SLACK
                 r, c = np.nonzero((sims >= cosine - SLACK) & ~full[:, None])
                 pairs.append(np.column_stack([rows[r], found[r, c]]))
-                rows, width = rows[full], min(2 * width, n)
+                rows, width = rows[full], 2 * width
         q, p = np.concatenate(pairs).T
         good = np.einsum("kd,kd->k", exact_queries[q], exact[p]) >= cosine
         q, p = q[good], p[good]
@@ -164,7 +167,7 @@ def links(vectors: np.ndarray, graphs: list[np.ndarray], queries: np.ndarray, ex
         of = np.full(len(queries), -1)
         of[audit] = np.arange(len(audit))
         hit[of[q[of[q] >= 0]], p[of[q] >= 0]] = True
-        if beam >= n or (hit & truth).sum() >= RECALL * truth.sum():
+        if 8 * beam >= n or (hit & truth).sum() >= RECALL * truth.sum():
             return q, p
         beam *= 2
 

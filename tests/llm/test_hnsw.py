@@ -77,3 +77,14 @@ def test_graph_search_finds_neighbours():
     found, _ = hnsw.search(x, graphs[-1], x[:200], hnsw.descend(x, graphs[:-1], x[:200], len(x)), 64)
     truth = np.argsort(-(x[:200] @ x.T), axis=1)[:, :10]
     assert np.mean([len(set(f) & set(t)) / 10 for f, t in zip(found, truth)]) > 0.8
+
+
+def test_links_of_dense_groups():
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(30, 24))
+    x = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 24)) * rng.choice([0.05, 0.3, 2.0], (3000, 1))
+    near, exact = hnsw._unit(x)
+    q, p = hnsw.links(near, hnsw.build(near), near, exact, exact, 0.98)
+    truth = exact @ exact.T >= 0.98
+    assert truth[q, p].all() and len(set(zip(q.tolist(), p.tolist()))) == len(q)
+    assert len(q) >= 0.97 * truth.sum()
