@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -57,6 +59,30 @@ def root_points(nodes: DataFrame, points: DataFrame | None = None, method: str =
     return found
 
 
+def _whole_trees(nodes: DataFrame, f, schema) -> DataFrame:
+    """f over frames that hold many trees, each whole and its rows together: trees are dealt by root and sorted, and a frame's last tree waits for the next frame. Rows without root are left out."""
+
+    def run(frames):
+        held = None
+        for pdf in frames:
+            pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+            keys = pdf["root_id"].to_numpy()
+            cut = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            held = pdf.iloc[cut:]
+            if cut:
+                yield f(pdf.iloc[:cut].reset_index(drop=True))
+        if held is not None and len(held):
+            yield f(held.reset_index(drop=True))
+
+    return nodes.where("root_id IS NOT NULL").repartition("root_id").sortWithinPartitions("root_id", "node_id").mapInPandas(run, schema)
+
+
+def _bounds(keys: np.ndarray) -> list[tuple[int, int]]:
+    """Where each tree's rows begin and end."""
+    edge = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]]))
+    return list(zip(edge[:-1].tolist(), edge[1:].tolist()))
+
+
 def _parents_from(parent: dict, root) -> dict:
     """The parents of the same tree hung from another root: pointers along the path are turned around."""
     turned, child, at = dict(parent), -1, root
@@ -68,17 +94,20 @@ def _parents_from(parent: dict, root) -> dict:
 
 
 def reroot(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """nodes with parents as seen from roots(root_id, node_id); skeletons without a row stay as they are. One tree is one group: turning pointers needs the whole path."""
+    """nodes with parents as seen from roots(root_id, node_id); skeletons without a row stay as they are. A tree is turned in one task: that needs the whole path."""
     joined = nodes.join(roots.select(F.col("root_id").alias("__r"), F.col("node_id").alias("__new")), F.col("root_id") == F.col("__r"), "left").drop("__r")
 
     def turn(pdf: pd.DataFrame) -> pd.DataFrame:
-        new = pdf["__new"].iloc[0]
-        if not pd.isna(new):
-            turned = _parents_from(dict(zip(pdf["node_id"].tolist(), pdf["parent_id"].tolist())), int(new))
-            pdf["parent_id"] = pdf["node_id"].map(turned)
-        return pdf.drop(columns="__new")
+        node, parent, new = pdf["node_id"].to_numpy(), pdf["parent_id"].to_numpy().copy(), pdf["__new"].to_numpy(float)
+        for a, b in _bounds(pdf["root_id"].to_numpy()):
+            place = {} if np.isnan(new[a]) else dict(zip(node[a:b].tolist(), range(a, b)))
+            child, at = -1, -1 if np.isnan(new[a]) else int(new[a])
+            while (i := place.pop(at, None)) is not None:
+                above, parent[i] = int(parent[i]), child
+                child, at = at, above
+        return pdf.assign(parent_id=parent).drop(columns="__new")
 
-    return joined.groupBy("root_id").applyInPandas(turn, nodes.schema)
+    return _whole_trees(joined, turn, nodes.schema)
 
 
 def _lengths(nodes: dict, parent: dict, root) -> dict:
@@ -93,7 +122,7 @@ def _lengths(nodes: dict, parent: dict, root) -> dict:
         at = todo.pop()
         for n in near[at]:
             if n not in seen:
-                seen[n] = seen[at] + float(np.linalg.norm(nodes[n] - nodes[at]))
+                seen[n] = seen[at] + math.dist(nodes[n], nodes[at])
                 todo.append(n)
     return seen
 
@@ -133,16 +162,18 @@ def key_points(nodes: DataFrame, ids: DataFrame | None = None, raw: bool = True,
     require_columns(nodes, *NODE)
 
     def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        root = pdf["root_id"].iloc[0]
-        try:
-            places = dict(zip(pdf["node_id"].tolist(), pdf[["x", "y", "z"]].to_numpy(float)))
-            node, branched = key_node(places, dict(zip(pdf["node_id"].tolist(), pdf["parent_id"].tolist())))
-            row = [root, *places[node], branched, False]
-        except (ValueError, KeyError):
-            row = [root, None, None, None, None, True]
-        return pd.DataFrame([row], columns=["root_id", "x", "y", "z", "branched", "failed"])
-
-    out = nodes.groupBy("root_id").applyInPandas(find, "root_id long, x double, y double, z double, branched boolean, failed boolean")
+        roots, node, parent, xyz = pdf["root_id"].to_numpy(), pdf["node_id"].tolist(), pdf["parent_id"].tolist(), pdf[["x", "y", "z"]].to_numpy(float)
+        rows = []
+        for a, b in _bounds(roots):
+            try:
+                places = dict(zip(node[a:b], xyz[a:b]))
+                at, branched = key_node(places, dict(zip(node[a:b], parent[a:b])))
+                rows.append([roots[a], *places[at], branched, False])
+            except (ValueError, KeyError):
+                rows.append([roots[a], None, None, None, None, True])
+        return pd.DataFrame(rows, columns=["root_id", "x", "y", "z", "branched", "failed"])
+
+    out = _whole_trees(nodes.select(*NODE), find, "root_id long, x double, y double, z double, branched boolean, failed boolean")
     if raw:
         out = convert_units(out, "raw", voxel)
     if ids is not None:
