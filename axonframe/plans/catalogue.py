@@ -14,6 +14,7 @@ from axonframe.functions.edits import affiliation_colour
 from axonframe.functions.scoring import FEATURES, SomaModel, chunk_features, distance_penalty
 from axonframe.operators import edits, geometry, lookup, maintenance, metadata, nuclei, partners, skeleton, soma, training, versions
 from axonframe.plans.proxies import PIN, Tables, with_tables
+from axonframe.streaming import edit_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -382,6 +383,19 @@ def ops_bbox(t):
     return edits.bounding_box(t.table("events"), "value", "user_id")
 
 
+@query(with_tables("log") + f"SELECT strftime(date_trunc('hour', timestamp), '%Y-%m-%d %H:%M:%S') AS start, strftime(date_trunc('hour', timestamp) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS \"end\", {_COLOUR} AS colour, count(*) AS n FROM log GROUP BY ALL")
+def ops_windows(t):
+    counts = edit_stream.windowed_counts(t.log())
+    return counts.select(*[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("start", "end")], "colour", "n")
+
+
+@query(with_tables("log") + """, g AS (SELECT user, timestamp, CASE WHEN timestamp < lag(timestamp) OVER w + INTERVAL 3 HOUR THEN 0 ELSE 1 END AS new FROM log WINDOW w AS (PARTITION BY user ORDER BY timestamp)),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS session FROM g) SELECT user, epoch_us(min(timestamp)) AS start, epoch_us(max(timestamp)) + 10800000000 AS "end", count(*) AS n FROM s GROUP BY user, session""")
+def ops_sessions(t):
+    sessions = edit_stream.edit_sessions(t.log(), "3 hours")
+    return sessions.select("user", *[F.unix_micros(c).alias(c) for c in ("start", "end")], "n")
+
+
 # maintenance
 
 
