@@ -198,16 +198,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs with a score of 0.5 or more, all columns. Rows are scored one by one, so equal ids need not share a fate."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
 
-    @F.pandas_udf("double")
-    def score(texts):
-        return _series_scores(model, texts)
-
-    return docs.where(score(F.coalesce(docs[text_col].cast("string"), F.lit(""))) >= 0.5)
-
-
-def _series_scores(model: Trees, texts):
-    import pandas as pd
+    def good(batches):
+        for batch in batches:
+            for part in slices(batch, text_col):
+                texts = part.column(part.schema.get_field_index(text_col)).fill_null("")
+                yield part.filter(pa.array(model.score(statistics(texts)) >= 0.5))
 
-    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
-    parts = [model.score(statistics(part.column(0))) for part in slices(batch)]
-    return pd.Series(np.concatenate(parts) if parts else np.empty(0))
+    return docs.mapInArrow(good, docs.schema)

@@ -112,12 +112,17 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The rows of docs with each secret span (overlapping ones as one) replaced by mark, n_chars renewed; null texts stay null."""
 
-    @F.pandas_udf("string")
-    def redacted(texts):
-        novelty, quick = Novelty(), re.compile(MAYBE)
-        return texts.map(lambda t: t if t is None or not quick.search(t) else _redacted(t, all_spans(t, novelty)[1], mark))
-
-    out = docs.withColumn(text_col, redacted(docs[text_col]))
+    def redacted(batches):
+        novelty = Novelty()
+        for batch in batches:
+            at = batch.schema.get_field_index(text_col)
+            for part in slices(batch, text_col):
+                texts = part.column(at)
+                maybe = pc.match_substring_regex(texts, MAYBE).fill_null(False)
+                new = pa.array([_redacted(t, all_spans(t, novelty)[1], mark) for t in texts.filter(maybe).to_pylist()], pa.string())
+                yield part.set_column(at, text_col, pc.replace_with_mask(texts, maybe, new))
+
+    out = docs.mapInArrow(redacted, docs.schema)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in docs.columns else out
 
 
