@@ -58,6 +58,6 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_duplicates keeps, all columns."""
+    """The rows of docs that exact_duplicates keeps, all columns. Ids name documents here: of rows that share an id all stay if one does. A null id stays where its whole group has none."""
     keep = exact_duplicates(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__keep")).distinct()
     return docs.join(keep, docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")

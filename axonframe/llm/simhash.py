@@ -179,6 +179,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component (null ids that name none stay), all columns."""
+    """The rows of docs whose id names their component (null ids that name none stay), all columns. Ids name documents here: rows that share an id go together."""
     drop = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
     return docs.join(drop, docs[id_col].cast("long") == F.col("__drop"), "left_anti")

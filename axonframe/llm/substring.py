@@ -17,6 +17,7 @@ import functools
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,6 +129,35 @@ def _occurrences(window: int, prefix: int):
     return occur
 
 
+def _squeeze(batches):
+    """Texts as zstandard frames: they are shuffled twice, and this halves what is moved."""
+    for batch in batches:
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        frames = pa.array([squeeze(t.as_buffer()) for t in batch.column(2)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), frames], ["doc_id", "mark", "frame"])
+
+
+def _texts(frames: pa.Array) -> pa.Array:
+    loosen = zstandard.ZstdDecompressor().decompress
+    raw = [loosen(f.as_buffer()) for f in frames]
+    offsets = np.concatenate([[0], np.cumsum([len(r) for r in raw], dtype=np.int64)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(raw), pa.py_buffer(offsets.tobytes()), pa.py_buffer(b"".join(raw)))
+
+
+def _loosened(batches, column: str = "frame"):
+    """Batches with texts in the frames' place, cut to slices."""
+    for batch in batches:
+        at = batch.schema.get_field_index(column)
+        sizes = pc.binary_length(batch.column(at)).to_numpy(zero_copy_only=False).cumsum()
+        start = 0
+        while start < batch.num_rows:
+            base = sizes[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(sizes, base + ONE_SLICE, side="right")))
+            part = batch.slice(start, stop - start)
+            start = stop
+            yield from slices(part.set_column(at, "text", _texts(part.column(at))), most=ONE_SLICE)
+
+
 STRETCH = "g long, kind int, label long, doc_id long, mark long, a long, m long, words string"
 RUN = "doc_id long, mark long, run long"
 
@@ -145,7 +175,7 @@ def _joined(words: pa.Array, size: np.ndarray, start: np.ndarray, stop: np.ndarr
 
 
 def _stretches(window: int, prefix: int, frequent: int):
-    """From (doc_id, mark, text, prefixes, counts): what goes to the trees.
+    """From (doc_id, mark, frame, prefixes, counts): what goes to the trees.
 
     kind 0: a stretch of words whose windows share an ordinary prefix. kind 1: the label of one window below a frequent
     prefix. kind 2: windows that repeat within this partition, settled here.
@@ -153,9 +183,8 @@ def _stretches(window: int, prefix: int, frequent: int):
 
     def stretch(batches):
         seen: dict[int, list] = {}
-        for batch in batches:
-            for part in slices(batch, most=ONE_SLICE):
-                yield from one_slice(part, seen)
+        for part in _loosened(batches):
+            yield from one_slice(part, seen)
 
     def one_slice(part, seen):
         found = Anchors(part.column(2), window, prefix)
@@ -288,14 +317,14 @@ def _trees(window: int):
     return grow
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, mark, run) of the windows of docs (doc_id, mark, text) that start elsewhere too; run as in _trees."""
+def repeated_runs(docs: DataFrame, frames: DataFrame, window: int = WINDOW, prefix: int = PREFIX, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, mark, run) of the windows of docs (doc_id, mark, text; frames has the texts squeezed) that start elsewhere too; run as in _trees."""
     counted = docs.select("doc_id", "text").mapInArrow(_count(window, prefix), "h long, n long")
     counts = counted.groupBy(F.col("h").alias("prefix")).agg(F.sum("n").alias("n")).where("n > 1")
     keyed = docs.select(F.xxhash64("doc_id", "mark").alias("key"), "text")
     found = keyed.mapInArrow(_occurrences(window, prefix), "h long, key long").join(counts, F.col("h") == F.col("prefix"))
     lists = found.groupBy(F.col("key").alias("of")).agg(F.collect_list("prefix").alias("prefixes"), F.collect_list("n").alias("counts"))
-    held = docs.withColumn("key", F.xxhash64("doc_id", "mark")).join(lists, F.col("key") == F.col("of")).select("doc_id", "mark", "text", "prefixes", "counts")
+    held = frames.withColumn("key", F.xxhash64("doc_id", "mark")).join(lists, F.col("key") == F.col("of")).select("doc_id", "mark", "frame", "prefixes", "counts")
     return held.mapInArrow(_stretches(window, prefix, frequent), STRETCH).repartition("g").mapInArrow(_trees(window), RUN)
 
 
@@ -303,22 +332,21 @@ def _cut(window: int):
     """Words that no run covers, joined by one space, with their number before and the number removed."""
 
     def cut(batches):
-        for batch in batches:
-            for part in slices(batch, most=ONE_SLICE):
-                words, first = split_words(part.column(1))
-                runs = part.column(2)
-                lists = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                flat = runs.flatten().to_numpy()
-                start = (flat >> 24) + np.repeat(first[:-1], lists)
-                edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, start, 1)
-                np.add.at(edge, start + (flat & 0xFFFFFF) + window - 1, -1)
-                keep = np.cumsum(edge[:-1]) == 0
-                kept = np.concatenate([[0], np.cumsum(keep)])[first]
-                left = words.filter(pa.array(keep))
-                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), left), " ")
-                n = np.diff(first)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(n - np.diff(kept)), texts], ["doc_id", "n_words", "n_removed", "kept_text"])
+        for part in _loosened(batches):
+            words, first = split_words(part.column(1))
+            runs = part.column(2)
+            lists = runs.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            flat = runs.flatten().to_numpy()
+            start = (flat >> 24) + np.repeat(first[:-1], lists)
+            edge = np.zeros(len(words) + 1, np.int64)
+            np.add.at(edge, start, 1)
+            np.add.at(edge, start + (flat & 0xFFFFFF) + window - 1, -1)
+            keep = np.cumsum(edge[:-1]) == 0
+            kept = np.concatenate([[0], np.cumsum(keep)])[first]
+            left = words.filter(pa.array(keep))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(kept.astype(np.int32)), left), " ")
+            n = np.diff(first)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n), pa.array(n - np.diff(kept)), texts], ["doc_id", "n_words", "n_removed", "kept_text"])
 
     return cut
 
@@ -332,10 +360,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
     is enough: equal rows have equal results. An empty table gives no rows.
     """
     marked = texts_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("mark"), "text")
-    runs = repeated_runs(marked, window, prefix, frequent)
+    frames = marked.mapInArrow(_squeeze, "doc_id long, mark long, frame binary")
+    runs = repeated_runs(marked, frames, window, prefix, frequent)
     lists = runs.groupBy(F.col("doc_id").alias("of_id"), F.col("mark").alias("of_mark")).agg(F.collect_set("run").alias("runs"))
-    joined = marked.join(lists, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left")
-    return joined.select("doc_id", "text", "runs").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    joined = frames.join(lists, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("mark") == F.col("of_mark")), "left")
+    return joined.select("doc_id", "frame", "runs").mapInArrow(_cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def removal_digest(docs: DataFrame, **options) -> DataFrame:

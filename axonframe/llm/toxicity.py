@@ -47,7 +47,7 @@ def fold(words: pa.Array) -> pa.Array:
     return words
 
 
-@functools.lru_cache(200_000)
+@functools.lru_cache(30_000)
 def terms_of(word: str) -> tuple[str, ...]:
     """The folded word and its beginnings, as terms."""
     return (word, *(f"{word[:k]}*" for k in STEMS if k < len(word)))

@@ -52,3 +52,20 @@ def test_stages(spark):
     assert {r.doc_id for r in packed} == set(after)
     whole = corpus_pipeline.run(spark, SF).collect()
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in whole) == sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed)
+
+
+def test_awkward_rows_pass_the_stages(spark):
+    from tests.llm.cases import awkward, empty
+
+    from axonframe.llm import chunk_dedup, quality, simhash
+
+    labels = spark.createDataFrame([(5, 1), (-4, 0), (9, 1)], "doc_id long, quality int")
+    docs = awkward(spark)
+    for step in (lambda d: quality.keep_good(d, labels), chunk_dedup.drop_duplicates, simhash.keep_one, secrets.redact):
+        out = step(docs)
+        assert out.columns == docs.columns
+        assert out.count() <= docs.count()
+        assert step(empty(spark)).count() == 0
+    ids = sorted(map(repr, (r.doc_id for r in chunk_dedup.drop_duplicates(docs).collect())))
+    assert ids == sorted(map(repr, [3, 3, None, 7, 9, 9, 11, -4, 12, 13]))
+    assert {r.doc_id for r in secrets.redact(docs).where("text LIKE '%[SECRET]%'").collect()} == {None}
