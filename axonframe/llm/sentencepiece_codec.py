@@ -22,6 +22,8 @@ from axonframe.llm.common import PIECE_BPE, partitions, slices
 
 #: Characters from which a document is cut, and of its chunks about.
 GIANT, CHUNK = 1 << 16, 1 << 14
+ONE_SLICE = 1 << 20
+ENCODED = "row long, doc_id long, chunk int, ids array<int>"
 #: Appended to a serialized model, this sets normalizer_spec.add_dummy_prefix to false.
 NO_DUMMY_PREFIX = b"\x1a\x02\x18\x00"
 
@@ -57,9 +59,9 @@ def _encoder(path: str):
     def encode(batches):
         whole, rest = processors(path)
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, most=ONE_SLICE):
                 chunk = part.column(2).to_pylist()
-                ids = [(rest if c else whole).encode(t, num_threads=1) for c, t in zip(chunk, part.column(3).to_pylist())]
+                ids = [np.array((rest if c else whole).encode(t, num_threads=1), np.int32) for c, t in zip(chunk, part.column(3).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(ids, pa.list_(pa.int32()))], ["row", "doc_id", "chunk", "ids"])
 
     return encode
@@ -76,6 +78,16 @@ def _cutter(size: int):
     return cut_rows
 
 
+def _parts(docs: DataFrame, path: str, giant: int, chunk: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of texts below `giant` characters, doc_id and ids of the others)."""
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    plain = rows.where(F.length("text") < giant).select("row", "doc_id", F.lit(0).alias("chunk"), "text")
+    chunks = rows.where(F.length("text") >= giant).mapInArrow(_cutter(chunk), "row long, doc_id long, chunk int, text string")
+    dealt = chunks.repartition(partitions(docs.sparkSession), "row", "chunk").mapInArrow(_encoder(path), ENCODED)
+    whole = dealt.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
+    return plain, whole.select("doc_id", "ids")
+
+
 def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, ids (of the whole text; null and empty texts have none).
 
@@ -83,13 +95,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, giant: int = GIA
     together in order; other texts are encoded where they are read. An empty table gives no rows.
     """
     path = model or public_tokenizers.path(PIECE_BPE)
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    schema = "row long, doc_id long, chunk int, ids array<int>"
-    plain = rows.where(F.length("text") < giant).select("row", "doc_id", F.lit(0).alias("chunk"), "text").mapInArrow(_encoder(path), schema)
-    chunks = rows.where(F.length("text") >= giant).mapInArrow(_cutter(chunk), "row long, doc_id long, chunk int, text string")
-    dealt = chunks.repartition(partitions(docs.sparkSession), "row", "chunk").mapInArrow(_encoder(path), schema)
-    whole = dealt.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk", "ids"))), lambda x: x["ids"])).alias("ids"))
-    return plain.select("doc_id", "ids").unionByName(whole.select("doc_id", "ids"))
+    plain, whole = _parts(docs, path, giant, chunk, id_col, text_col)
+    return plain.mapInArrow(_encoder(path), ENCODED).select("doc_id", "ids").unionByName(whole)
 
 
 def _decoder(path: str):
@@ -106,14 +113,28 @@ def decode_ids(tokens: DataFrame, model: str | None = None) -> DataFrame:
     return tokens.select("doc_id", "ids").mapInArrow(_decoder(model or public_tokenizers.path(PIECE_BPE)), "doc_id long, ids array<int>, text string")
 
 
-def _digest(batches):
-    for batch in batches:
-        sums = [zlib.crc32(np.array(x, np.uint32).tobytes()) for x in batch.column(1).to_pylist()]
-        texts = [hashlib.sha256(t.encode()).hexdigest() for t in batch.column(2).to_pylist()]
-        n = batch.column(1).value_lengths()
-        yield pa.RecordBatch.from_arrays([batch.column(0), n.cast(pa.int64()), pa.array(sums, pa.int64()), pa.array(texts)], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"])
+def _digest(path: str, encoded: bool):
+    """Encodes (unless there are ids already) and decodes in one go, so that neither ids nor texts leave the task."""
+
+    def digest(batches):
+        whole, _ = processors(path)
+        for batch in batches:
+            for part in [batch] if encoded else slices(batch, most=ONE_SLICE):
+                rows = zip(*(part.column(part.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "ids" if encoded else "text")))
+                out = []
+                for doc_id, value in rows:
+                    ids = value or [] if encoded else whole.encode(value, num_threads=1)
+                    out.append((doc_id, len(ids), zlib.crc32(np.array(ids, np.uint32).tobytes()), hashlib.sha256(whole.decode(ids).encode()).hexdigest()))
+                columns = list(zip(*out)) or [[]] * 4
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "n_tokens", "ids_crc32", "decoded_sha256"])
+
+    return digest
 
 
-def round_trip(docs: DataFrame, **options) -> DataFrame:
-    """Encodes and decodes each whole text: doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256."""
-    return decode_ids(encode_documents(docs, **options)).mapInArrow(_digest, "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string")
+def round_trip(docs: DataFrame, model: str | None = None, giant: int = GIANT, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Encodes and decodes each whole text, as encode_documents and decode_ids do: doc_id, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), decoded_sha256."""
+    path = model or public_tokenizers.path(PIECE_BPE)
+    plain, whole = _parts(docs, path, giant, chunk, id_col, text_col)
+    schema = "doc_id long, n_tokens long, ids_crc32 long, decoded_sha256 string"
+    return plain.mapInArrow(_digest(path, False), schema).unionByName(whole.mapInArrow(_digest(path, True), schema))

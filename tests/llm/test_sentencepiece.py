@@ -19,6 +19,8 @@ def test_equals_the_library(spark):
             ids = np.array(model.encode(r.text or ""), np.uint32)
             want.append((repr(r.doc_id), len(ids), zlib.crc32(ids.tobytes()), hashlib.sha256((r.text or "").encode()).hexdigest()))
         assert sorted((repr(r.doc_id), *r[1:]) for r in got) == sorted(want)
+        decoded = sentencepiece_codec.decode_ids(sentencepiece_codec.encode_documents(docs, giant=3000, chunk=500)).collect()
+        assert sorted((repr(r.doc_id), r.ids, r.text) for r in decoded) == sorted((repr(r.doc_id), model.encode(r.text or ""), r.text or "") for r in docs.select("doc_id", "text").collect())
     assert sentencepiece_codec.round_trip(empty(spark)).count() == 0
 
 
