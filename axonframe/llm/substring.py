@@ -24,13 +24,13 @@ from pyspark.sql import functions as F
 from axonframe.llm.common import slices, split_words, texts_of
 
 WINDOW, PREFIX, FREQUENT = 35, 8, 256
-ONE_SLICE = 4 << 20
+ONE_SLICE = 2 << 20
 #: Odd multipliers of the rolling hashes, of bytes in a word and (two) of words in a run.
 BYTE_BASE, RUN_BASES = 0x9E3779B97F4A7C15, (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 NO_HASH = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-@functools.lru_cache(8)
+@functools.lru_cache(12)
 def _powers(base: int, n: int) -> np.ndarray:
     """base ** i modulo 2 ** 64, for i up to n."""
     out = np.ones(n + 1, np.uint64)
@@ -39,7 +39,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def _scale(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    room = 1 << max(22, int(n).bit_length())
+    room = 1 << max(16, int(n).bit_length())
     return _powers(base, room)[: n + 1], _powers(pow(base, -1, 1 << 64), room)[: n + 1]
 
 
