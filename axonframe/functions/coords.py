@@ -27,7 +27,7 @@ def nm_to_raw(df: DataFrame, voxel=VOXEL_NM, prefix: str = "") -> DataFrame:
 
 def parse_xyz(text: Column) -> Column:
     """struct<x, y, z: double> from three numbers separated by commas, white space or both; null for anything else."""
-    parts = F.filter(F.split(F.trim(text), r"[,\s]+"), lambda p: p != "")
+    parts = F.split(F.trim(text), r"[,\s]+")
     get = lambda i: F.try_element_at(parts, F.lit(i)).try_cast("double")
     ok = (F.size(parts) == 3) & get(1).isNotNull() & get(2).isNotNull() & get(3).isNotNull()
     return F.when(ok, F.struct(get(1).alias("x"), get(2).alias("y"), get(3).alias("z")))
