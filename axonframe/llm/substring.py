@@ -25,6 +25,8 @@ from axonframe.llm.common import slices, split_words, texts_of
 
 WINDOW, PREFIX, FREQUENT = 35, 8, 256
 ONE_SLICE = 2 << 20
+#: Text of the stretches whose trees are grown at once.
+GROUP_BYTES = 3 << 20
 #: Odd multipliers of the rolling hashes, of bytes in a word and (two) of words in a run.
 BYTE_BASE, RUN_BASES = 0x9E3779B97F4A7C15, (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 NO_HASH = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -277,6 +279,7 @@ def _trees(window: int):
             if len(settled):
                 yield from _emitted(batch.take(pa.array(settled)))
             held.append(batch.take(pa.array(np.flatnonzero(kind != 2))))
+        pa.default_memory_pool().release_unused()
         if not held:
             return
         table = pa.Table.from_batches(held).combine_chunks()
@@ -293,22 +296,33 @@ def _trees(window: int):
             twice[order[1:][alike]] = True
             twice[order[:-1][alike]] = True
             yield from _emitted(labels.take(pa.array(np.flatnonzero(twice))))
-        plain = batch.take(pa.array(np.flatnonzero(kind == 0)))
-        if plain.num_rows:
-            words, first = split_words(plain.column(7))
-            code = words.dictionary_encode().indices.to_numpy()
-            m = plain.column(6).to_numpy()
-            row = np.repeat(np.arange(len(m)), m)
-            step = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
-            again = repeated_suffixes(code, np.repeat(first[1:], np.diff(first)), first[row] + step, window)
-            row, step = row[again], step[again]
-            new = np.ones(len(row), bool)
-            new[1:] = (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)
-            at = np.flatnonzero(new)
-            many = np.diff(np.append(at, len(row)))
-            runs = ((plain.column(5).to_numpy()[row[at]] + step[at]) << 24) | many
-            own = pa.array(row[at])
-            yield pa.RecordBatch.from_arrays([plain.column(3).take(own), plain.column(4).take(own), pa.array(runs)], ["doc_id", "mark", "run"])
+        plain = np.flatnonzero(kind == 0)
+        prefixes, size = batch.column(0).to_numpy()[plain], pc.binary_length(batch.column(7)).fill_null(0).to_numpy(zero_copy_only=False)[plain]
+        order = np.argsort(prefixes, kind="stable")
+        plain, prefixes, ends = plain[order], prefixes[order], np.cumsum(size[order])
+        at = 0
+        while at < len(plain):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES, side="right")))
+            stop = int(np.searchsorted(prefixes, prefixes[stop - 1], side="right"))
+            yield _group(batch.take(pa.array(plain[at:stop])))
+            at = stop
+
+    def _group(plain):
+        """Some prefixes' trees at once; a prefix is never split."""
+        words, first = split_words(plain.column(7))
+        code = words.dictionary_encode().indices.to_numpy()
+        m = plain.column(6).to_numpy()
+        row = np.repeat(np.arange(len(m)), m)
+        step = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+        again = repeated_suffixes(code, np.repeat(first[1:], np.diff(first)), first[row] + step, window)
+        row, step = row[again], step[again]
+        new = np.ones(len(row), bool)
+        new[1:] = (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)
+        at = np.flatnonzero(new)
+        many = np.diff(np.append(at, len(row)))
+        runs = ((plain.column(5).to_numpy()[row[at]] + step[at]) << 24) | many
+        own = pa.array(row[at])
+        return pa.RecordBatch.from_arrays([plain.column(3).take(own), plain.column(4).take(own), pa.array(runs)], ["doc_id", "mark", "run"])
 
     def _emitted(batch):
         runs = (batch.column(5).to_numpy() << 24) | batch.column(6).to_numpy()
