@@ -18,6 +18,7 @@ PIECE_BPE = "piece_bpe_32k.model"
 SLICE_BYTES = 4 << 20
 #: Entries of a Python worker's word cache; beyond this, words met in one slice only are forgotten.
 CACHE_WORDS = 600_000
+LINE_WORDS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -93,6 +94,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
+        self.ends = np.array([self.tokenizer.id_to_token(i).endswith("</w>") for i in range(self.tokenizer.get_vocab_size())])
         self.parts: dict[str, int] = {"": 0}
         self.size, self.start, self.pool = np.zeros(1, np.int32), np.zeros(1, np.int64), np.empty(0, np.int32)
         self.met = np.full(1, 2, np.int32)
@@ -107,12 +109,27 @@ class WordIds:
         self.start, self.size, self.met = ends[:-1].copy(), self.size[stay], np.minimum(self.met[stay], 4) // 2
         self.met[0] = 2
 
+    def _encoded(self, words: list[str]) -> tuple[list[str], list[list[int]]]:
+        """The words, in some order, and their ids. Words of letters are encoded many to a line, as each ends with a token that ends a word; a line with more such tokens than words is encoded word by word."""
+        plain, rest = [w for w in words if w.isalpha()], [w for w in words if not w.isalpha()]
+        lines = [plain[i : i + LINE_WORDS] for i in range(0, len(plain), LINE_WORDS)]
+        order, ids = [], []
+        for line, e in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False)):
+            row = e.ids
+            stops = np.flatnonzero(self.ends[row]) + 1
+            if len(stops) != len(line):
+                rest += line
+                continue
+            order += line
+            ids += [row[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist())]
+        return order + rest, ids + [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+
     def _numbers(self, parts: pa.Array) -> np.ndarray:
         coded = parts.dictionary_encode()
         words = coded.dictionary.to_pylist()
         known = self.parts
         if new := [w for w in words if w not in known]:
-            got = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+            new, got = self._encoded(new)
             size = np.fromiter(map(len, got), np.int32, len(got))
             known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
             self.start = np.concatenate([self.start, len(self.pool) + np.cumsum(size, dtype=np.int64) - size])
