@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from axonframe.llm.common import slices, split_words, texts_of, written
 from axonframe.llm.components import components
+from axonframe.llm.jaccard import similar_documents
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Low bit and width of each segment.
@@ -179,6 +180,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component (null ids that name none stay), all columns. Ids name documents here: rows that share an id go together."""
-    drop = near_duplicates(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
+    """The rows of docs whose id names their component of similar_documents (five-word shingles, similarity 0.8 or more), all columns; null ids that name none stay. Ids name documents here: rows that share an id go together."""
+    drop = similar_documents(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
     return docs.join(drop, docs[id_col].cast("long") == F.col("__drop"), "left_anti")
