@@ -323,6 +323,12 @@ def ops_requested_order(t):
     return edits.in_requested_order(wanted, t.log().where("operation_id % 3 <> 0").select("operation_id", "user"))
 
 
+@query("SELECT o_orderkey AS ordinal, (o_orderkey * 7)::INT AS operation_id, user_id AS user FROM orders JOIN events ON event_id = o_orderkey * 7 WHERE event_id % 3 <> 0")
+def ops_requested_order_whole(t):
+    wanted = t.table("orders").select(F.col("o_orderkey").alias("ordinal"), (F.col("o_orderkey") * 7).cast("int").alias("operation_id"))
+    return edits.in_requested_order(wanted, t.log().where("operation_id % 3 <> 0").select("operation_id", "user"))
+
+
 @query("SELECT event_id::INT AS operation_id, user_id::VARCHAR AS user, event_type AS status FROM events")
 def ops_from_json(t):
     q = F.lit('"')
@@ -341,6 +347,11 @@ def ops_last(t):
     return edits.last_operation(t.log(), 100, 900)
 
 
+@query("SELECT max(event_id)::INT AS last_operation FROM events")
+def ops_last_whole(t):
+    return edits.last_operation(t.log())
+
+
 @query("SELECT o_orderkey::INT AS operation_id, o_orderkey IN (SELECT event_id FROM events WHERE event_id % 2 = 0) AS found FROM orders")
 def ops_exists(t):
     return edits.exists(t.log().where("operation_id % 2 = 0"), t.table("orders").select(F.col("o_orderkey").cast("int").alias("operation_id")))
@@ -351,6 +362,11 @@ def ops_all(t):
     return edits.all_operations(t.spark, t.log(), 500).select("operation_id", "user")
 
 
+@query("SELECT event_id::INT AS operation_id, user_id AS user FROM events WHERE event_id >= 1")
+def ops_all_whole(t):
+    return edits.all_operations(t.spark, t.log(), edits.last_operation(t.log()).first()[0] or 0).select("operation_id", "user")
+
+
 @query("SELECT event_id::INT AS operation_id, n_name FROM events LEFT JOIN nation ON user_id = n_nationkey")
 def ops_users(t):
     users = t.table("nation").select(F.col("n_nationkey").cast("long").alias("user_id"), "n_name")
