@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
+import re
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD_BPE = "word_bpe_49k.json"
@@ -22,8 +24,10 @@ LINE_WORDS = 500
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); set to a temporary one only where it is unset."""
+    """The folder that driver and executors share (spark.checkpoint.dir). Where it is unset, a temporary one in local mode, where there is one machine only, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="axonframe-")
         spark.sparkContext.setCheckpointDir(folder)
@@ -42,6 +46,38 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(df: DataFrame) -> None:
+    """Deletes the files of a table that written() gave and that nothing will read again."""
+    spark = df.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if folder is not None:
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name beginning with base that df does not have, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in itertools.chain([base], (f"{base}_{i}" for i in itertools.count())) if n.lower() not in taken)
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, on: dict[str, str], size: str, total: int, spread: str) -> DataFrame:
+    """Left join of rows with their groups (one row for each key, columns all different from those of rows), on: row column -> group column.
+
+    `size` says how many rows a group has, `total` how many there are. Groups of more than a fourth of a partition's fair
+    share are at most four times as many as there are partitions: these are broadcast, and their rows, which no longer
+    need a partner from the shuffle, are dealt by `spread` over all partitions. All other groups are shuffled.
+    """
+    many = partitions(rows.sparkSession)
+    bound = max(1, total // (4 * many))
+    hot = groups.where(F.col(size) > bound).select(*(F.col(c).alias(f"hot_{c}") for c in groups.columns))
+    cold = groups.where(F.col(size) <= bound).withColumn("cold_salt", F.lit(0))
+    first = next(iter(on.values()))
+    near = rows.join(F.broadcast(hot), functools.reduce(Column.__and__, [F.col(r) == F.col(f"hot_{g}") for r, g in on.items()]), "left")
+    near = near.withColumn("row_salt", F.when(F.col(f"hot_{first}").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(many))).cast("int"))
+    keys = functools.reduce(Column.__and__, [F.col(r) == F.col(g) for r, g in on.items()], F.col("row_salt") == F.col("cold_salt"))
+    return near.join(cold, keys, "left").select(*rows.columns, *(F.coalesce(f"hot_{c}", c).alias(c) for c in groups.columns))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -79,15 +115,17 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(full), counts[offsets]
 
 
-#: A word of letters and digits with a run of ASCII punctuation behind it.
-_TAILED = r"^(?P<stem>[\pL\pN]+)(?P<tail>[!-/:-@\[-`{-~]+)$"
+#: A word of letters and digits with a run of ASCII punctuation behind it. Letters that turn into several characters when
+#: normalised or lower-cased (İ among them) are not in the ranges.
+_TAILED = r"^(?P<stem>[0-9A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{12F}\x{131}-\x{24F}\x{391}-\x{3A1}\x{3A3}-\x{3CE}\x{410}-\x{44F}]+)(?P<tail>[!-/:-@\[-`{-~]+)$"
 
 
 class WordIds:
     """Ids of words, kept for later batches of the same Python worker: all ids lie in one array, a part of a word is a number.
 
     White space never joins two words' ids, nor does a run of punctuation that ends a word of letters and digits, so
-    that stems and tails are encoded apart, once each.
+    that stems and tails are encoded apart, once each. The tokenizer sees words as they are written: special tokens are
+    matched in exactly their own case.
     """
 
     def __init__(self, path: str):
@@ -144,9 +182,8 @@ class WordIds:
         """The ids of words, one after the other, and where each word's end (a zero first)."""
         if len(self.parts) > CACHE_WORDS:
             self.forget()
-        lower = pc.if_else(pc.string_is_ascii(words), pc.ascii_lower(words), words)
-        split = pc.extract_regex(lower, _TAILED)
-        stem, tail = pc.coalesce(pc.struct_field(split, "stem"), lower), pc.coalesce(pc.struct_field(split, "tail"), "")
+        split = pc.extract_regex(words, _TAILED)
+        stem, tail = pc.coalesce(pc.struct_field(split, "stem"), words), pc.coalesce(pc.struct_field(split, "tail"), "")
         both = np.column_stack([self._numbers(stem), self._numbers(tail)]).ravel()
         ids, ends = gather(self.pool, self.start[both], self.size[both])
         return ids, ends[::2]

@@ -37,3 +37,9 @@ def test_orc_files_hold_indexes_and_skip_by_id(spark, tmp_path):
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     reader = jvm.org.apache.orc.OrcFile.createReader(jvm.org.apache.hadoop.fs.Path(str(files[0])), jvm.org.apache.orc.OrcFile.readerOptions(conf))
     assert reader.getNumberOfRows() > 0 and reader.getRowIndexStride() == 1000
+    kinds = [s.getKind().toString() for stripe in reader.getStripes() for s in reader.rows().readStripeFooter(stripe).getStreamsList()] if hasattr(reader.rows(), "readStripeFooter") else []
+    assert "ROW_INDEX" in kinds and any(k.startswith("BLOOM_FILTER") for k in kinds)
+    few = spark.createDataFrame([(i, "some words") for i in range(50)] + [(10**9 + i, "other words") for i in range(50)], "doc_id long, text string")
+    token_orc.write_tokens(few, str(tmp_path / "few"))
+    high = token_orc.read_tokens(spark, str(tmp_path / "few")).where("doc_id >= 1000000000")
+    assert high.count() == 50

@@ -1,12 +1,17 @@
 import zlib
 from collections import defaultdict
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from axonframe.llm import packing, token_orc
+from axonframe.llm.common import encode_words
 from tests.llm.cases import awkward, empty
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +19,8 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    return Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return SimpleNamespace(path=path, encode=Tokenizer.from_file(path).encode)
 
 
 def encoded(tokenizer, text, end):
@@ -34,6 +40,24 @@ def test_orc_round_trip(spark, tokenizer, source):
     assert [tuple(r) for r in got] == want
 
 
+#: Special tokens in each case, letters that lower-casing or normalising takes apart, marks, spaces and signs of all kinds.
+PARTS = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", "|>", "<|", "İ", "İ!", "ß.", "ſ,", "\u0958", "\ufb2a", "e\u0301", "\u00e9", "\u0301", "\u0338", ">", "=", "a", "Hello", "WORLD", "'s", "'S", "'re", "don't", "2024", "1", "x²", "½", "ǅ", "\u00a0", "\u2003", "\u200b", " ", "\n", "\t", "\x85", "\x1c", "你好", "🙂🙂", "...", "!!", "$", "_", "ΟΔΟΣ", "ς", "A\u030a", "\u212b", "\u037e", "ﷺ", "\u1100\u1161", "가", "ŉ"]
+
+
+@given(st.lists(st.tuples(st.sampled_from(PARTS) | st.text(max_size=4), st.sampled_from(["", " "])), max_size=25))
+@settings(max_examples=400, deadline=None)
+def test_words_encode_as_whole_texts(tokenizer, parts):
+    text = "".join(a + b for a, b in parts)
+    ids, first = encode_words(pa.array([text, "x"], pa.string()), tokenizer.path)
+    assert ids[: first[1]].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_special_tokens_match_in_their_own_case(spark):
+    docs = spark.createDataFrame([(1, "x <|ENDOFTEXT|> y")], "doc_id long, text string")
+    assert [tuple(r)[2:] for r in token_orc.encode_to_orc(docs).collect()] == [(9, 2295511120)]
+    assert [r.length for r in packing.pack_documents(docs).collect()] == [9]
+
+
 def test_orc_empty(spark):
     assert token_orc.encode_to_orc(empty(spark)).count() == 0
 
