@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import written
+from axonframe.llm.common import removed, with_groups, written
 
 MOST_ROUNDS = 60
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Links each node's greater neighbours (large) or its smaller ones and itself (small) to the least of them. The least neighbour is found by partial aggregation; a hub's edges are split by the join."""
+def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
+    """Links each node's greater neighbours (large) or its smaller ones and itself (small) to the least of them. The least neighbour is found by partial aggregation, and with_groups deals a hub's edges over all partitions. total: about how many edges there are."""
     if large:
         ways = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         ways = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = ways.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m")).withColumn("m", F.least("of", "m"))
-    joined = ways.join(least, F.col("a") == F.col("of"))
+    least = ways.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("of", "m"))
+    joined = with_groups(ways, least, {"a": "of"}, "n", (1 + large) * total, "b")
     if large:
         return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("of <> m").select("of", "m"))
@@ -27,7 +27,8 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node that has an edge to another one; component is the least node of it.
 
     edges: two columns a, b of type long, in any order and number; those with a null end or both ends the same are left
-    out. The edge table is written to the shared folder in each round; only its size and a checksum reach the driver.
+    out. The edge table is written to the shared folder in each round, where the last round's is deleted; only its size
+    and a checksum reach the driver.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -35,6 +36,21 @@ def components(edges: DataFrame) -> DataFrame:
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before or not now[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
-        before = now
-        edges = written(_star(_star(edges, True).distinct(), False).distinct(), "edges")
+        before, last = now, edges
+        edges = written(_star(_star(last, True, now[0]).distinct(), False, now[0]).distinct(), "edges")
+        removed(last)
     raise RuntimeError("components did not settle")
+
+
+def named(rows: DataFrame, node_col: str, nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """rows with component_id: the least id of the component that their node is in.
+
+    nodes: one row for each node, with the columns node_col, least (its rows' least id) and copies (how many rows it has);
+    roots: as components gives them, nodes without a link left out. Neither a node of many copies nor a component of many
+    nodes meets in one task.
+    """
+    placed = nodes.join(roots, nodes[node_col] == roots["node"], "left").select(F.col(node_col).alias("of"), "least", "copies", F.coalesce("component", node_col).alias("root"))
+    placed = written(placed, "placed")
+    names = placed.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    found = with_groups(placed, names, {"root": "name"}, "n", placed.count(), "of").select("of", "copies", "component_id")
+    return with_groups(rows, found, {node_col: "of"}, "copies", rows.count(), "doc_id").select(*rows.columns, "component_id")

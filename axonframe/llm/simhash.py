@@ -1,14 +1,17 @@
 """SimHash near-duplicates: Golay-code fuzzy keys of fingerprint segments, joined and verified.
 
 A 64-bit fingerprint has three segments of at most 22 bits. Two fingerprints at 4 or fewer differing bits have two
-segments with at most 2 differing bits together: one equal and one within 2, or both within 1. The perfect Golay code
-[23, 12, 7] turns nearness of a segment into equality of a 12-bit codeword index. Words within 2 bits share a codeword
-at distance 4 or less, of which a word has 1 or 6; words within 1 bit share the greater of their nearest codewords.
+segments with at most 2 differing bits together: one equal and one within 2, or both at exactly 1. In the second case
+the third segment differs by at most 2 bits, so that one of its three parts is equal, and the two segments' parities
+flip together. The perfect Golay code [23, 12, 7] turns nearness of a segment into equality of a 12-bit codeword index.
+Words within 2 bits share a codeword at distance 4 or less, of which a word has 1 or 6; words within 1 bit share the
+greater of their nearest codewords. Keys have 33 bits or more beside their kind.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import slices, split_words, texts_of, written
-from axonframe.llm.components import components
+from axonframe.llm.common import fresh, slices, split_words, texts_of, written
+from axonframe.llm.components import components, named
 from axonframe.llm.jaccard import similar_documents
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
@@ -26,6 +29,10 @@ SHINGLE, SEED, MOST_BITS = 4, 42, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 #: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1 generates the binary Golay code.
 GENERATOR = 0b110001110101
+#: Low bit and width of each part of a segment.
+PARTS = ((0, 7), (7, 7), (14, 8))
+#: Rows of keys that one step verifies at once; only a single key with more of them is held beyond it.
+VERIFY_ROWS = 1 << 20
 #: Keys' buckets up to this size compare all their pairs; larger ones grow components from one member at a time.
 SMALL_BUCKET = 16
 
@@ -100,8 +107,11 @@ def keys_of(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for kind, (s, t) in enumerate((s, t) for s in range(3) for t in range(3) if s != t):
         blocks.append((kind << 40) | (parts[s][:, None] << 12) | codes[t])
         if s < t:
-            both = (at_least[s][:, :, None] << 12) | at_least[t][:, None, :]
-            blocks.append(((8 + kind) << 40) | both.reshape(len(fps), 36))
+            both = ((at_least[s][:, :, None] << 12) | at_least[t][:, None, :]).reshape(len(fps), 36)
+            odd = (np.bitwise_count(parts[s]) + np.bitwise_count(parts[t]) & 1).astype(np.int64)
+            for p, (low, width) in enumerate(PARTS):
+                rest = (p << 9) | (odd << 8) | (parts[3 - s - t] >> low & ((1 << width) - 1))
+                blocks.append(((8 + kind) << 40) | (rest[:, None] << 24) | both)
     table = np.sort(np.concatenate(blocks, axis=1), axis=1)
     new = np.ones(table.shape, bool)
     new[:, 1:] = table[:, 1:] != table[:, :-1]
@@ -131,14 +141,8 @@ def bucket_edges(fps: np.ndarray, most_bits: int = MOST_BITS) -> list[tuple[int,
     return edges
 
 
-def _verify(batches):
-    """Links among the fingerprints of each key of this partition."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not held:
-        return
-    keys, fps = np.concatenate([k for k, _ in held]), np.concatenate([f for _, f in held])
-    order = np.argsort(keys, kind="stable")
-    keys, fps = keys[order], fps[order]
+def bucket_links(keys: np.ndarray, fps: np.ndarray) -> np.ndarray:
+    """Pairs of fingerprints that connect what links within the same key connect; keys are in order."""
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
     size = np.diff(np.append(starts, len(keys)))
     found = [np.empty((0, 2), np.int64)]
@@ -152,14 +156,31 @@ def _verify(batches):
     for at, n in zip(starts[size > SMALL_BUCKET], size[size > SMALL_BUCKET]):
         if edges := bucket_edges(fps[at : at + n]):
             found.append(np.array(edges, np.uint64).view(np.int64))
-    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+    return np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
+
+
+def _verify(batches):
+    """Links among the fingerprints of each key; the partition comes in order of keys, some of which are held at a time."""
+    keys, fps, rows = [], [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None:
+            keys.append(batch.column(0).to_numpy())
+            fps.append(batch.column(1).to_numpy())
+            rows += len(batch)
+        if rows < VERIFY_ROWS and batch is not None or not rows:
+            continue
+        k, f = np.concatenate(keys), np.concatenate(fps)
+        stop = len(k) if batch is None else int(np.searchsorted(k, k[-1]))
+        if stop:
+            pairs = bucket_links(k[:stop], f[:stop])
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
+        keys, fps, rows = [k[stop:]], [f[stop:]], len(k) - stop
 
 
 def fingerprint_links(fps: DataFrame) -> DataFrame:
     """Edges (a, b) between distinct fingerprints of the column fp that connect all that are within 4 bits."""
     spread = fps.select("fp").mapInArrow(_spread, "key long, fp long")
-    return spread.repartition("key").mapInArrow(_verify, "a long, b long").distinct()
+    return spread.repartition("key").sortWithinPartitions("key").mapInArrow(_verify, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -171,15 +192,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     beyond their own rows. An empty table gives no rows.
     """
     marked = written(texts_of(docs, id_col, text_col).mapInArrow(_fingerprint, "doc_id long, fp long"), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    roots = components(fingerprint_links(nodes)).withColumnRenamed("node", "fp")
-    placed = nodes.join(roots, "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
-    named = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = placed.join(named, "root").select(F.col("fp").alias("of"), "component_id")
-    return marked.join(names, F.col("fp") == F.col("of")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies")), "nodes")
+    return named(marked, "fp", nodes, components(fingerprint_links(nodes))).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component of similar_documents (five-word shingles, similarity 0.8 or more), all columns; null ids that name none stay. Ids name documents here: rows that share an id go together."""
-    drop = similar_documents(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()
-    return docs.join(drop, docs[id_col].cast("long") == F.col("__drop"), "left_anti")
+    """The rows of docs whose id names their component of similar_documents (five-word shingles, similarity 0.8 or more), all columns, whatever their names; null ids that name none stay, a null text is empty. Ids name documents here: rows that share an id go together. An empty table stays empty."""
+    name = fresh(docs, "drop")
+    drop = similar_documents(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(drop, docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -20,7 +20,7 @@ def awkward(spark):
         (13, "Hello,  World's don't 123 café CAFÉ ﬁ Σίσυφος ΟΔΟΣ", "en", "b", 9),
     ]
     df = spark.createDataFrame(rows, DOCS)
-    for name in ("recipe", "kept", "row", "place", "key", "label", "score", "length"):
+    for name in ("recipe", "kept", "row", "place", "key", "label", "score", "length", "__keep", "__drop", "KEEP", "drop", "keep_0", "fp", "node", "of", "n", "text_0"):
         df = df.selectExpr("*", f"'clash' AS {name}")
     return df
 

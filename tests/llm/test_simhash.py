@@ -1,9 +1,13 @@
 import re
 
 import numpy as np
+import pyarrow as pa
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from axonframe.llm import simhash
+from axonframe.llm.common import shared_dir, with_groups
 from axonframe.llm.components import components
 from tests.llm.cases import awkward, empty
 
@@ -49,7 +53,7 @@ def test_golay_keys_meet():
         a = rng.integers(0, 1 << 63, 3000).astype(np.uint64) * np.uint64(2) + rng.integers(0, 2, 3000).astype(np.uint64)
         b = a.copy()
         for i in range(len(a)):
-            for bit in rng.choice(62, near, replace=False):
+            for bit in rng.choice(64, near, replace=False):
                 b[i] ^= np.uint64(1) << np.uint64(bit)
         ka, ra = simhash.keys_of(a.view(np.int64))
         kb, rb = simhash.keys_of(b.view(np.int64))
@@ -58,6 +62,40 @@ def test_golay_keys_meet():
         assert len(met) == len(a)
 
 
+def test_verification_in_parts(monkeypatch):
+    """However the ordered keys fall into batches and steps, the links are those of all keys at once."""
+    rng = np.random.default_rng(9)
+    keys = np.sort(rng.integers(0, 40, 4000))
+    fps = rng.integers(0, 1 << 7, 4000).astype(np.int64)
+    whole = {tuple(p) for p in simhash.bucket_links(keys, fps).tolist()}
+    monkeypatch.setattr(simhash, "VERIFY_ROWS", 150)
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + 70]), pa.array(fps[i : i + 70])], ["key", "fp"]) for i in range(0, 4000, 70)]
+    got = {p for b in simhash._verify(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns))}
+    assert got == whole
+    assert not list(simhash._verify(iter([])))
+
+
+def test_hot_groups_are_spread(spark):
+    """A group of a third of all rows, and groups of one, get the same answer as a plain join."""
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") * 10).alias("k"))
+    groups = rows.groupBy(F.col("k").alias("g")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least")).where("g <> 10")
+    got = {tuple(r) for r in with_groups(rows, groups, {"k": "g"}, "n", 3000, "doc_id").select("doc_id", "n", "least").collect()}
+    assert got == {(i, 1000, 0) if i % 3 == 0 else (i, None, None) if i == 1 else (i, 1, i) for i in range(3000)}
+
+
+def test_no_shared_folder_on_a_cluster():
+    class Session:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
+
+
 def test_bucket_edges_connect_large_buckets():
     rng = np.random.default_rng(5)
     centre = int(rng.integers(0, 1 << 62))
