@@ -2,7 +2,7 @@ import corpus_pipeline
 from axonframe.llm import secrets
 from axonframe.llm.quality import fit, statistics
 from tests.llm.test_secrets import brute as secret_spans
-from tests.llm.test_simhash import brute as near_groups
+from tests.llm.test_jaccard import brute as near_groups
 
 import pyarrow as pa
 
@@ -36,7 +36,7 @@ def test_stages(spark):
     assert near.columns == COLUMNS
     groups = near_groups([(d, r.text) for d, r in unique.items()])
     single = rows(near)
-    assert sorted(map(repr, single)) == sorted(d for d, _, c in groups if d == repr(c))
+    assert sorted(map(repr, single)) == sorted(repr(d) for d, c in groups if d == c)
 
     clean = corpus_pipeline.redact_secrets(spark, near, SF)
     assert clean.columns == COLUMNS
