@@ -2,8 +2,11 @@
 
 Vectors of one label are dealt to shards of bounded size. A shard's graph is hierarchical: its points are in random
 order and layer l holds the first n / 16 ** l of them, so that a search narrows from the top layer down. All queries of
-a block are searched in step, one vectorised operation for each expansion. Beams widen for queries whose beam ends
-before the links do, and for the whole block until an audit against brute force on some of its queries passes.
+a block are searched in step, one vectorised operation for each expansion. From the points of a query's beam that are
+near enough, the search goes on along the graph as long as it meets such points, so that dense groups are found whole.
+An audit compares some queries with all points; beams, and what is near enough, widen until its recall is reached.
+
+A shard's graph goes to one task, once; of two shards of a label one has its vectors searched in the other's graph.
 """
 
 from __future__ import annotations
@@ -13,14 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import partitions, written
+from axonframe.llm.common import partitions, with_groups, written
 from axonframe.llm.components import components
 
-COSINE, SHARD, LINKS, BUILD_BEAM, BEAM, FAN = 0.98, 4096, 16, 32, 16, 16
-#: Queries of a block that the audit compares with brute force, and the recall that it asks for.
-AUDIT, RECALL = 64, 0.98
-#: Searched in float32, then verified in double precision; this much slack goes to the verification.
-SLACK = 1e-4
+COSINE, SHARD, LINKS, BUILD_BEAM, BEAM, FAN = 0.98, 4096, 16, 32, 32, 16
+#: How far below the least cosine a point may lie for the search to go on from it, at first.
+MARGIN = 0.02
+#: Queries that the audit compares with all points, as many where those have fewer than LINKS links, and the recall that it asks for.
+AUDIT, WIDE_AUDIT, RECALL = 64, 512, 0.99
+#: Pairs of queries and points that one step of the search goes on from.
+FRONT = 1 << 16
 BLOCK = 1024
 
 
@@ -140,36 +145,79 @@ def build(vectors: np.ndarray) -> list[np.ndarray]:
     return graphs
 
 
-def links(vectors: np.ndarray, graphs: list[np.ndarray], queries: np.ndarray, exact: np.ndarray, exact_queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs of cosine or more. Beams double where the last point is still a link, and for all until the audit's recall is reached. Where a beam would hold an eighth of the points, plain comparison with all of them costs less and is exact."""
+def onward(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, q: np.ndarray, p: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) pairs given, of similarity `least` or more, and all such pairs that the graph reaches from them over such points."""
+    n = len(graph)
+    seen = np.zeros((len(queries), n), bool)
+    seen[q, p] = True
+    found, fronts = [(q, p)], [(q, p)]
+    while fronts:
+        q, p = fronts.pop()
+        if len(q) > FRONT:
+            fronts.append((q[FRONT:], p[FRONT:]))
+            q, p = q[:FRONT], p[:FRONT]
+        near = graph[p]
+        q, p = np.repeat(q, near.shape[1]), near.ravel()
+        new = p >= 0
+        q, p = q[new], p[new]
+        new = ~seen[q, p]
+        pair = np.unique(q[new] * n + p[new])
+        q, p = pair // n, pair % n
+        seen[q, p] = True
+        near = np.einsum("kd,kd->k", vectors[p], queries[q]) >= least
+        if near.any():
+            q, p = q[near], p[near]
+            found.append((q, p))
+            fronts.append((q, p))
+    return np.concatenate([q for q, _ in found]), np.concatenate([p for _, p in found])
+
+
+def audited(exact: np.ndarray, exact_queries: np.ndarray, cosine: float, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Queries that the audit looks at and which points each is linked to by plain comparison; own: the queries are the points, and none is a link of its own."""
+    for most in (AUDIT, WIDE_AUDIT):
+        rows = np.linspace(0, len(exact_queries) - 1, min(most, len(exact_queries))).astype(int)
+        truth = exact_queries[rows] @ exact.T >= cosine
+        if own:
+            truth[np.arange(len(rows)), rows] = False
+        if truth.sum() >= LINKS:
+            break
+    return rows, truth
+
+
+def links(vectors: np.ndarray, graphs: list[np.ndarray], queries: np.ndarray, exact: np.ndarray, exact_queries: np.ndarray, cosine: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) pairs of cosine or more that the graph gives. Beams and margin double until the audit's recall is reached, once in any case where the audit met no link, at last until a beam could hold all points."""
     n = len(vectors)
-    audit = np.linspace(0, len(queries) - 1, min(AUDIT, len(queries))).astype(int)
-    truth = exact_queries[audit] @ exact.T >= cosine
-    beam = BEAM
+    audit, truth = audited(exact, exact_queries, cosine, own)
+    of = np.full(len(queries), -1)
+    of[audit] = np.arange(len(audit))
+    beam, margin = BEAM, MARGIN
     while True:
         pairs = [np.empty((0, 2), np.int64)]
         for at in range(0, len(queries), BLOCK):
-            rows = np.arange(at, min(at + BLOCK, len(queries)))
-            width = beam
-            while len(rows):
-                if 8 * width >= n:
-                    pairs += [np.column_stack([part[r], c]) for part in np.array_split(rows, -(-len(rows) // 256)) for r, c in [np.nonzero(queries[part] @ vectors.T >= cosine - SLACK)]]
-                    break
-                found, sims = search(vectors, graphs[-1], queries[rows], descend(vectors, graphs[:-1], queries[rows], n), width)
-                full = sims[:, -1] >= cosine - SLACK
-                r, c = np.nonzero((sims >= cosine - SLACK) & ~full[:, None])
-                pairs.append(np.column_stack([rows[r], found[r, c]]))
-                rows, width = rows[full], 2 * width
+            block = queries[at : at + BLOCK]
+            found, sims = search(vectors, graphs[-1], block, descend(vectors, graphs[:-1], block, n), min(beam, n))
+            r, c = np.nonzero((sims >= cosine - margin) & (found >= 0))
+            q, p = onward(vectors, graphs[-1], block, r, found[r, c], cosine - margin)
+            pairs.append(np.column_stack([q + at, p]))
         q, p = np.concatenate(pairs).T
-        good = np.einsum("kd,kd->k", exact_queries[q], exact[p]) >= cosine
+        good = np.zeros(len(q), bool)
+        for at in range(0, len(q), FRONT):
+            i = slice(at, at + FRONT)
+            good[i] = np.einsum("kd,kd->k", exact_queries[q[i]], exact[p[i]]) >= cosine
         q, p = q[good], p[good]
         hit = np.zeros(truth.shape, bool)
-        of = np.full(len(queries), -1)
-        of[audit] = np.arange(len(audit))
-        hit[of[q[of[q] >= 0]], p[of[q] >= 0]] = True
-        if 8 * beam >= n or (hit & truth).sum() >= RECALL * truth.sum():
+        some = of[q] >= 0
+        hit[of[q[some]], p[some]] = True
+        enough = (hit & truth).sum() >= RECALL * truth.sum() and (truth.any() or beam > BEAM)
+        if enough or beam >= n:
             return q, p
-        beam *= 2
+        beam, margin = 2 * beam, 2 * margin
+
+
+def plain_links(exact: np.ndarray, exact_queries: np.ndarray, cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, point) pairs of cosine or more, without a graph."""
+    pairs = [np.column_stack([r + at, c]) for at in range(0, len(exact_queries), 256) for r, c in [np.nonzero(exact_queries[at : at + 256] @ exact.T >= cosine)]]
+    return tuple(np.concatenate(pairs).T)
 
 
 def _unit(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,40 +230,44 @@ def _unit(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 SHARDS = "label string, dim int, shard int, shards int, ids binary, copies binary, vectors binary, graphs array<binary>"
 
 
-def _index(pdf):
-    """A shard's row: its classes in an order that their ids' hash gives, and its graphs."""
-    import pandas as pd
+def _indexer(exact: bool):
+    """A shard's row: its classes in an order that their ids' hash gives, and its graphs (none where links are found plainly)."""
+
+    def index(pdf):
+        import pandas as pd
+
+        pdf = pdf.iloc[np.argsort((pdf["id"].to_numpy(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))]
+        raw = np.array(pdf["vector"].tolist(), np.float64)
+        graphs = [] if exact else [g.tobytes() for g in build(_unit(raw)[0])]
+        head = pdf.iloc[0]
+        return pd.DataFrame([[head["label"], head["dim"], head["shard"], head["shards"], pdf["id"].to_numpy(np.int64).tobytes(), pdf["copies"].to_numpy(np.int64).tobytes(), raw.tobytes(), graphs]], columns=["label", "dim", "shard", "shards", "ids", "copies", "vectors", "graphs"])
 
-    pdf = pdf.iloc[np.argsort((pdf["id"].to_numpy(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))]
-    raw = np.array(pdf["vector"].tolist(), np.float64)
-    near, _ = _unit(raw)
-    graphs = [g.tobytes() for g in build(near)]
-    head = pdf.iloc[0]
-    return pd.DataFrame([[head["label"], head["dim"], head["shard"], head["shards"], pdf["id"].to_numpy(np.int64).tobytes(), pdf["copies"].to_numpy(np.int64).tobytes(), raw.tobytes(), graphs]], columns=["label", "dim", "shard", "shards", "ids", "copies", "vectors", "graphs"])
+    return index
 
 
-def _compare(cosine: float):
-    """For each (index shard, query shard): how many vectors each class is linked to, and edges that connect linked classes."""
+def _compare(cosine: float, exact_links: bool):
+    """Rows come in order, each shard's own row (with its graphs) first, then those of the shards that are searched in it. For each such pair: how many vectors each class is linked to, and edges that connect linked classes."""
 
     def compare(batches):
         for batch in batches:
             for i in range(len(batch)):
                 row = batch.slice(i, 1).to_pylist()[0]
-                ids, copies = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["copies"], np.int64)
-                near, exact = _unit(np.frombuffer(row["vectors"]).reshape(len(ids), -1))
-                graphs = [np.frombuffer(g, np.int32).reshape(-1, LINKS) for g in row["graphs"]]
-                if row["i"] == row["j"]:
-                    q, p = links(near, graphs, near, exact, exact, cosine)
+                other = np.frombuffer(row["ids"], np.int64)
+                other_copies = np.frombuffer(row["copies"], np.int64)
+                q_near, q_exact = _unit(np.frombuffer(row["vectors"]).reshape(len(other), -1))
+                own = row["j"] < 0
+                if own:
+                    ids, copies, near, exact = other, other_copies, q_near, q_exact
+                    graphs = [np.frombuffer(g, np.int32).reshape(-1, LINKS) for g in row["graphs"]]
+                q, p = plain_links(exact, q_exact, cosine) if exact_links else links(near, graphs, q_near, exact, q_exact, cosine, own)
+                if own:
                     q, p = np.minimum(q, p), np.maximum(q, p)
                     pair = np.unique((q * len(ids) + p)[q != p])
                     a, b = pair // len(ids), pair % len(ids)
                     all_ids, all_copies = ids, copies
                 else:
-                    other = np.frombuffer(row["q_ids"], np.int64)
-                    q_near, q_exact = _unit(np.frombuffer(row["q_vectors"]).reshape(len(other), -1))
-                    a, b = links(near, graphs, q_near, exact, q_exact, cosine)
-                    a, b = a + len(ids), b
-                    all_ids, all_copies = np.concatenate([ids, other]), np.concatenate([copies, np.frombuffer(row["q_copies"], np.int64)])
+                    a, b = q + len(ids), p
+                    all_ids, all_copies = np.concatenate([ids, other]), np.concatenate([copies, other_copies])
                 n = np.bincount(a, all_copies[b], len(all_ids)) + np.bincount(b, all_copies[a], len(all_ids))
                 least, before = np.arange(len(all_ids)), None
                 while before is None or (least != before).any():
@@ -229,25 +281,27 @@ def _compare(cosine: float):
     return compare
 
 
-def linked_classes(classes: DataFrame, cosine: float = COSINE, shard: int = SHARD) -> DataFrame:
+def linked_classes(classes: DataFrame, cosine: float = COSINE, shard: int = SHARD, exact: bool = False) -> DataFrame:
     """(id, to, n): per pair of shards and class with links there, a class it is connected to and the vectors it is linked to. classes: id, label, dim, vector, copies."""
     spark = classes.sparkSession
-    sizes = classes.groupBy(F.col("label").alias("of_label"), F.col("dim").alias("of_dim")).agg(F.ceil(F.count(F.lit(1)) / shard).cast("int").alias("shards"))
-    dealt = classes.join(sizes, (F.col("label") == F.col("of_label")) & (F.col("dim") == F.col("of_dim"))).select("id", "label", "dim", "vector", "copies", "shards", F.pmod(F.xxhash64("id"), "shards").cast("int").alias("shard"))
-    indexed = written(dealt.groupBy("label", "dim", "shard").applyInPandas(_index, SHARDS), "shards")
-    keys, n = ["label", "dim", "i", "j"], partitions(spark)
-    left = indexed.select("label", "dim", F.col("shard").alias("i"), F.explode(F.sequence("shard", F.col("shards") - 1)).alias("j"), "ids", "copies", "vectors", "graphs").repartition(n, *keys)
-    right = indexed.select("label", "dim", F.explode(F.sequence(F.lit(0), "shard")).alias("i"), F.col("shard").alias("j"), F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("vectors").alias("q_vectors")).repartition(n, *keys)
-    return left.join(right.hint("merge"), keys).mapInArrow(_compare(cosine), "id long, to long, n long")
+    sizes = classes.groupBy(F.col("label").alias("of_label"), F.col("dim").alias("of_dim")).agg(F.count(F.lit(1)).alias("size")).withColumn("shards", F.ceil(F.col("size") / shard).cast("int"))
+    dealt = with_groups(classes, sizes, {"label": "of_label", "dim": "of_dim"}, "size", classes.count(), "id").withColumn("shard", F.pmod(F.xxhash64("id"), "shards").cast("int"))
+    indexed = written(dealt.select("id", "label", "dim", "vector", "copies", "shards", "shard").groupBy("label", "dim", "shard").applyInPandas(_indexer(exact), SHARDS), "shards")
+    of_two = F.when((F.abs(F.col("i") - F.col("j")) % 2) == 1, F.least("i", "j")).otherwise(F.greatest("i", "j"))
+    graphs = indexed.select("label", "dim", F.col("shard").alias("i"), F.lit(-1).alias("j"), "ids", "copies", "vectors", "graphs")
+    asked = indexed.select("label", "dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("i"), F.col("shard").alias("j"), "ids", "copies", "vectors").where((F.col("i") != F.col("j")) & (of_two == F.col("i")))
+    rows = graphs.unionByName(asked, allowMissingColumns=True).repartition(partitions(spark), "label", "dim", "i").sortWithinPartitions("label", "dim", "i", "j")
+    return rows.mapInArrow(_compare(cosine, exact), "id long, to long, n long")
 
 
-def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE, shard: int = SHARD, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", exact: bool = False) -> DataFrame:
     """One row per row of embeddings: vec_id, n_links, component_id, kept.
 
     Vectors are compared where labels are equal and not null and lengths are equal. A vector that is null, empty, zero or
     has a null or non-finite component is linked with nothing and is its own component. Equal vectors of one label are one
     node: they are linked with one another and with what it is linked with, without being expanded into pairs. Null ids
-    take part and name no component that has another id. An empty table gives no rows.
+    take part and name no component that has another id. An empty table gives no rows. Pairs are found by the graphs, at
+    the audits' recall or more; exact=True compares the same pairs of shards plainly instead and misses none.
     """
     vector = F.col("vector")
     rows = embeddings.select(embeddings[id_col].cast("long").alias("vec_id"), embeddings[label_col].cast("string").alias("label"), embeddings[vector_col].cast("array<double>").alias("vector"))
@@ -255,12 +309,14 @@ def near_duplicate_vectors(embeddings: DataFrame, cosine: float = COSINE, shard:
     rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & finite, F.lit(False)))
     classes = rows.where("ok").groupBy("label", "vector").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     classes = written(classes.select(F.monotonically_increasing_id().alias("id"), "label", F.size("vector").alias("dim"), "vector", "least", "copies"), "classes")
-    found = written(linked_classes(classes.drop("least"), cosine, shard), "links")
+    found = written(linked_classes(classes.drop("least"), cosine, shard, exact), "links")
     counts = found.groupBy(F.col("id").alias("of")).agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("id").alias("a"), F.col("to").alias("b")))
-    placed = classes.join(counts, F.col("id") == F.col("of"), "left").join(roots, F.col("id") == F.col("node"), "left").select("label", "vector", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("root"))
-    named = placed.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("component_id"))
-    names = placed.join(named, F.col("root") == F.col("name")).select(F.col("label").alias("of_label"), F.col("vector").alias("of_vector"), "n_links", "component_id")
-    linked = rows.where("ok").join(names, (F.col("label") == F.col("of_label")) & (F.col("vector") == F.col("of_vector"))).select("vec_id", "n_links", "component_id")
+    placed = classes.join(counts, F.col("id") == F.col("of"), "left").join(roots, F.col("id") == F.col("node"), "left")
+    placed = written(placed.select("id", "label", "vector", "least", "copies", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("root")), "placed")
+    total, vectors = placed.agg(F.count(F.lit(1)), F.coalesce(F.sum("copies"), F.lit(0))).first()
+    names = placed.groupBy(F.col("root").alias("name")).agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("members"))
+    named = with_groups(placed, names, {"root": "name"}, "members", total, "id").select(F.col("label").alias("of_label"), F.col("vector").alias("of_vector"), "copies", "n_links", "component_id")
+    linked = with_groups(rows.where("ok"), named, {"label": "of_label", "vector": "of_vector"}, "copies", vectors, "vec_id").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).select("vec_id", "n_links", "component_id", F.col("vec_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -61,11 +61,44 @@ def test_recall_over_shards(spark):
     df = spark.createDataFrame([(i, v, l, "x", 0) for i, v, l in rows], SCHEMA)
     stored = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
     want = {i: (n, c) for i, n, c in brute(stored)}
-    got = {i: (n, c) for i, n, c, _ in result(df, shard=40)}
-    assert got.keys() == want.keys()
-    assert sum(n for n, _ in got.values()) >= 0.97 * sum(n for n, _ in want.values())
+    for least, options in ((0.97, {"shard": 40}), (1, {"shard": 40, "exact": True})):
+        got = {i: (n, c) for i, n, c, _ in result(df, **options)}
+        assert got.keys() == want.keys()
+        assert sum(n for n, _ in got.values()) >= least * sum(n for n, _ in want.values())
+        assert all(got[i][0] <= want[i][0] for i in got)
+        assert sum(got[i][1] == want[i][1] for i in got) >= least * len(got)
+
+
+def test_recall_over_large_shards(spark, monkeypatch):
+    """Three shards of about 1,200 vectors, rare links beside a group of hundreds: the graphs find them, and are what finds them."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3300, 32))
+    x[1:900:3] = x[0:900:3] + rng.normal(size=(300, 32)) * 0.05
+    x[2900:] = rng.normal(size=32) + rng.normal(size=(400, 32)) * 0.06
+    df = spark.createDataFrame([(i, v.tolist(), 1, "x", 0) for i, v in enumerate(x)], SCHEMA)
+    stored = [(r.vec_id, r.embedding, r.label) for r in df.collect()]
+    want = {i: (n, c) for i, n, c in brute(stored)}
+    got = {i: (n, c) for i, n, c, _ in result(df, shard=1200)}
+    assert sum(n for n, _ in want.values()) > 50_000
     assert all(got[i][0] <= want[i][0] for i in got)
-    assert sum(got[i][1] == want[i][1] for i in got) >= 0.97 * len(got)
+    assert sum(n for n, _ in got.values()) >= 0.99 * sum(n for n, _ in want.values())
+    assert sum(got[i][1] == want[i][1] for i in got) >= 0.99 * len(got)
+
+
+def test_each_pair_of_shards_meets_once(spark):
+    """Each graph is shipped once, each pair of shards compared once, and no graph has far more than half the others to search."""
+    met = []
+    for i in range(9):
+        mine = [j for j in range(9) if j != i and (min(i, j) if abs(i - j) % 2 else max(i, j)) == i]
+        assert len(mine) == 4
+        met += [frozenset((i, j)) for j in mine]
+    assert len(set(met)) == len(met) == 36
+
+
+def test_audit_leaves_out_a_vector_itself():
+    x = np.eye(50)
+    rows, truth = hnsw.audited(x, x, 0.98, True)
+    assert len(rows) == 50 and not truth.any()
 
 
 def test_graph_search_finds_neighbours():
@@ -84,7 +117,7 @@ def test_links_of_dense_groups():
     centres = rng.normal(size=(30, 24))
     x = centres[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 24)) * rng.choice([0.05, 0.3, 2.0], (3000, 1))
     near, exact = hnsw._unit(x)
-    q, p = hnsw.links(near, hnsw.build(near), near, exact, exact, 0.98)
+    q, p = hnsw.links(near, hnsw.build(near), near, exact, exact, 0.98, True)
     truth = exact @ exact.T >= 0.98
     assert truth[q, p].all() and len(set(zip(q.tolist(), p.tolist()))) == len(q)
     assert len(q) >= 0.97 * truth.sum()
