@@ -3,17 +3,20 @@
 A window is `window` consecutive words; the suffixes that start windows form the trees. Each suffix is filed under a
 prefix that equal windows share: the least-hashed run of PREFIX words inside its window (its anchor). Prefixes are
 counted over the whole table first. One that occurs once has a single leaf below it, so none of its suffixes repeats and
-none moves. One that occurs up to FREQUENT times is a memory-sized group. A more frequent one is lengthened until it is
-the whole window, whose suffixes are told apart by a 128-bit label alone, so that no group grows with the table.
+none moves. One that occurs up to FREQUENT times is a memory-sized group. A more frequent one is lengthened to the whole
+window: its suffixes are filed one by one under all their words.
 
 A group's tree is built level by level from the words themselves (depths 1, 2, 4, ... window); only suffixes below an
 internal node go deeper, and the nodes at full depth with two leaves or more are the repeats. Equal stretches are merged
-within a partition before they are shuffled, so that a passage that many documents share arrives once per partition.
+where they are read, word by word, before they are shuffled, so that a passage that many documents share arrives once
+per task or so, and no group grows with the number of documents.
 """
 
 from __future__ import annotations
 
 import functools
+import itertools
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,12 +26,16 @@ from pyspark.sql import functions as F
 
 from axonframe.llm.common import slices, split_words, texts_of
 
-WINDOW, PREFIX, FREQUENT = 35, 8, 256
+WINDOW, PREFIX, FREQUENT = 35, 8, 4096
+#: Bytes of stretches that a task remembers to merge later ones with; beyond it, it starts anew.
+REMEMBERED_BYTES = 24 << 20
+#: Windows in one run at most; a longer run is several.
+RUN_WINDOWS = (1 << 24) - 1
 ONE_SLICE = 2 << 20
 #: Text of the stretches whose trees are grown at once.
 GROUP_BYTES = 3 << 20
-#: Odd multipliers of the rolling hashes, of bytes in a word and (two) of words in a run.
-BYTE_BASE, RUN_BASES = 0x9E3779B97F4A7C15, (0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
+#: Odd multipliers of the rolling hashes, of bytes in a word and of words in a run.
+BYTE_BASE, RUN_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 NO_HASH = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -80,13 +87,13 @@ class Anchors:
         else:
             raw = np.empty(0, np.uint8)
         values = Runs(_BYTE_VALUES[raw], BYTE_BASE)(ends - self.size, ends)
-        self.runs = [Runs(values, base) for base in RUN_BASES]
+        self.runs = Runs(values, RUN_BASE)
         doc = np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
         place = np.arange(n)
         left = self.first[doc + 1] - place if n else place
         hashes = np.full(n, NO_HASH)
         full = np.flatnonzero(left >= prefix)
-        hashes[full] = self.runs[0](full, full + prefix)
+        hashes[full] = self.runs(full, full + prefix)
         value, at, wide = hashes, place, 1
         reach = window - prefix + 1
         while wide < reach:
@@ -160,10 +167,18 @@ def _loosened(batches, column: str = "frame"):
             yield from slices(part.set_column(at, "text", _texts(part.column(at))), most=ONE_SLICE)
 
 
-STRETCH = "g long, kind int, label long, doc_id long, mark long, a long, m long, words string"
+STRETCH = "g long, doc_id long, mark long, a long, m long, words string"
 RUN = "doc_id long, mark long, run long"
 
 
+def pack_runs(a: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, first window << 24 | number of windows) of runs of m windows from a, those of over RUN_WINDOWS windows in several pieces."""
+    pieces = -(-m // RUN_WINDOWS)
+    row = np.repeat(np.arange(len(m)), pieces)
+    step = (np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * RUN_WINDOWS
+    return row, (a[row] + step << 24) | np.minimum(m[row] - step, RUN_WINDOWS)
+
+
 def _joined(words: pa.Array, size: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Array:
     """Texts of the stretches of words, a space behind each word."""
     spaced = pc.binary_join_element_wise(words, "", " ")
@@ -176,53 +191,68 @@ def _joined(words: pa.Array, size: np.ndarray, start: np.ndarray, stop: np.ndarr
     return pa.StringArray.from_buffers(len(start), pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(picked.tobytes()))
 
 
-def _stretches(window: int, prefix: int, frequent: int):
-    """From (doc_id, mark, frame, prefixes, counts): what goes to the trees.
+def alike(code: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the words from a on equal those from b on, for `size` words."""
+    same = np.ones(len(a), bool)
+    for k in range(int(size.max(initial=0))):
+        i = np.flatnonzero(same & (k < size))
+        same[i] = code[a[i] + k] == code[b[i] + k]
+    return same
+
+
+def _stretches(window: int, prefix: int):
+    """From (doc_id, mark, frame, prefixes, frequent): what goes to the trees.
 
-    kind 0: a stretch of words whose windows share an ordinary prefix. kind 1: the label of one window below a frequent
-    prefix. kind 2: windows that repeat within this partition, settled here.
+    With words: a stretch whose windows share an ordinary prefix, or one window below a frequent prefix. Without words
+    (null): windows known to repeat, since the same stretch was met before in this task.
     """
 
     def stretch(batches):
-        seen: dict[int, list] = {}
+        seen: dict[str, list] = {}
+        held = 0
         for part in _loosened(batches):
-            yield from one_slice(part, seen)
+            if held > REMEMBERED_BYTES:
+                seen, held = {}, 0
+            held += yield from one_slice(part, seen)
 
     def one_slice(part, seen):
         found = Anchors(part.column(2), window, prefix)
-        prefixes = part.column(3).values.to_numpy()
-        counts = part.column(4).values.to_numpy()
-        known = np.isin(found.hash, prefixes)
-        often = known & np.isin(found.hash, prefixes[counts > frequent])
-        some = np.flatnonzero(known & ~often)
+        often = np.isin(found.hash, part.column(4).flatten().to_numpy())
+        some = np.flatnonzero(np.isin(found.hash, part.column(3).flatten().to_numpy()) & ~often)
         many = np.repeat(np.flatnonzero(often), found.m[often])
         step = np.arange(len(many)) - np.repeat(np.cumsum(found.m[often]) - found.m[often], found.m[often])
         a = np.concatenate([found.a[some], found.a[many] + step])
         m = np.concatenate([found.m[some], np.ones(len(many), np.int64)])
-        kind = np.concatenate([np.zeros(len(some), np.int64), np.ones(len(many), np.int64)])
         doc = np.concatenate([found.doc[some], found.doc[many]])
+        if not len(a):
+            return 0
         stop = a + m + window - 1
-        one, two = (r(a, stop).view(np.int64) for r in found.runs)
-        g = np.where(kind == 0, np.concatenate([found.hash[some], np.zeros(len(many), np.int64)]), one)
-        ids, marks = part.column(0), part.column(1)
+        whole = found.runs(a, stop).view(np.int64)
+        g = np.concatenate([found.hash[some], whole[len(some) :]])
         local = a - found.first[doc]
-        _, rep, inverse = np.unique(one, return_index=True, return_inverse=True)
+        code = found.words.dictionary_encode().indices.to_numpy()
+        _, rep, inverse = np.unique(whole, return_index=True, return_inverse=True)
         own = rep[inverse]
-        same = (two == two[own]) & (own != np.arange(len(own)))
-        settled = same.copy()
-        settled[own[same]] = True
-        ship = np.zeros(len(a), bool)
-        ship[~same] = True
-        back = []
-        id_list, mark_list = ids.to_pylist(), marks.to_pylist()
-        for i in np.flatnonzero(~same).tolist():
-            was = seen.get(int(one[i]))
+        other = np.flatnonzero((own != np.arange(len(own))) & (stop - a == (stop - a)[own]))
+        other = other[alike(code, a[other], a[own[other]], (stop - a)[other])]
+        settled = np.zeros(len(a), bool)
+        settled[other] = settled[own[other]] = True
+        ship = np.ones(len(a), bool)
+        ship[other] = False
+        first = np.flatnonzero(ship)
+        texts = _joined(found.words, found.size, a[first], stop[first])
+        ids, marks = part.column(0), part.column(1)
+        back, held = [], 0
+        id_of, mark_of = ids.to_pylist(), marks.to_pylist()
+        for i, text in zip(first.tolist(), texts.to_pylist()):
+            was = seen.get(text)
             if was is None:
-                seen[int(one[i])] = [int(two[i]), id_list[doc[i]], mark_list[doc[i]], int(local[i]), int(m[i]), bool(settled[i])]
-            elif was[0] == two[i]:
+                seen[text] = [id_of[doc[i]], mark_of[doc[i]], int(local[i]), int(m[i]), bool(settled[i])]
+                held += len(text)
+            else:
                 ship[i], settled[i] = False, True
-                if not was[5]:
-                    was[5] = True
+                if not was[4]:
+                    was[4] = True
                     back.append(was)
         order = np.flatnonzero(settled)
         order = order[np.lexsort((local[order], doc[order]))]
@@ -231,21 +261,20 @@ def _stretches(window: int, prefix: int, frequent: int):
             new = np.ones(len(order), bool)
             new[1:] = (d[1:] != d[:-1]) | (s[1:] != s[:-1] + n[:-1])
             at = np.flatnonzero(new)
-            total = np.add.reduceat(n, at)
-            yield _rows(one[order[at]], 2, np.zeros(len(at), np.int64), ids.take(pa.array(d[at])), marks.take(pa.array(d[at])), s[at], total, None)
+            yield _rows(whole[order[at]], ids.take(pa.array(d[at])), marks.take(pa.array(d[at])), s[at], np.add.reduceat(n, at), None)
         if back:
-            yield _rows(np.array([b[0] for b in back], np.int64), 2, np.zeros(len(back), np.int64), pa.array([b[1] for b in back], pa.int64()), pa.array([b[2] for b in back], pa.int64()), np.array([b[3] for b in back]), np.array([b[4] for b in back]), None)
-        for k in (0, 1):
-            i = np.flatnonzero(ship & (kind == k))
-            if len(i):
-                text = _joined(found.words, found.size, a[i], stop[i]) if k == 0 else None
-                yield _rows(g[i], k, two[i], ids.take(pa.array(doc[i])), marks.take(pa.array(doc[i])), local[i], m[i], text)
+            columns = list(zip(*back))
+            yield _rows(np.arange(len(back)), pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), np.array(columns[2]), np.array(columns[3]), None)
+        i = np.flatnonzero(ship)
+        if len(i):
+            yield _rows(g[i], ids.take(pa.array(doc[i])), marks.take(pa.array(doc[i])), local[i], m[i], texts.filter(pa.array(ship[first])))
+        return held
 
     return stretch
 
 
-def _rows(g, kind, label, ids, marks, a, m, words):
-    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(np.full(len(g), kind, np.int32)), pa.array(label), ids, marks, pa.array(a.astype(np.int64)), pa.array(m.astype(np.int64)), pa.nulls(len(g), pa.string()) if words is None else words], ["g", "kind", "label", "doc_id", "mark", "a", "m", "words"])
+def _rows(g, ids, marks, a, m, words):
+    return pa.RecordBatch.from_arrays([pa.array(g), ids, marks, pa.array(a.astype(np.int64)), pa.array(m.astype(np.int64)), pa.nulls(len(g), pa.string()) if words is None else words], ["g", "doc_id", "mark", "a", "m", "words"])
 
 
 def repeated_suffixes(code: np.ndarray, stop: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
@@ -269,49 +298,37 @@ def repeated_suffixes(code: np.ndarray, stop: np.ndarray, start: np.ndarray, win
 
 
 def _trees(window: int):
-    """(doc_id, mark, run) of repeated windows, run being first window << 24 | number of windows."""
+    """(doc_id, mark, run) of repeated windows, runs as pack_runs gives them. Rows come in order of their prefixes: some groups are held at a time."""
 
     def grow(batches):
-        held = []
-        for batch in batches:
-            kind = batch.column(1).to_numpy()
-            settled = np.flatnonzero(kind == 2)
-            if len(settled):
-                yield from _emitted(batch.take(pa.array(settled)))
-            held.append(batch.take(pa.array(np.flatnonzero(kind != 2))))
-        pa.default_memory_pool().release_unused()
-        if not held:
-            return
-        table = pa.Table.from_batches(held).combine_chunks()
-        if not table.num_rows:
-            return
-        batch = table.to_batches()[0]
-        kind = batch.column(1).to_numpy()
-        labels = batch.take(pa.array(np.flatnonzero(kind == 1)))
-        if labels.num_rows:
-            g, label = labels.column(0).to_numpy(), labels.column(2).to_numpy()
-            order = np.lexsort((label, g))
-            alike = (g[order][1:] == g[order][:-1]) & (label[order][1:] == label[order][:-1])
-            twice = np.zeros(len(g), bool)
-            twice[order[1:][alike]] = True
-            twice[order[:-1][alike]] = True
-            yield from _emitted(labels.take(pa.array(np.flatnonzero(twice))))
-        plain = np.flatnonzero(kind == 0)
-        prefixes, size = batch.column(0).to_numpy()[plain], pc.binary_length(batch.column(7)).fill_null(0).to_numpy(zero_copy_only=False)[plain]
-        order = np.argsort(prefixes, kind="stable")
-        plain, prefixes, ends = plain[order], prefixes[order], np.cumsum(size[order])
-        at = 0
-        while at < len(plain):
-            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + GROUP_BYTES, side="right")))
-            stop = int(np.searchsorted(prefixes, prefixes[stop - 1], side="right"))
-            yield _group(batch.take(pa.array(plain[at:stop])))
-            at = stop
-
-    def _group(plain):
+        held, size = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                settled = pc.is_null(batch.column(5))
+                if settled.true_count:
+                    yield _emitted(batch.filter(settled))
+                    batch = batch.filter(pc.invert(settled))
+                held.append(batch)
+                size += pc.sum(pc.binary_length(batch.column(5))).as_py() or 0
+            if size < GROUP_BYTES and batch is not None or not held:
+                continue
+            rows = pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+            if not rows:
+                continue
+            rows = rows[0]
+            g = rows.column(0).to_numpy()
+            stop = len(g) if batch is None else int(np.flatnonzero(g != g[-1])[-1] + 1) if (g != g[-1]).any() else 0
+            if stop:
+                yield _group(rows.slice(0, stop))
+            if stop < len(g):
+                held = [rows.take(pa.array(np.arange(stop, len(g))))]
+
+    def _group(rows):
         """Some prefixes' trees at once; a prefix is never split."""
-        words, first = split_words(plain.column(7))
+        words, first = split_words(rows.column(5))
         code = words.dictionary_encode().indices.to_numpy()
-        m = plain.column(6).to_numpy()
+        m = rows.column(4).to_numpy()
         row = np.repeat(np.arange(len(m)), m)
         step = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
         again = repeated_suffixes(code, np.repeat(first[1:], np.diff(first)), first[row] + step, window)
@@ -319,27 +336,29 @@ def _trees(window: int):
         new = np.ones(len(row), bool)
         new[1:] = (row[1:] != row[:-1]) | (step[1:] != step[:-1] + 1)
         at = np.flatnonzero(new)
-        many = np.diff(np.append(at, len(row)))
-        runs = ((plain.column(5).to_numpy()[row[at]] + step[at]) << 24) | many
-        own = pa.array(row[at])
-        return pa.RecordBatch.from_arrays([plain.column(3).take(own), plain.column(4).take(own), pa.array(runs)], ["doc_id", "mark", "run"])
+        return _runs(rows, row[at], rows.column(3).to_numpy()[row[at]] + step[at], np.diff(np.append(at, len(row))))
+
+    def _emitted(rows):
+        return _runs(rows, np.arange(len(rows)), rows.column(3).to_numpy(), rows.column(4).to_numpy())
 
-    def _emitted(batch):
-        runs = (batch.column(5).to_numpy() << 24) | batch.column(6).to_numpy()
-        yield pa.RecordBatch.from_arrays([batch.column(3), batch.column(4), pa.array(runs)], ["doc_id", "mark", "run"])
+    def _runs(rows, row, a, m):
+        piece, runs = pack_runs(a, m)
+        own = pa.array(row[piece])
+        return pa.RecordBatch.from_arrays([rows.column(1).take(own), rows.column(2).take(own), pa.array(runs)], ["doc_id", "mark", "run"])
 
     return grow
 
 
 def repeated_runs(docs: DataFrame, frames: DataFrame, window: int = WINDOW, prefix: int = PREFIX, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, mark, run) of the windows of docs (doc_id, mark, text; frames has the texts squeezed) that start elsewhere too; run as in _trees."""
+    """(doc_id, mark, run) of the windows of docs (doc_id, mark, text; frames has the texts squeezed) that start elsewhere too; run as in pack_runs. Rows that repeat bring their prefixes once."""
     counted = docs.select("doc_id", "text").mapInArrow(_count(window, prefix), "h long, n long")
     counts = counted.groupBy(F.col("h").alias("prefix")).agg(F.sum("n").alias("n")).where("n > 1")
     keyed = docs.select(F.xxhash64("doc_id", "mark").alias("key"), "text")
     found = keyed.mapInArrow(_occurrences(window, prefix), "h long, key long").join(counts, F.col("h") == F.col("prefix"))
-    lists = found.groupBy(F.col("key").alias("of")).agg(F.collect_list("prefix").alias("prefixes"), F.collect_list("n").alias("counts"))
-    held = frames.withColumn("key", F.xxhash64("doc_id", "mark")).join(lists, F.col("key") == F.col("of")).select("doc_id", "mark", "frame", "prefixes", "counts")
-    return held.mapInArrow(_stretches(window, prefix, frequent), STRETCH).repartition("g").mapInArrow(_trees(window), RUN)
+    often = F.col("n") > frequent
+    lists = found.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.when(~often, F.col("prefix"))).alias("prefixes"), F.collect_set(F.when(often, F.col("prefix"))).alias("frequent"))
+    held = frames.withColumn("key", F.xxhash64("doc_id", "mark")).join(lists, F.col("key") == F.col("of")).select("doc_id", "mark", "frame", "prefixes", "frequent")
+    return held.mapInArrow(_stretches(window, prefix), STRETCH).repartition("g").sortWithinPartitions("g").mapInArrow(_trees(window), RUN)
 
 
 def _cut(window: int):
@@ -354,7 +373,7 @@ def _cut(window: int):
             start = (flat >> 24) + np.repeat(first[:-1], lists)
             edge = np.zeros(len(words) + 1, np.int64)
             np.add.at(edge, start, 1)
-            np.add.at(edge, start + (flat & 0xFFFFFF) + window - 1, -1)
+            np.add.at(edge, start + (flat & RUN_WINDOWS) + window - 1, -1)
             keep = np.cumsum(edge[:-1]) == 0
             kept = np.concatenate([[0], np.cumsum(keep)])[first]
             left = words.filter(pa.array(keep))
@@ -382,5 +401,5 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX,
 
 
 def removal_digest(docs: DataFrame, **options) -> DataFrame:
-    """remove_repeats with the sha256 of kept_text in its place."""
+    """remove_repeats with the sha256 of kept_text in its place: doc_id, n_words, n_removed, kept_sha256 (of the empty text for a null or empty one). An empty table gives no rows."""
     return remove_repeats(docs, **options).select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))

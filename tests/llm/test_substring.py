@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from axonframe.llm import substring
@@ -53,3 +55,52 @@ def test_shared_passages(spark, frequent):
     rows += [(400, "der " * 90 + "und " * 40, None, None, None), (401, "der " * 50, None, None, None), (402, "solo " * 35, None, None, None)]
     check(spark.createDataFrame(rows, DOCS).repartition(6), frequent=frequent)
     check(spark.createDataFrame(rows, DOCS).repartition(6), window=12, frequent=frequent, prefix=4)
+
+
+@pytest.mark.parametrize("frequent", [50, 4096])
+def test_many_repeated_rows(spark, frequent):
+    """10,000 rows of one id and text, 3,000 others that share a passage, and one long text of a single word."""
+    passage = " ".join(f"p{i}" for i in range(50))
+    rows = [(7, passage + " tail " * 3)] * 10_000 + [(100 + i, f"a{i} b{i} {passage} c{i}") for i in range(3000)] + [(9, "und " * 60_000), (None, passage), (None, passage)]
+    check(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), frequent=frequent)
+
+
+def test_long_runs_are_packed_in_pieces(monkeypatch):
+    monkeypatch.setattr(substring, "RUN_WINDOWS", 10)
+    row, runs = substring.pack_runs(np.array([5, 100]), np.array([25, 3]))
+    assert row.tolist() == [0, 0, 0, 1]
+    assert [(int(r) >> 24, int(r) & 0xFFFFFF) for r in runs] == [(5, 10), (15, 10), (25, 5), (100, 3)]
+    big = substring.pack_runs(np.array([1 << 36]), np.array([3]))[1]
+    assert big[0] >> 24 == 1 << 36
+
+
+def test_words_decide_and_not_hashes():
+    code = np.array([1, 2, 3, 1, 2, 4, 1, 2, 3])
+    assert substring.alike(code, np.array([0, 0, 0]), np.array([3, 6, 3]), np.array([3, 3, 2])).tolist() == [False, True, True]
+
+
+def frames(texts):
+    import zstandard
+
+    squeeze = zstandard.ZstdCompressor().compress
+    n = len(texts)
+    found = [np.unique(substring.Anchors(pa.array([t]), 5, 2).hash) for t in texts]
+    lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32), pa.array(np.concatenate(found)))
+    none = pa.array([[]] * n, pa.list_(pa.int64()))
+    return pa.RecordBatch.from_arrays([pa.array(range(n), pa.int64()), pa.array(range(n), pa.int64()), pa.array([squeeze(t.encode()) for t in texts], pa.binary()), lists, none], ["doc_id", "mark", "frame", "prefixes", "frequent"])
+
+
+@pytest.mark.parametrize("remembered, slice_bytes", [(0, 40), (100, 40), (1 << 20, 40), (1 << 20, 1 << 20)])
+def test_what_a_task_remembers_changes_nothing(monkeypatch, remembered, slice_bytes):
+    """Stretches are merged within a slice, with what the task remembers, or in the trees: the runs are the same."""
+    monkeypatch.setattr(substring, "REMEMBERED_BYTES", remembered)
+    monkeypatch.setattr(substring, "ONE_SLICE", slice_bytes)
+    texts = ["a b c d e f g", "x a b c d e y", "q w e r t z u", "a b c d e f g", "q w e r t y"] * 2 + ["only once here it stands"]
+    rows = pa.Table.from_batches(substring._stretches(5, 2)(iter([frames(texts)]))).sort_by("g").to_batches(max_chunksize=3)
+    covered = set()
+    for b in substring._trees(5)(iter(rows)):
+        for d, run in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
+            covered |= {(d, (run >> 24) + k) for k in range(run & 0xFFFFFF)}
+    split = [t.split() for t in texts]
+    seen = Counter(tuple(w[i : i + 5]) for w in split for i in range(len(w) - 4))
+    assert covered == {(d, i) for d, w in enumerate(split) for i in range(len(w) - 4) if seen[tuple(w[i : i + 5])] > 1}
