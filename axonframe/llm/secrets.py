@@ -3,6 +3,7 @@
 A candidate is a long string shortly behind a word such as "key" or "auth". Its novelty is what it adds to the compressed
 size of the text around it, under a dictionary of common identifiers: readable identifiers and repeated text add little,
 random keys nearly their full entropy. Candidates whose bytes are mostly new are reported beside the patterns' spans.
+A candidate has letters and digits: words of any language that is written together are no keys, however new they are.
 """
 
 from __future__ import annotations
@@ -24,9 +25,11 @@ KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{16,}")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 12, 18, 16
-#: A text without any of these has no span; a superset of what the patterns and candidates need, for a quick first look.
-MAYBE = r"(?i:password|passwd|secret|token|api_?key|auth|bearer|credential|private|signature|client_?id|access_?key|key\s*[:=])|AKIA|[0-9a-f]{16}"
-CONTEXT = re.compile(r"(?:auth\w*|bearer|credentials?|private_?key|signature|client_?id|access_?key|secret\w*|token|passw\w*|api_?key|key\s*[:=])", re.I | re.A)
+#: Words behind which a candidate may stand.
+CONTEXTS = (r"auth\w*", "bearer", "credentials?", "private_?key", "signature", "client_?id", "access_?key", r"secret\w*", "token", r"passw\w*", "api_?key", r"key\s*[:=]")
+CONTEXT = re.compile("|".join(CONTEXTS), re.I | re.A)
+#: A text without any of these has no span: the fixed patterns' keywords are among the contexts. For a quick first look.
+MAYBE = f"(?i:{'|'.join(CONTEXTS)})|AKIA|[0-9a-f]{{16}}"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: How far behind its context word a candidate may start, how much text around it primes the compressor, and the share of its bytes that must be new.
 REACH, AROUND, NOVEL_SHARE = 40, 400, 0.72
@@ -73,6 +76,11 @@ class Novelty:
         return found
 
 
+def find_novel(text: str) -> list[tuple[int, int, int]]:
+    """The novel spans of one text, whether or not fixed patterns match there."""
+    return Novelty().spans(text)
+
+
 def all_spans(text: str, novelty: Novelty) -> tuple[list, list]:
     """The fixed patterns' spans, and those with the novel ones, in order of start and kind. A candidate within a fixed span is not a second finding."""
     base = base_spans(text)
@@ -110,7 +118,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """The rows of docs with each secret span (overlapping ones as one) replaced by mark, n_chars renewed; null texts stay null."""
+    """The rows of docs with each secret span (overlapping ones as one) replaced by mark, n_chars renewed; null texts stay null, other columns as they are, whatever their names. An empty table stays empty."""
 
     def redacted(batches):
         novelty = Novelty()

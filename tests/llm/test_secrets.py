@@ -1,11 +1,17 @@
 import hashlib
+import random
 import re
+import string
 
+import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import functions as F
 
 from axonframe.llm import secrets
 from tests.llm.cases import DOCS, awkward, empty
 
+KEY = "Zq8vT3LmXw92KpRrYd7NcBf1Hs5Jg0"
 ASSIGN = r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD])|(?:[pP][aA][sS][sS][wW][dD])|(?:[sS][eE][cC][rR][eE][tT])|(?:[tT][oO][kK][eE][nN])|(?:[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 
@@ -27,8 +33,53 @@ def test_base_spans(spark):
     assert secrets.find_secrets(empty(spark)).count() == 0
 
 
+def test_first_look_covers_all_contexts():
+    """Each alternative of the context pattern, in every case, with each form of its optional parts, passes the first look."""
+    for word in ("auth", "authorized", "bearer", "credential", "credentials", "private_key", "privatekey", "signature", "client_id", "clientid", "access_key", "accesskey", "secret", "secrets", "token", "passw", "Passwort", "passwrd", "passwd", "password", "api_key", "apikey", "key:", "key ="):
+        for form in (word, word.upper(), word.title()):
+            assert secrets.CONTEXT.search(form) and pc.match_substring_regex(pa.array([f"xx {form} yy"]), secrets.MAYBE)[0].as_py(), form
+    text = f"das passwort {KEY} hier"
+    assert secrets.find_novel(text) == [(13, 13 + len(KEY), 3)]
+
+
+def brute_novel(text):
+    """Every candidate and every context before it, with the compressed sizes taken afresh."""
+    found = []
+    words = "|".join(secrets.CONTEXTS)
+    compress = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(secrets.IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False).compress
+    for c in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
+        near = [m for m in re.finditer(words, text, re.I | re.A) if m.end() <= c.start() <= m.end() + secrets.REACH]
+        if not near or not re.search("[0-9]", c[0]) or not re.search("[A-Za-z]", c[0]):
+            continue
+        around = (text[max(0, c.start() - secrets.AROUND) : c.start()] + " " + text[c.end() : c.end() + secrets.AROUND]).encode()
+        if len(compress(around + c[0].encode())) - len(compress(around)) >= secrets.NOVEL_SHARE * len(c[0]):
+            found.append((c.start(), c.end(), 3))
+    return found
+
+
+def planted(rng, n=400):
+    """Texts of code around keys (True) and around long identifiers, paths and repeated strings (False), none of which the fixed patterns match."""
+    letters = string.ascii_letters + string.digits
+    names = ["request", "handler", "service", "config", "default", "production", "version", "client", "response", "session", "internal", "callback"]
+    for _ in range(n):
+        word = rng.choice(["auth", "bearer", "credentials", "private_key", "signature", "client_id", "access_key", "Passwort", "key:"])
+        code = " ".join(rng.choice(names) + rng.choice(["(", ")", " =", ";", "_id", ""]) for _ in range(rng.randrange(5, 60)))
+        yield True, f"{code} {word} {''.join(rng.choice(letters) for _ in range(rng.randrange(24, 60)))} {code[:80]}"
+        name = "_".join(rng.choice(names) for _ in range(rng.randrange(3, 6))) + str(rng.randrange(100))
+        yield False, f"{code} {word} {rng.choice([name, '/'.join(name.split('_')), 'x' * 20 + '0' * 12, 'abcdefghijklmnop0123456789'])} {code[:80]}"
+
+
+def test_novel_spans_against_brute_force():
+    rng = random.Random(5)
+    rows = list(planted(rng))
+    got = [secrets.find_novel(t) for _, t in rows]
+    assert got == [brute_novel(t) for _, t in rows]
+    hits, wrong = sum(bool(g) for (y, _), g in zip(rows, got) if y), sum(bool(g) for (y, _), g in zip(rows, got) if not y)
+    assert hits >= 0.9 * len(rows) / 2 and wrong <= 0.02 * len(rows) / 2, (hits, wrong)
+
+
 def test_novelty_and_redaction(spark):
-    key = "Zq8vT3LmXw92KpRrYd7NcBf1Hs5Jg0"
+    key = KEY
     texts = [f"the auth header {key} was sent", "auth_configuration_production_environment_default_2", "authorization service_request_response_header_01", f"nothing near {key}", None, ""]
     docs = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(texts)], DOCS)
     got = {r.doc_id: r.spans for r in secrets.find_secrets(docs).collect()}
