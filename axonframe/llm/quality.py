@@ -146,20 +146,12 @@ def sampled_labels(labels: DataFrame, label: str, folds: int, fold: int, most: i
     return rows.orderBy(F.xxhash64("label_id"), "label_id", "y").limit(most)
 
 
-def _vectors(batches):
-    for batch in batches:
-        for part in slices(batch):
-            x = statistics(part.column(1))
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column(0), lists], ["doc_id", "x"])
-
-
 def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Trees:
-    """Trees learned from labels.quality of rows outside the held-out fold, at most `most` of them; no row: a constant of one half."""
+    """Trees learned from labels.quality of rows outside the held-out fold, at most `most` of them, and of rows that share an id and a label one; no row: a constant of one half."""
     sample = F.broadcast(sampled_labels(labels, "quality", FOLDS, HELD_OUT_FOLD, most))
     rows = texts_of(docs, id_col, text_col).join(sample, F.col("doc_id") == F.col("label_id"))
-    learned = rows.select("y", "text").mapInArrow(_vectors_with_label, "y double, x array<double>").toPandas()
-    return fit_trees(*in_order(learned, len(FEATURES)))
+    vectors = rows.select("label_id", "y", "text").mapInArrow(_vectors_with_label, "label_id long, y double, x array<double>")
+    return fit_trees(*in_order(vectors.groupBy("label_id", "y").agg(F.min("x").alias("x")).toPandas(), len(FEATURES)))
 
 
 def in_order(learned, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,8 +162,11 @@ def in_order(learned, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _vectors_with_label(batches):
-    for batch in _vectors(batches):
-        yield batch.rename_columns(["y", "x"])
+    for batch in batches:
+        for part in slices(batch):
+            x = statistics(part.column(2))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), lists], ["label_id", "y", "x"])
 
 
 def _scorer(model: Trees):
@@ -195,7 +190,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs with a score of 0.5 or more, all columns. Rows are scored one by one, so equal ids need not share a fate."""
+    """The rows of docs with a score of 0.5 or more, all columns, whatever their names. Rows are scored one by one, so equal ids need not share a fate. A null text is scored as the empty one and stays null. An empty table stays empty; without labels all scores are one half and every row stays."""
     model = fit(docs, labels, id_col=id_col, text_col=text_col)
 
     def good(batches):

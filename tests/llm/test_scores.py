@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import numpy as np
@@ -55,8 +56,84 @@ def test_trees_learn_an_interaction():
 
 
 def test_folding_and_exceptions():
-    folded = toxicity.fold(pa.array(["Stоpid!!", "1d10t,", "***M0R0N***", "réêou", "2024", "", "clown"])).to_pylist()
-    assert folded == ["stopid", "idiot", "moron", "réêou", "2024", "", "clown"]
+    words = ["Stоpid!!", "1d10t,", "***M0R0N***", "r\u00e9e\u0302ou", "2024", "", "clown", "@sshole", "a$$", "a$$!", "$hit", "(!diot!)", "!!!wow", "sh!t", "$5", "ＩＤＩＯＴ", "id\u200biot", "\u202eidiot", "US$", "!", "@", "ﬁne"]
+    folded = toxicity.fold(pa.array(words)).to_pylist()
+    assert folded == ["stopid", "idiot", "moron", "r\u00e9\u00eaou", "2024", "", "clown", "asshole", "ass", "ass", "shit", "idiot", "wow", "shit", "5", "idiot", "idiot", "idiot", "uss", "", "", "fine"]
     lexicon = {"clown": 3.0, "idiot": 2.0, "idio*": 1.0, "stu*": 1.5}
-    m = toxicity.measures(pa.array(["a clown fish here", "a clown here", "an 1d10t", "stupidity", "nothing", ""]), toxicity.automaton(lexicon))
+    m = toxicity.measures(pa.array(["a clown fish here", "a clown here", "an 1d10t", "stupidity", "nothing", ""]), toxicity.automaton(lexicon, ["clown fish"]))
     assert np.allclose(m[:, 0], np.log1p([0, 3, 2, 1.5, 0, 0]))
+
+
+def brute_measures(text, lexicon, exceptions):
+    """Each folded word against each term, without an automaton."""
+    words = [f for w in re.findall(r"[^\x20\x09-\x0D]+", text) if (f := toxicity.fold(pa.array([w]))[0].as_py())]
+    safe = {k for phrase in exceptions for i in range(len(words) - 1) if f"{words[i]} {words[i + 1]}" == phrase for k in (i, i + 1)}
+    total, terms = 0.0, set()
+    for i, w in enumerate(words):
+        own = [(v, t) for t, v in lexicon.items() if (w.startswith(t[:-1]) if t.endswith("*") else w == t)]
+        if own and i not in safe:
+            total += max(own)[0]
+            terms.add(max(own)[1])
+    n = len(re.findall(r"[^\x20\x09-\x0D]+", text))
+    return [np.log1p(total), total / np.sqrt(n + 10), 100 * total / (n + 10), np.log1p(len(terms))] if terms else [0.0] * 4
+
+
+def test_measures_against_brute_force():
+    rng = np.random.default_rng(2)
+    vocabulary = ["idiot", "1d10t", "idiocy", "stupid", "stupidity", "clown", "clowns", "fish", "@ss", "ass", "asset", "the", "a", "of!", "--", "moron,", "M0RON"]
+    lexicon = {"idiot": 2.0, "idio*": 1.0, "stup*": 1.5, "clown": 3.0, "ass": 2.5, "moron": 2.25}
+    exceptions = ["clown fish", "stupid ass", "the idiot"]
+    texts = [" ".join(rng.choice(vocabulary, rng.integers(0, 40))) for _ in range(300)]
+    got = toxicity.measures(pa.array(texts), toxicity.automaton(lexicon, exceptions))
+    assert np.allclose(got, [brute_measures(t, lexicon, exceptions) for t in texts])
+
+
+def test_exceptions_are_learned_from_clean_rows(spark):
+    rng = np.random.default_rng(3)
+    filler = lambda: " ".join(f"w{n}" for n in rng.integers(0, 60, 12))
+    rows = [(1.0, f"{filler()} you clown {filler()}") for _ in range(200)] + [(0.0, f"{filler()} clown fish {filler()}") for _ in range(60)] + [(0.0, filler()) for _ in range(600)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "y double, text string"))
+    assert "clown" in lexicon.weights and "clown fish" in lexicon.exceptions and "you clown" not in lexicon.exceptions
+
+
+def test_repeated_ids_do_not_swell_the_sample(spark):
+    docs = spark.createDataFrame([(1, f"text {i} good") for i in range(300)] + [(2, f"other {i} bad") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], LABELS)
+    assert {r.score for r in quality.score_documents(docs, labels, most=2).collect()}
+    assert {r.score for r in toxicity.score_documents(docs, labels, most=20).collect()}
+
+
+def scalar_statistics(text):
+    """The statistics one character and word at a time."""
+    raw = text.encode()
+    classes = [("lower", "abcdefghijklmnopqrstuvwxyz"), ("upper", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("digit", "0123456789"), ("space", " \t"), ("newline", "\n\r\x0b\x0c"), ("stop", ".?"), ("comma", ",;:"), ("bang", "!"), ("bar", "|"), ("symbol", "#$%&*@^~"), ("bracket", "<>{}[]()/\\")]
+    kind = lambda b: "high" if b > 127 else next((n for n, cs in classes if chr(b) in cs), "other_ascii")
+    counts = {n: 0 for n in quality._CLASSES}
+    for b in raw:
+        counts[kind(b)] += 1
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n, pairs = len(words), list(zip(words, words[1:]))
+    per = lambda x, by: x / max(by, 1)
+    return [
+        np.log1p(len(raw)), np.log1p(n), per(len(raw), n), *(per(counts[c], len(raw)) for c in quality._CLASSES),
+        per(len(set(words)), n), per(len(set(pairs)), n - 1), per(sum(a == b for a, b in pairs), n - 1),
+        per(sum(len(w) > 12 for w in words), n), per(sum(65 <= w[0] <= 90 for w in words), n),
+    ]
+
+
+def test_statistics_and_trees_against_scalar_versions(spark):
+    texts = [r.text or "" for r in awkward(spark).select("text").collect()] + [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("text").collect()]
+    x = quality.statistics(pa.array(texts))
+    assert np.allclose(x, [scalar_statistics(t) for t in texts])
+    model = quality.fit_trees(x, (x[:, 4] > np.median(x[:, 4])).astype(float), trees=12)
+
+    def walk(row):
+        margin = model.base
+        for feature, threshold, leaf in zip(model.feature, model.threshold, model.leaf):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + (2 if row[feature[at]] > threshold[at] else 1)
+            margin += leaf[at - len(feature)]
+        return 1 / (1 + np.exp(-min(max(margin, -30), 30)))
+
+    assert np.allclose(model.score(x), [walk(r) for r in x])
