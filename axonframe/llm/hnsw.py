@@ -3,8 +3,9 @@
 Vectors of one label are dealt to shards of bounded size. A shard's graph is hierarchical: its points are in random
 order and layer l holds the first n / 16 ** l of them, so that a search narrows from the top layer down. All queries of
 a block are searched in step, one vectorised operation for each expansion. From the points of a query's beam that are
-near enough, the search goes on along the graph as long as it meets such points, so that dense groups are found whole.
-An audit compares some queries with all points; beams, and what is near enough, widen until its recall is reached.
+near enough, the search goes on along the graph's links, in both directions, as long as it meets such points, so that
+dense groups are found whole. An audit compares some queries with all points; beams, and what is near enough, widen
+until its recall is reached.
 
 A shard's graph goes to one task, once; of two shards of a label one has its vectors searched in the other's graph.
 """
@@ -24,6 +25,8 @@ COSINE, SHARD, LINKS, BUILD_BEAM, BEAM, FAN = 0.98, 4096, 16, 32, 32, 16
 MARGIN = 0.02
 #: Queries that the audit compares with all points, as many where those have fewer than LINKS links, and the recall that it asks for.
 AUDIT, WIDE_AUDIT, RECALL = 64, 512, 0.99
+#: Where the audit still fails with beams of this width, the pair of shards is compared plainly.
+WIDEST = 512
 #: Pairs of queries and points that one step of the search goes on from.
 FRONT = 1 << 16
 BLOCK = 1024
@@ -145,9 +148,19 @@ def build(vectors: np.ndarray) -> list[np.ndarray]:
     return graphs
 
 
-def onward(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, q: np.ndarray, p: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs given, of similarity `least` or more, and all such pairs that the graph reaches from them over such points."""
-    n = len(graph)
+def both_ways(graph: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, to): the points linked with point i in either direction are to[start[i] : start[i + 1]]. A point that no link leads to is found from those it links to."""
+    source, at = np.nonzero(graph >= 0)
+    target = graph[source, at]
+    a, to = np.concatenate([source, target]), np.concatenate([target, source])
+    order = np.argsort(a, kind="stable")
+    return np.searchsorted(a[order], np.arange(len(graph) + 1)), to[order]
+
+
+def onward(vectors: np.ndarray, ways: tuple[np.ndarray, np.ndarray], queries: np.ndarray, q: np.ndarray, p: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query, point) pairs given, of similarity `least` or more, and all such pairs that links reach from them over such points. ways: both_ways of the graph."""
+    start, to = ways
+    n = len(start) - 1
     seen = np.zeros((len(queries), n), bool)
     seen[q, p] = True
     found, fronts = [(q, p)], [(q, p)]
@@ -156,10 +169,8 @@ def onward(vectors: np.ndarray, graph: np.ndarray, queries: np.ndarray, q: np.nd
         if len(q) > FRONT:
             fronts.append((q[FRONT:], p[FRONT:]))
             q, p = q[:FRONT], p[:FRONT]
-        near = graph[p]
-        q, p = np.repeat(q, near.shape[1]), near.ravel()
-        new = p >= 0
-        q, p = q[new], p[new]
+        size = start[p + 1] - start[p]
+        q, p = np.repeat(q, size), to[np.arange(size.sum()) + np.repeat(start[p] - (np.cumsum(size) - size), size)]
         new = ~seen[q, p]
         pair = np.unique(q[new] * n + p[new])
         q, p = pair // n, pair % n
@@ -185,19 +196,19 @@ def audited(exact: np.ndarray, exact_queries: np.ndarray, cosine: float, own: bo
 
 
 def links(vectors: np.ndarray, graphs: list[np.ndarray], queries: np.ndarray, exact: np.ndarray, exact_queries: np.ndarray, cosine: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(query, point) pairs of cosine or more that the graph gives. Beams and margin double until the audit's recall is reached, once in any case where the audit met no link, at last until a beam could hold all points."""
+    """(query, point) pairs of cosine or more that the graph gives. Beams and margin double until the audit's recall is reached, once in any case where the audit met no link. Should it not be reached with beams of WIDEST or all points, the last resort is plain comparison."""
     n = len(vectors)
     audit, truth = audited(exact, exact_queries, cosine, own)
     of = np.full(len(queries), -1)
     of[audit] = np.arange(len(audit))
-    beam, margin = BEAM, MARGIN
+    beam, margin, ways = BEAM, MARGIN, both_ways(graphs[-1])
     while True:
         pairs = [np.empty((0, 2), np.int64)]
         for at in range(0, len(queries), BLOCK):
             block = queries[at : at + BLOCK]
             found, sims = search(vectors, graphs[-1], block, descend(vectors, graphs[:-1], block, n), min(beam, n))
             r, c = np.nonzero((sims >= cosine - margin) & (found >= 0))
-            q, p = onward(vectors, graphs[-1], block, r, found[r, c], cosine - margin)
+            q, p = onward(vectors, ways, block, r, found[r, c], cosine - margin)
             pairs.append(np.column_stack([q + at, p]))
         q, p = np.concatenate(pairs).T
         good = np.zeros(len(q), bool)
@@ -208,9 +219,11 @@ def links(vectors: np.ndarray, graphs: list[np.ndarray], queries: np.ndarray, ex
         hit = np.zeros(truth.shape, bool)
         some = of[q] >= 0
         hit[of[q[some]], p[some]] = True
-        enough = (hit & truth).sum() >= RECALL * truth.sum() and (truth.any() or beam > BEAM)
-        if enough or beam >= n:
+        reached = (hit & truth).sum() >= RECALL * truth.sum()
+        if reached and (truth.any() or beam > BEAM or beam >= n):
             return q, p
+        if beam >= min(n, WIDEST):
+            return plain_links(exact, exact_queries, cosine)
         beam, margin = 2 * beam, 2 * margin
 
 
