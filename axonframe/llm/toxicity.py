@@ -10,6 +10,7 @@ toxic ones, are exceptions: the automaton finds them too, and a term inside one
 from __future__ import annotations
 
 import functools
+import unicodedata
 from dataclasses import dataclass
 
 import ahocorasick
@@ -41,7 +42,9 @@ _OTHER_ALPHABET, _MIXED = r"[\p{Cyrillic}\p{Greek}]", r"\pL.*[0-9@$!|]|[0-9@$!|]
 
 def fold(words: pa.Array) -> pa.Array:
     """Compatible forms without invisible characters, lower case, without outer punctuation; letters of other alphabets that look Latin, and digits and signs in a word with letters, become Latin letters."""
-    words = pc.utf8_lower(pc.replace_substring_regex(pc.utf8_normalize(words, "NFKC"), r"\p{Cf}|\s", ""))
+    odd = pc.invert(pc.string_is_ascii(words))
+    words = pc.replace_with_mask(words, odd, pa.array([unicodedata.normalize("NFKC", w) for w in words.filter(odd).to_pylist()], pa.string()))
+    words = pc.utf8_lower(pc.replace_substring_regex(words, r"\p{Cf}|\s", ""))
     words = pc.utf8_ltrim(pc.utf8_rtrim(words, characters=_PUNCTUATION + "!"), characters=_PUNCTUATION)
     words = pc.replace_substring_regex(words, "^!!+", "")
     for pattern, table in ((_OTHER_ALPHABET, HOMOGLYPHS), (_MIXED, DIGITS)):
