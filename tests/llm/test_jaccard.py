@@ -84,3 +84,29 @@ def test_sets_of_sliced_texts():
     assert node[1] == node[2] and node[0] == node[4] and len(set(node.tolist())) == 4
     again, first = jaccard.sets_of(texts.slice(3))
     assert jaccard.nodes_of(again, first).tolist() == node[3:].tolist()
+
+
+def test_large_groups_are_verified_in_blocks(spark):
+    """One group of near copies, chains and sets on both sides of 0.8, in blocks of 8 and in one block: what brute force finds."""
+    rng = np.random.default_rng(6)
+    base = [f"b{n}" for n in range(120)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.choice(120, int(rng.integers(0, 9)), replace=False):
+            words[at] = f"x{i}y{at}"
+        rows.append((i, " ".join(words)))
+    for i in range(40):
+        rows.append((200 + i, " ".join(base[3 * i % 60 :] + [f"c{k}" for k in range(3 * i % 60)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = sorted(map(repr, brute(rows)))
+    assert 5 < len({c for _, c in brute(rows)}) < 190
+    for block in (8, jaccard.BLOCK):
+        assert sorted(map(repr, (tuple(r) for r in jaccard.similar_documents(docs, block=block).select("doc_id", "component_id").collect()))) == want
+
+
+def test_cross_edges_join_roots_once():
+    sets = [np.arange(0, 40), np.arange(1, 41), np.arange(2, 42), np.arange(500, 540)]
+    first = np.arange(0, 161, 40)
+    root = np.array([0, 1, 1, 3])
+    assert jaccard.cross_edges(np.concatenate(sets).astype(np.uint64), first, root, np.array([True, False, False, True])) == [(0, 1)]
