@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Colours of editor groups, by rule, first match first (fixed values).
-AUTO, CAMBRIDGE, OTHER_LABS, REST = "grey", "mint", "crimson", "black"
+#: Patterns that an affiliation holds and the colours of edits, first match first, and the colour of all others.
+COLOURS = (("^auto$", "grey"), ("Cambridge", "#A3E1CD"), ("Wei|Dacks", "#A41034"))
+OTHER_COLOUR = "black"
 
 
-def affiliation_colour(affiliation: Column) -> Column:
-    """Ordered rules; a null affiliation meets none."""
-    return F.when(affiliation == "auto", AUTO).when(affiliation.contains("Cambridge"), CAMBRIDGE).when(affiliation.rlike("Wei|Dacks"), OTHER_LABS).otherwise(REST)
+def affiliation_colour(affiliation: Column, rules=COLOURS, other: str = OTHER_COLOUR) -> Column:
+    """The colour of the first rule (pattern, colour) that the affiliation meets; a null one meets none."""
+    return F.coalesce(*[F.when(affiliation.rlike(pattern), colour) for pattern, colour in rules], F.lit(other))
 
 
 def centroid(text: Column) -> Column:

@@ -45,10 +45,11 @@ def seed_cache(cached: DataFrame, more: DataFrame, key: str = "operation_id") ->
     return union_fill(cached, new)
 
 
-def in_requested_order(wanted: DataFrame, log: DataFrame, key: str = "operation_id", ordinal: str = "ordinal") -> DataFrame:
-    """wanted(ordinal, key) joined to the log's first row of the key; ids asked twice come twice, those not in the log not at all."""
+def in_requested_order(wanted: DataFrame, log: DataFrame, key: str = "operation_id", ordinal: str = "ordinal", order: str = "timestamp") -> DataFrame:
+    """wanted(ordinal, key) joined to the log's first row of the key, by `order` if the log has it and then by the rows' text; ids asked twice come twice, those not in the log not at all."""
     rest = [c for c in log.columns if c != key]
-    first = log.groupBy(F.col(key).alias("__k")).agg(F.first(F.struct(*rest)).alias("__r"))
+    row = F.struct(*rest)
+    first = log.groupBy(F.col(key).alias("__k")).agg(F.min_by(row, F.struct(*([order] if order in rest else []), F.to_json(row))).alias("__r"))
     return wanted.select(ordinal, key).join(first, F.col(key) == F.col("__k")).select(ordinal, key, *[F.col("__r")[c].alias(c) for c in rest])
 
 

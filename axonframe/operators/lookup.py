@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -38,7 +37,6 @@ def lookup_service(points: DataFrame, fetch, chunksize: int = 2000) -> DataFrame
     Each partition sends chunks of at most chunksize points. A chunk that fails is sent again in halves until it cannot
     shrink; points that still fail keep "0". A partition of a single chunk lets its error through.
     """
-    columns = points.columns
     schema = StructType([*points.schema.fields, StructField("segment_id", StringType())])
 
     def halves(rows: list) -> list[str]:
@@ -51,11 +49,14 @@ def lookup_service(points: DataFrame, fetch, chunksize: int = 2000) -> DataFrame
             return halves(rows[:middle]) + halves(rows[middle:])
 
     def look(frames):
-        pdf = pd.concat(list(frames) or [pd.DataFrame(columns=columns)], ignore_index=True)
-        rows = list(map(tuple, pdf[["x", "y", "z"]].to_numpy(float)))
-        chunks = [rows[i : i + chunksize] for i in range(0, len(rows), chunksize)]
-        ids = list(fetch(chunks[0])) if len(chunks) == 1 else [i for c in chunks for i in halves(c)]
-        yield pdf.assign(segment_id=ids)
+        frames = iter(frames)
+        pdf, after = next(frames, None), next(frames, None)
+        alone = after is None and pdf is not None and len(pdf) <= chunksize
+        while pdf is not None:
+            rows = list(map(tuple, pdf[["x", "y", "z"]].to_numpy(float)))
+            chunks = [rows[i : i + chunksize] for i in range(0, len(rows), chunksize)]
+            yield pdf.assign(segment_id=[i for c in chunks for i in (fetch(c) if alone else halves(c))])
+            pdf, after = after, next(frames, None)
 
     return points.mapInPandas(look, schema)
 

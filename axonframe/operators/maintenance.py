@@ -102,12 +102,19 @@ def check_unique(df: DataFrame, key: str = "_id") -> None:
         raise ValueError(f"duplicate rows by {key}")
 
 
-def add_neurons(table: DataFrame, ids: DataFrame, points: DataFrame | None = None, **constants) -> dict[str, DataFrame]:
-    """For ids(root_id): `up`, the table's rows (_id, root_id, constants), and `new`, ids it lacks (root_id, constants, point_xyz). Ids count once; zero is none; new ones are always looked for."""
+def add_neurons(table: DataFrame, ids: DataFrame, points: DataFrame | None = None, strict: bool = True, **constants) -> dict[str, DataFrame]:
+    """For ids(root_id): `up`, the table's rows (_id, root_id, constants), and `new`, ids it lacks (root_id, constants, point_xyz). Ids count once; zero is none; new ones are always looked for.
+
+    strict raises where a row to update comes twice, or where the table has more rows for these ids than there are ids.
+    """
     wanted = ids.select(F.col("root_id").cast("long").alias("root_id")).where(~missing_id(F.col("root_id"))).distinct()
     extra = [F.lit(v).alias(k) for k, v in constants.items()]
     have = table.select("_id", F.col("root_id").alias("__t"))
     up = wanted.join(have, F.col("root_id") == F.col("__t")).select("_id", "root_id", *extra)
+    if strict:
+        check_unique(up)
+        if not up.groupBy("root_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty():
+            raise ValueError("more rows to update than ids")
     new = wanted.join(have.select("__t"), F.col("root_id") == F.col("__t"), "left_anti")
     if points is not None:
         new = new.join(points.select(F.col("root_id").alias("__p"), "point_xyz"), F.col("root_id") == F.col("__p"), "left").drop("__p")

@@ -17,7 +17,7 @@ def query_predicate(query: str, ignore_case: bool = False, fixed: bool = False)
     column = F.col(field).cast("string")
     if fixed:
         return F.lower(column) == pattern.lower() if ignore_case else column == pattern
-    return column.rlike(f"{'(?i)' if ignore_case else ''}^(?:{pattern})$")
+    return column.rlike(f"{'(?i)' if ignore_case else ''}\\A(?:{pattern})\\z")
 
 
 def scan(df: DataFrame, keep: dict | None = None, drop: dict | None = None, regex: dict | None = None, select: list[str] | None = None, order: list[str] | None = None, offset: int = 0, limit: int | None = None) -> DataFrame:
@@ -45,10 +45,11 @@ def good_status(bad=("duplicate", "bad_nucleus")) -> Column:
 
 
 def unique_rows(df: DataFrame, key: str = "root_id", order: str = "_id") -> tuple[DataFrame, DataFrame]:
-    """The first row of each key, and all rows of keys with several: min_by and a join, so that a hot key's rows never meet in one window."""
-    groups = df.groupBy(F.col(key).alias("__key")).agg(F.min(order).alias("__first"), F.count(F.lit(1)).alias("__n"))
-    joined = df.join(groups, F.col(key).eqNullSafe(F.col("__key")))
-    return joined.where(F.col(order) == F.col("__first")).select(*df.columns), joined.where("__n > 1").select(*df.columns)
+    """The first row of each key (nulls of `order` last, ties by the rows' text), and all rows of keys with several: min_by and a join, so that a hot key's rows never meet in one window."""
+    row = F.struct(*df.columns)
+    groups = df.groupBy(F.col(key).alias("__key")).agg(F.min_by(row, F.struct(F.col(order).isNull(), order, F.to_json(row))).alias("__row"), F.count(F.lit(1)).alias("__n"))
+    several = df.join(groups.where("__n > 1").select("__key"), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
+    return groups.select("__row.*"), several
 
 
 def metadata(df: DataFrame, ids: DataFrame | list | str | None = None, ignore_case: bool = False, fixed: bool = False, unique: bool = False, history: DataFrame | None = None, at: Column | None = None, exclude_status=("duplicate", "bad_nucleus")) -> tuple[DataFrame, DataFrame | None]:

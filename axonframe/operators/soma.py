@@ -71,8 +71,8 @@ def with_known_scores(rows: DataFrame, mesh: Mesh, l2_of_points: DataFrame | Non
 def soma_positions(ids: DataFrame, method: str = "auto", annotations: DataFrame | None = None, nuclei: DataFrame | None = None, membership: DataFrame | None = None, attributes: DataFrame | None = None, model: SomaModel | None = None, mesh: Mesh | None = None, keep: str = "largest", units: str = "nm", voxel=VOXEL_NM, source: str = "annotation") -> DataFrame:
     """ordinal and RESULT for ids(ordinal, root_id), in input order by ordinal: the first source that has the root.
 
-    Sources of auto: annotations, nuclei, and with a mesh the scored chunks; each is asked only for roots that those
-    before it lack. Roots in no source give a row of nulls; an id that comes twice gives its rows twice.
+    Sources of auto: annotations, nuclei, and with a mesh the scored chunks; each is cut to the wanted roots before it is
+    aggregated, parsed or measured, and gives those that the ones before it lack. Roots in no source give a row of nulls; an id that comes twice gives its rows twice.
     """
     require_columns(ids, "ordinal", "root_id")
     if method in ("l2+mesh", "mesh") and mesh is None:
@@ -80,19 +80,22 @@ def soma_positions(ids: DataFrame, method: str = "auto", annotations: DataFrame
     wanted = ids.select("root_id").where("root_id IS NOT NULL").distinct()
     found = None
 
+    def asked(rows: DataFrame, key: str = "root_id") -> DataFrame:
+        return rows.join(wanted.select(F.col("root_id").alias("__w")), F.col(key) == F.col("__w"), "left_semi")
+
     def add(rows: DataFrame) -> DataFrame:
-        new = rows if found is None else rows.join(found.select(F.col("root_id").alias("__f")), F.col("root_id") == F.col("__f"), "left_anti")
-        new = new.join(wanted.select(F.col("root_id").alias("__w")), F.col("root_id") == F.col("__w"), "left_semi")
-        return new if found is None else found.unionByName(new)
+        if found is None:
+            return rows
+        return found.unionByName(rows.join(found.select(F.col("root_id").alias("__f")), F.col("root_id") == F.col("__f"), "left_anti"))
 
     if method in ("auto", source, "annotation") and annotations is not None:
-        rows = annotated_somata(annotations, voxel, source)
+        rows = annotated_somata(asked(annotations), voxel, source)
         found = add(with_known_scores(rows, mesh) if mesh is not None else rows)
     if method in ("auto", "nucleus") and nuclei is not None:
-        rows = dedup_nuclei(nuclei, keep).select("root_id", "position", "source", "n_nuclei", F.col("nucleus_id").cast("int").alias("nucleus_id"), *_no_score())
+        rows = dedup_nuclei(asked(nuclei, "pt_root_id"), keep).select("root_id", "position", "source", "n_nuclei", F.col("nucleus_id").cast("int").alias("nucleus_id"), *_no_score())
         found = add(with_known_scores(rows, mesh) if mesh is not None else rows)
     if membership is not None and (method in METHODS or method == "auto" and mesh is not None):
-        found = add(best_chunks(membership, attributes, model, mesh, method if method in METHODS else "l2+mesh"))
+        found = add(best_chunks(asked(membership), attributes, model, mesh, method if method in METHODS else "l2+mesh"))
     if found is None:
         raise ValueError(f"method {method} has no source")
     if units == "raw":

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from axonframe.functions import coords
 from axonframe.functions.columns import number_text
-from axonframe.functions.edits import affiliation_colour
+from axonframe.functions.edits import COLOURS, OTHER_COLOUR, affiliation_colour
 from axonframe.functions.scoring import FEATURES, SomaModel, chunk_features, distance_penalty
 from axonframe.operators import edits, geometry, lookup, maintenance, metadata, nuclei, partners, skeleton, soma, training, versions
 from axonframe.plans.proxies import PIN, Tables, with_tables
+from axonframe.sources import tables
 from axonframe.streaming import edit_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,8 +87,7 @@ def annotation_scan(t):
 
 @query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus NOT IN ('F')")
 def sql_scan(t):
-    t.table("orders").createOrReplaceTempView("annotation_rows")
-    return t.spark.sql("SELECT o_orderkey, o_orderstatus FROM annotation_rows WHERE o_orderstatus NOT IN ('F')")
+    return tables.sql_over(t.spark, "SELECT o_orderkey, o_orderstatus FROM annotation_rows WHERE o_orderstatus NOT IN ('F')", annotation_rows=t.table("orders"))
 
 
 @query("SELECT o_orderstatus AS status, count(*) AS n FROM orders GROUP BY 1")
@@ -373,7 +373,7 @@ def ops_users(t):
     return edits.with_users(t.log(), users).select("operation_id", "n_name")
 
 
-_COLOUR = "CASE WHEN user_affiliation = 'auto' THEN 'grey' WHEN contains(user_affiliation, 'Cambridge') THEN 'mint' WHEN regexp_matches(user_affiliation, 'Wei|Dacks') THEN 'crimson' ELSE 'black' END"
+_COLOUR = f"CASE {' '.join(f"WHEN regexp_matches(user_affiliation, '{pattern}') THEN '{colour}'" for pattern, colour in COLOURS)} ELSE '{OTHER_COLOUR}' END"
 
 
 @query(with_tables("log") + f"SELECT operation_id, {_COLOUR} AS colour FROM log")
@@ -449,14 +449,23 @@ _WANTED = "(SELECT DISTINCT c_custkey AS root_id FROM customer WHERE c_custkey <
 
 @query(with_tables("annotations") + f"SELECT _id, a.root_id, 'KC' AS cell_class FROM annotations a JOIN {_WANTED} w ON a.root_id = w.root_id")
 def upsert_existing(t):
-    return maintenance.add_neurons(t.annotations(), t.table("customer").select(F.col("c_custkey").alias("root_id")), cell_class="KC")["up"]
+    return maintenance.add_neurons(t.annotations(), t.table("customer").select(F.col("c_custkey").alias("root_id")), strict=False, cell_class="KC")["up"]
 
 
 @query(with_tables("annotations") + f"SELECT root_id, 'KC' AS cell_class, '1,2,' || root_id AS point_xyz FROM {_WANTED} WHERE root_id NOT IN (SELECT root_id FROM annotations)")
 def upsert_new(t):
     ids = t.table("customer").select(F.col("c_custkey").alias("root_id"))
     points = ids.select("root_id", F.concat(F.lit("1,2,"), "root_id").alias("point_xyz"))
-    return maintenance.add_neurons(t.annotations(), ids, points, cell_class="KC")["new"]
+    return maintenance.add_neurons(t.annotations(), ids, points, strict=False, cell_class="KC")["new"]
+
+
+@query("SELECT c_custkey + 1000000000 AS root_id, 'KC' AS cell_class, '1,2,' || (c_custkey + 1000000000) AS point_xyz FROM customer WHERE c_custkey % 2 = 1")
+def upsert_new_ids(t):
+    """Half of the ids are in the table, half are new."""
+    ids = t.table("customer").select(F.when(F.col("c_custkey") % 2 == 1, F.col("c_custkey") + 1_000_000_000).otherwise(F.col("c_custkey")).alias("root_id"))
+    known = t.table("customer").select(F.col("c_custkey").alias("_id"), F.col("c_custkey").alias("root_id"))
+    points = ids.select("root_id", F.concat(F.lit("1,2,"), "root_id").alias("point_xyz"))
+    return maintenance.add_neurons(known, ids, points, cell_class="KC")["new"]
 
 
 @query(with_tables("annotations") + "SELECT _id, CASE WHEN _id % 2 = 0 THEN 'seen' ELSE status END AS status FROM annotations UNION ALL SELECT -1 - o_orderkey, 'seen' FROM orders WHERE o_orderkey % 2 = 0")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from axonframe.functions.shared import checkpointed
-from axonframe.operators.edits import new_missing, stored_columns, to_fetch
+from axonframe.operators.edits import in_requested_order, new_missing, stored_columns, to_fetch
 
 FORMATS = {".parquet": "parquet", ".csv": "csv", ".json": "json", ".orc": "orc"}
 
@@ -90,15 +90,18 @@ class OperationCache:
         self.append(stored_columns(more).join(have.select(F.col("operation_id").alias("__k")), F.col("operation_id") == F.col("__k"), "left_anti"))
 
     def details(self, wanted: DataFrame, fetch) -> DataFrame:
-        """wanted(operation_id): plans what is neither cached nor known to be missing, lets fetch(DataFrame of ids) bring it, keeps it, and answers from the cache."""
+        """wanted(operation_id, and ordinal for an order): plans what is neither cached nor known to be missing, lets fetch(DataFrame of ids) bring it once, keeps it, and answers from the cache. Ids asked twice come twice; those that are nowhere do not come."""
         plan = checkpointed(to_fetch(wanted, self.read(), self.read_missing()))
         if not plan.isEmpty():
-            fresh = fetch(plan)
+            fresh = checkpointed(fetch(plan))
             self.append_missing(new_missing(plan, fresh))
             self.append(fresh)
         log = self.read()
-        ids = wanted.select(F.col("operation_id").alias("__w")).distinct()
-        return wanted.limit(0) if log is None else log.join(ids, F.col("operation_id") == F.col("__w"), "left_semi")
+        if log is None:
+            return wanted.limit(0)
+        if "ordinal" in wanted.columns:
+            return in_requested_order(wanted, log)
+        return in_requested_order(wanted.select("operation_id", F.monotonically_increasing_id().alias("ordinal")), log).drop("ordinal")
 
 
 def table_digest(df: DataFrame) -> str:
@@ -114,7 +117,7 @@ def segment_properties(df: DataFrame, id_col: str = "root_id", sep: str = "_") -
     text = F.concat_ws(sep, *[F.col(c).cast("string") for c in sorted(labels)])
     rows = df.select(F.col(id_col).cast("string").alias("id"), text.alias("label")).orderBy("id", "label").toLocalIterator()
     ids, values = zip(*((r.id, r.label) for r in rows)) if df.take(1) else ((), ())
-    return json.dumps({"@type": "segment_properties", "inline": {"ids": ids, "properties": [{"id": "label", "type": "label", "values": values}]}})
+    return json.dumps({"@type": "neuroglancer_segment_properties", "inline": {"ids": ids, "properties": [{"id": "label", "type": "label", "values": values}]}})
 
 
 def write_if_changed(text: str, path: str) -> bool:

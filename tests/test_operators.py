@@ -153,7 +153,12 @@ def test_flags_and_changes(spark):
     assert tuples(maintenance.assign_serials(serials), "_id", "serial_id") == [(1, "0007"), (2, "0012"), (3, "0013"), (4, "0014")]
     with pytest.raises(ValueError):
         maintenance.check_unique(df, "root_id")
-    parts = maintenance.add_neurons(df, spark.createDataFrame([(7,), (9,), (9,), (0,)], "root_id long"), cell_class="KC")
+    ids = spark.createDataFrame([(7,), (9,), (9,), (0,)], "root_id long")
+    with pytest.raises(ValueError, match="more rows to update than ids"):
+        maintenance.add_neurons(df, ids)
+    with pytest.raises(ValueError, match="duplicate rows by _id"):
+        maintenance.add_neurons(df.union(df.where("_id = 4")), spark.createDataFrame([(8,)], "root_id long"))
+    parts = maintenance.add_neurons(df, ids, strict=False, cell_class="KC")
     assert tuples(parts["up"], "_id", "cell_class") == [(1, "KC"), (2, "KC"), (3, "KC")] and tuples(parts["new"], "root_id") == [(9,)]
 
 
@@ -319,3 +324,41 @@ def test_fetch_operations(spark):
         return json.dumps({str(i): {"user": f"u{i}"} for i in wanted if i != 4})
 
     assert tuples(edits.fetch_operations(ids, fetch, 3), "operation_id", "user") == [(i, f"u{i}") for i in (1, 2, 3, 5, 6, 7)]
+
+
+def test_first_rows_under_ties_and_nulls(spark):
+    df = spark.createDataFrame([(1, 7, "b"), (1, 7, "a"), (None, 8, "x"), (2, 8, "y"), (None, 9, "z"), (3, None, "n")], "_id int, root_id long, v string")
+    first, several = metadata.unique_rows(df)
+    assert first.columns == df.columns
+    assert sorted(map(repr, (tuple(r) for r in first.collect()))) == sorted(map(repr, [(1, 7, "a"), (2, 8, "y"), (None, 9, "z"), (3, None, "n")]))
+    assert several.count() == 4
+    log = spark.createDataFrame([(5, "b", 2), (5, "a", 1), (6, "c", 1)], "operation_id int, user string, timestamp int")
+    wanted = spark.createDataFrame([(0, 6), (1, 5), (2, 5), (3, 99)], "ordinal int, operation_id int")
+    assert tuples(edits.in_requested_order(wanted, log), "ordinal", "operation_id", "user") == [(0, 6, "c"), (1, 5, "a"), (2, 5, "a")]
+
+
+def test_query_matches_the_whole_field(spark):
+    df = spark.createDataFrame([("PROMO",), ("PROMO\n",), ("PROMOS",)], "a string")
+    assert df.where(metadata.query_predicate("a:PROMO")).count() == 1
+
+
+def test_colours_are_the_fixed_ones(spark):
+    from axonframe.functions.edits import affiliation_colour
+
+    df = spark.createDataFrame([("auto",), ("autos",), ("Cambridge, UK",), ("Dacks Lab",), (None,)], "a string")
+    assert [r[0] for r in df.select(affiliation_colour(F.col("a"))).collect()] == ["grey", "black", "#A3E1CD", "#A41034", "black"]
+    assert [r[0] for r in df.select(affiliation_colour(F.col("a"), (("s$", "red"),), "none")).collect()] == ["none", "red", "none", "none", "none"]
+
+
+def test_sources_of_somata_are_cut_to_wanted_roots_first(spark):
+    """The semi join stands below the aggregate, so that other roots are never grouped."""
+    from axonframe.operators import soma
+
+    ids = spark.createDataFrame([(1, 10)], "ordinal int, root_id long")
+    annotations = spark.createDataFrame([(1, 10, "1,2,3"), (2, 11, "4,5,6")], "_id int, root_id long, soma_xyz string")
+    nuclei = spark.createDataFrame([(1, 11, "1,2,3", 1.0)], "id int, pt_root_id long, pt_position string, volume double")
+    df = soma.soma_positions(ids, annotations=annotations, nuclei=nuclei)
+    lines = df._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = lambda kind: [len(l) - len(l.lstrip(" :+-")) for l in lines if kind in l]
+    assert max(depth("LeftSemi")) > min(depth("Aggregate [root_id"))
+    assert df.count() == 1

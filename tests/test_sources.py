@@ -21,6 +21,8 @@ def test_operation_cache(spark, tmp_path):
         got = cache.details(wanted, fetch)
         assert sorted((r.operation_id, r.user) for r in got.collect()) == [(1, "z"), (2, "z"), (3, "a"), (5, "a")]
     assert asked == [[3, 4, 5]]
+    ordered = spark.createDataFrame([(0, 5), (1, 1), (2, 5), (3, 77)], "ordinal int, operation_id int").where("operation_id <> 77")
+    assert [(r.operation_id, r.user) for r in cache.details(ordered, fetch).orderBy("ordinal").collect()] == [(5, "a"), (1, "z"), (5, "a")]
     assert "sink_x" not in cache.read().columns
     cache.populate(spark.createDataFrame([(5, "new", "s"), (6, "b", "s")], "operation_id int, user string, status string"))
     assert sorted((r.operation_id, r.user, r.status) for r in cache.read().where("operation_id > 4").collect()) == [(5, "a", None), (6, "b", "s")]
