@@ -1,34 +1,71 @@
-"""Connected components of an edge table by alternating large-star and small-star steps."""
+"""Connected components of an edge table by alternating large-star and small-star steps.
+
+The small step is done by tasks: each turns the edges that it holds, a bounded number at a time, into stars, so that it
+passes on one edge for each node at most; then a node's edges, no more than there were such runs, meet in one task and
+become stars again. The large step hands each edge's lower end on to that node's own least neighbour.
+"""
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.llm.common import removed, with_groups, written
 
 MOST_ROUNDS = 60
+#: Edges that a task turns into stars at once.
+STAR_EDGES = 1 << 20
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(node, least node) for all nodes that the edges a, b connect with a smaller one."""
+    nodes, place = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while not np.array_equal(root, up := root[root]):
+            root = up
+        x, y = root[x], root[y]
+        x, y = x[x != y], y[x != y]
+    some = root < np.arange(len(nodes))
+    return nodes[some], nodes[root[some]]
+
+
+def _stars(by_node: bool):
+    """Turns a partition's edges into stars; by_node: they are in order of a, and those of one a stay together."""
+
+    def run(batches):
+        a, b = np.empty(0, np.int64), np.empty(0, np.int64)
+        held, rows = [], 0
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                held.append(batch)
+                rows += len(batch)
+            if batch is not None and rows < STAR_EDGES or not rows:
+                continue
+            a, b = (np.concatenate([kept, *(r.column(c).to_numpy() for r in held)]) for c, kept in enumerate((a, b)))
+            stop = int(np.searchsorted(a, a[-1])) if by_node and batch is not None else len(a)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in stars(a[:stop], b[:stop])], ["a", "b"])
+            a, b = a[stop:], b[stop:]
+            held, rows = [], len(a)
+
+    return run
 
 
-def _star(edges: DataFrame, large: bool, total: int) -> DataFrame:
-    """Links each node's greater neighbours (large) or its smaller ones and itself (small) to the least of them. The least neighbour is found by partial aggregation, and with_groups deals a hub's edges over all partitions. total: about how many edges there are."""
-    if large:
-        ways = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:
-        ways = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = ways.groupBy(F.col("a").alias("of")).agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n")).withColumn("m", F.least("of", "m"))
-    joined = with_groups(ways, least, {"a": "of"}, "n", (1 + large) * total, "b")
-    if large:
-        return joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.where("of <> m").select("of", "m"))
+def _small_star(edges: DataFrame) -> DataFrame:
+    local = edges.mapInArrow(_stars(False), "a long, b long")
+    return written(local.repartition("a").sortWithinPartitions("a").mapInArrow(_stars(True), "a long, b long"), "edges")
 
 
-def _state(edges: DataFrame) -> tuple[int, bool]:
-    """How many edges there are, and whether they are stars already: no node has two smaller neighbours, none has both a smaller and a greater one."""
-    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
-    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    n, loose = nodes.agg(F.sum("up"), F.count_if((F.col("up") > 1) | (F.col("up") > 0) & (F.col("down") > 0))).first()
-    return n or 0, not loose
+def _nodes(edges: DataFrame) -> DataFrame:
+    """Nodes with greater neighbours, or with several smaller ones: the least and greatest smaller neighbour (null: none), and how many greater ones there are."""
+    ends = edges.select(F.col("a").alias("of"), F.col("b").alias("low"), F.lit(0).alias("up")).union(edges.select("b", F.lit(None).cast("long"), F.lit(1)))
+    return ends.groupBy("of").agg(F.min("low").alias("low"), F.max("low").alias("high"), F.sum("up").alias("n")).where("n > 0 or low <> high")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,15 +73,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     edges: two columns a, b of type long, in any order and number; those with a null end or both ends the same are left
     out. The edge table is written to the shared folder in each round, where the last round's is deleted; only its size
-    and whether it has settled reach the driver.
+    and whether it has settled reach the driver. with_groups deals the edges of a hub over all partitions.
     """
-    edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = _small_star(edges.where("a <> b").select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b")))
     for _ in range(MOST_ROUNDS):
-        total, settled = _state(edges)
-        if settled:
+        nodes = _nodes(edges)
+        total, loose = nodes.agg(F.sum("n"), F.count_if(F.expr("low <> high or n > 0 and low is not null"))).first()
+        if not loose:
+            edges = edges.distinct()
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())
-        last = edges
-        edges = written(_star(_star(last, True, total), False, total).distinct(), "edges")
+        # Large step: a settled lower end has no smaller neighbour and stays.
+        lower = nodes.where("n > 0").select("of", "low", "n")
+        last, edges = edges, _small_star(with_groups(edges, lower, {"b": "of"}, "n", total, "a").select("a", F.coalesce("low", "b").alias("b")))
         removed(last)
     raise RuntimeError("components did not settle")
 

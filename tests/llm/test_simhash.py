@@ -112,3 +112,35 @@ def test_components(spark):
     assert all(got[i] == 200 for i in [*range(200, 230), 500])
     assert len(got) == 41 + 4 + 31
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_components_of_random_edges(spark, monkeypatch):
+    import axonframe.llm.components as module
+
+    def small(by_node, whole=module._stars):
+        def run(batches):
+            import axonframe.llm.components as inside
+
+            inside.STAR_EDGES = 7
+            return whole(by_node)(batches)
+
+        return run
+
+    monkeypatch.setattr(module, "_stars", small)
+    rng = np.random.default_rng(5)
+    chain = rng.permutation(300) - 150
+    edges = [(int(a), int(b)) for a, b in zip(chain[1:], chain)] + [(1000, int(x)) for x in range(1001, 1400)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2300, (200, 2))] + [(5, 5), (None, 5)]
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            low, high = sorted((find(a), find(b)))
+            parent[high] = low
+    table = spark.createDataFrame(edges + edges[:50], "a long, b long").repartition(9)
+    got = [tuple(r) for r in components(table).collect()]
+    assert len(got) == len(set(got)) and dict(got) == {x: find(x) for x in parent}
