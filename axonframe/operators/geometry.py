@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.columns import is_finite, require_columns
 from axonframe.functions.coords import VOXEL_NM, squared_distance
+from axonframe.operators.surface import BoxTree
 
 #: Nanometres per unit of length that the callers know.
 UNIT_NM = {"nm": 1.0, "microns": 1000.0}
@@ -111,48 +113,27 @@ def nearest_rows(points: DataFrame, nodes: DataFrame, key: str = "root_id", tie:
 
 @dataclass
 class Mesh:
-    """A closed triangle mesh; its size is that of one brain region, whatever the size of the tables."""
+    """A closed triangle mesh; its size is that of one brain region, whatever the size of the tables. Its tree of boxes is built once, on first use, and goes to the tasks with it."""
 
     vertices: np.ndarray
     faces: np.ndarray
 
-    def signed_distance(self, points: np.ndarray, block: int = 256) -> np.ndarray:
-        """Distance to the surface, negative outside. Inside is where the faces' solid angles add up to a full sphere."""
-        a, b, c = (self.vertices[self.faces[:, k]] for k in range(3))
-        out = np.empty(len(points))
-        for at in range(0, len(points), block):
-            p = points[at : at + block, None]
-            u, v, w = a - p, b - p, c - p
-            lu, lv, lw = (np.linalg.norm(t, axis=2) for t in (u, v, w))
-            top = np.einsum("ijk,ijk->ij", u, np.cross(v, w))
-            dot = lambda s, t: np.einsum("ijk,ijk->ij", s, t)
-            angle = 2 * np.arctan2(top, lu * lv * lw + dot(u, v) * lw + dot(v, w) * lu + dot(w, u) * lv)
-            inside = np.abs(angle.sum(axis=1)) > 2 * np.pi
-            out[at : at + block] = np.where(inside, 1, -1) * np.sqrt(_triangle_distance2(p, a, b, c).min(axis=1))
-        return out
-
-
-def _triangle_distance2(p, a, b, c) -> np.ndarray:
-    """Squared distance of each point to each triangle: to the plane where the foot lies within, else to the nearest edge."""
-    ab, ac = b - a, c - a
-    n = np.cross(ab, ac)
-    area2 = np.maximum(np.einsum("jk,jk->j", n, n), 1e-300)
-    ap = p - a
-    height = np.einsum("ijk,jk->ij", ap, n)
-    v = np.einsum("ijk,jk->ij", np.cross(ap, ac), n) / area2
-    w = np.einsum("ijk,jk->ij", np.cross(np.broadcast_to(ab, ap.shape), ap), n) / area2
-    within = (v >= 0) & (w >= 0) & (v + w <= 1)
-    edge = np.full(height.shape, np.inf)
-    for s, t in ((a, b), (b, c), (c, a)):
-        d = t - s
-        k = np.clip(np.einsum("ijk,jk->ij", p - s, d) / np.maximum(np.einsum("jk,jk->j", d, d), 1e-300), 0, 1)
-        gap = p - s - k[:, :, None] * d
-        edge = np.minimum(edge, np.einsum("ijk,ijk->ij", gap, gap))
-    return np.where(within, height**2 / area2, edge)
+    def __post_init__(self):
+        if not len(self.faces):
+            raise ValueError("a mesh needs faces")
+
+    @cached_property
+    def tree(self) -> BoxTree:
+        return BoxTree.build(self.vertices, self.faces)
+
+    def signed_distance(self, points: np.ndarray) -> np.ndarray:
+        """Distance to the surface, negative outside; of any closed shape, convex or not."""
+        return self.tree.signed_distance(points)
 
 
 def mesh_distance(df: DataFrame, mesh: Mesh, prefix: str = "", out: str = "dist_npil_nm") -> DataFrame:
     """Adds the signed distance of each point to the mesh (negative outside), null for points that are not finite."""
+    tree = mesh.tree
 
     @F.pandas_udf("double")
     def distance(x: pd.Series, y: pd.Series, z: pd.Series) -> pd.Series:
@@ -160,7 +141,7 @@ def mesh_distance(df: DataFrame, mesh: Mesh, prefix: str = "", out: str = "dist_
         good = np.isfinite(points).all(axis=1)
         result = np.full(len(points), np.nan)
         if good.any():
-            result[good] = mesh.signed_distance(points[good])
+            result[good] = tree.signed_distance(points[good])
         return pd.Series(result)
 
     value = distance(*[F.col(prefix + a).cast("double") for a in "xyz"])

@@ -2,33 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from axonframe.functions.chunks import morton
 from axonframe.functions.columns import is_finite, require_columns
 from axonframe.functions.coords import VOXEL_NM
+from axonframe.functions.shared import fresh
+from axonframe.operators.hierarchy import nodes_of_points
 from axonframe.operators.versions import root_at
 
 
-def points_to_segments(points: DataFrame, cells: DataFrame, cell=(1.0, 1.0, 1.0), raw: bool = False, voxel=VOXEL_NM, root: bool = True, history: DataFrame | None = None, at: Column | None = None, integer: bool = False) -> DataFrame:
-    """points(x, y, z, ..) with segment_id: the supervoxel of the point's grid cell, or its root at a moment.
+def points_to_segments(points: DataFrame, cells: DataFrame, cell=(1.0, 1.0, 1.0), raw: bool = False, voxel=VOXEL_NM, root: bool = True, history: DataFrame | None = None, at: Column | None = None, integer: bool = False, stop_layer: int | None = None, nodes: DataFrame | None = None, chunk_cells=(1, 1, 1)) -> DataFrame:
+    """points(x, y, z, ..) with segment_id: the supervoxel of the point's grid cell, its root at a moment, or the node that holds it at a layer.
 
     cells(cx, cy, cz, supervoxel_id). Points in nm are divided by the voxel size first. A point with a missing coordinate
     is not looked up; it and points in no cell get zero. Every input row gives one row; ids are text unless integer.
+
+    With nodes (of hierarchy.layer_nodes) stop_layer 1 is the supervoxel, 2 the level-2 chunk, None the root; chunk_cells
+    says how many cells a chunk of layer 2 has along each axis. The node is found by layer, chunk and supervoxel, so that
+    one join serves each layer; a supervoxel that the hierarchy lacks gives zero. Negative chunk coordinates count from
+    the far end of space.
     """
     require_columns(cells, "cx", "cy", "cz", "supervoxel_id")
+    if stop_layer is not None and (nodes is None or stop_layer < 1):
+        raise ValueError("stop_layer is 1 or more, and needs the nodes of the hierarchy")
     scale = (1.0, 1.0, 1.0) if raw else voxel
     whole = is_finite(F.col("x")) & is_finite(F.col("y")) & is_finite(F.col("z"))
-    keys = [F.when(whole, F.floor(F.col(a) / (float(s) * float(c)))).cast("long").alias(f"__c{a}") for a, s, c in zip("xyz", scale, cell)]
-    grid = cells.groupBy("cx", "cy", "cz").agg(F.min("supervoxel_id").alias("__sv"))
-    joined = points.select("*", *keys).join(grid, (F.col("__cx") == F.col("cx")) & (F.col("__cy") == F.col("cy")) & (F.col("__cz") == F.col("cz")), "left").select(*points.columns, "__sv")
-    if root and history is not None:
-        joined = root_at(joined, history, at, supervoxel="__sv", root=None, out="__id")
+    near = [fresh(f"c{a}", points, cells) for a in "xyz"]
+    sv, found = fresh("sv", points, cells), fresh("found", points, cells)
+    keys = [F.when(whole, F.floor(F.col(a) / (float(s) * float(c)))).cast("long").alias(n) for a, n, s, c in zip("xyz", near, scale, cell)]
+    there = [fresh(f"of_{a}", points) for a in "xyz"]
+    grid = cells.where("cx IS NOT NULL AND cy IS NOT NULL AND cz IS NOT NULL").groupBy(*(F.col(f"c{a}").alias(n) for a, n in zip("xyz", there))).agg(F.min("supervoxel_id").alias(sv))
+    # Null-safe, so that the cells are dealt anew: a join on the aggregate's own keys could not be split where a cell is hot.
+    on = reduce(Column.__and__, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(near, there)])
+    joined = points.select("*", *keys).join(grid, on, "left").select(*points.columns, *near, sv)
+    if root and nodes is not None:
+        code, where = fresh("code", joined), morton(*(F.floor(F.col(n) / c) for n, c in zip(near, chunk_cells)))
+        joined = nodes_of_points(joined.withColumn(code, where), nodes, stop_layer, code, sv, found)
+    elif root and history is not None:
+        joined = root_at(joined, history, at, supervoxel=sv, root=None, out=found)
     else:
-        joined = joined.withColumn("__id", F.col("__sv"))
-    value = F.coalesce(F.col("__id").cast("long"), F.lit(0))
-    return joined.select(*points.columns, (value if integer else value.cast("string")).alias("segment_id"))
+        joined = joined.withColumn(found, F.col(sv))
+    value = F.coalesce(F.col(found).cast("long"), F.lit(0))
+    return joined.select(*[F.col(c) for c in points.columns if c != "segment_id"], (value if integer else value.cast("string")).alias("segment_id"))
 
 
 def lookup_service(points: DataFrame, fetch, chunksize: int = 2000) -> DataFrame:

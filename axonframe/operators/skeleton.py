@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.columns import is_finite, require_columns
 from axonframe.functions.coords import VOXEL_NM, convert_units
+from axonframe.functions.shared import stored
 from axonframe.operators.geometry import Mesh, mesh_distance, nearest_rows
+from axonframe.operators.paths import DECIMALS, branch_points
 
 NODE = ("root_id", "node_id", "parent_id", "x", "y", "z")
 
@@ -137,10 +139,10 @@ def key_node(nodes: dict, parent: dict) -> tuple[int, bool]:
     first = min(n for n, p in parent.items() if p not in nodes)
     far = _lengths(nodes, parent, first)
     ends = [n for n in far if degree[n] <= 1]
-    start = max(ends, key=lambda n: (far[n], -n))
+    start = max(ends, key=lambda n: (round(far[n], DECIMALS), -n))
     turned = _parents_from(parent, start)
     length = _lengths(nodes, turned, start)
-    leaves = sorted((n for n in length if degree[n] <= 1 and n != start), key=lambda n: (-length[n], n))
+    leaves = sorted((n for n in length if degree[n] <= 1 and n != start), key=lambda n: (-round(length[n], DECIMALS), n))
     if not leaves:
         return start, False
     spine, at = set(), leaves[0]
@@ -152,12 +154,16 @@ def key_node(nodes: dict, parent: dict) -> tuple[int, bool]:
         at = leaf
         while at not in spine:
             at = turned[at]
-        if length[leaf] - length[at] > best:
-            best, place = length[leaf] - length[at], at
+        if round(length[leaf] - length[at], DECIMALS) > best:
+            best, place = round(length[leaf] - length[at], DECIMALS), at
     return (start, False) if place is None else (place, True)
 
 
-def key_points(nodes: DataFrame, ids: DataFrame | None = None, raw: bool = True, voxel=VOXEL_NM) -> DataFrame:
+#: Trees of more nodes are walked by joins over many tasks, all others whole, many to a task.
+LARGE = 1_000_000
+
+
+def key_points(nodes: DataFrame, ids: DataFrame | None = None, raw: bool = True, voxel=VOXEL_NM, large: int = LARGE) -> DataFrame:
     """root_id, x, y, z, branched, failed: the main branch point of each skeleton, in voxels where raw. A skeleton that cannot be walked gives nulls and failed; ids(root_id) without a skeleton too."""
     require_columns(nodes, *NODE)
 
@@ -173,7 +179,17 @@ def key_points(nodes: DataFrame, ids: DataFrame | None = None, raw: bool = True,
                 rows.append([roots[a], None, None, None, None, True])
         return pd.DataFrame(rows, columns=["root_id", "x", "y", "z", "branched", "failed"])
 
-    out = _whole_trees(nodes.select(*NODE), find, "root_id long, x double, y double, z double, branched boolean, failed boolean")
+    nodes = nodes.select(*NODE)
+    sizes = nodes.groupBy(F.col("root_id").alias("of_root")).agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > large)
+    big = stored(sizes.select("of_root"), "large")
+    of_big = F.col("root_id").eqNullSafe(F.col("of_root"))
+    out = _whole_trees(nodes.join(big, of_big, "left_anti"), find, "root_id long, x double, y double, z double, branched boolean, failed boolean")
+    if not big.isEmpty():
+        some = stored(nodes.join(big, of_big, "left_semi"), "trees")
+        found = branch_points(some).select(F.col("root_id").alias("r"), F.col("node_id").alias("e"), "branched")
+        places = some.join(found, F.col("root_id").eqNullSafe(F.col("r")) & (F.col("node_id") == F.col("e"))).groupBy("root_id").agg(F.min(F.struct("x", "y", "z", "branched")).alias("p")).select("root_id", "p.*")
+        places = big.select(F.col("of_root").alias("root_id")).where("root_id IS NOT NULL").join(places.withColumnRenamed("root_id", "r"), F.col("root_id").eqNullSafe(F.col("r")), "left")
+        out = out.unionByName(places.select("root_id", "x", "y", "z", "branched", F.col("branched").isNull().alias("failed")))
     if raw:
         out = convert_units(out, "raw", voxel)
     if ids is not None:

@@ -8,11 +8,11 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from axonframe.functions import coords
+from axonframe.functions import chunks, coords
 from axonframe.functions.columns import number_text
 from axonframe.functions.edits import COLOURS, OTHER_COLOUR, affiliation_colour
 from axonframe.functions.scoring import FEATURES, SomaModel, chunk_features, distance_penalty
-from axonframe.operators import edits, geometry, lookup, maintenance, metadata, nuclei, partners, skeleton, soma, training, versions
+from axonframe.operators import edits, geometry, hierarchy, lookup, maintenance, metadata, nuclei, partners, paths, skeleton, soma, training, versions
 from axonframe.plans.proxies import PIN, Tables, with_tables
 from axonframe.sources import tables
 from axonframe.streaming import edit_stream
@@ -191,6 +191,37 @@ def mesh_distance(t):
     return out.select("c_custkey", (F.round("dist_npil_nm", 4) + 0).alias("dist_npil_nm"), geometry.surface_label(F.col("dist_npil_nm")).alias("label"))
 
 
+def _corner_block(size: float, cells: int) -> geometry.Mesh:
+    """A block of size x size x size without its far quarter in x and y, its surface cut into squares of size / cells."""
+    solid = np.zeros((cells + 2,) * 3, bool)
+    solid[1:-1, 1:-1, 1:-1] = True
+    solid[1 + cells // 2 :, 1 + cells // 2 :, :] = False
+    corners = []
+    for axis in range(3):
+        u, v = np.eye(3, dtype=int)[(axis + 1) % 3], np.eye(3, dtype=int)[(axis + 2) % 3]
+        step = solid.astype(np.int8) - np.roll(solid, 1, axis).astype(np.int8)
+        for sign in (1, -1):
+            at = np.argwhere(step == sign) - 1
+            square = [at, at + (v if sign > 0 else u), at + u + v, at + (u if sign > 0 else v)]
+            corners += [np.stack([square[0], square[i], square[i + 1]], axis=1) for i in (1, 2)]
+    corners = np.concatenate(corners) * (size / cells)
+    return geometry.Mesh(corners.reshape(-1, 3), np.arange(3 * len(corners)).reshape(-1, 3))
+
+
+_SEGMENT = "greatest({u0} - {u}, {u} - {u1}, 0)^2 + ({v} - {w})^2"
+_EDGES = [("x", 0, 5000, "y", 0), ("y", 0, 2500, "x", 5000), ("x", 2500, 5000, "y", 2500), ("y", 2500, 5000, "x", 2500), ("x", 0, 2500, "y", 5000), ("y", 0, 5000, "x", 0)]
+
+
+@query(f"""WITH p AS (SELECT c_custkey, c_acctbal * 0.9::DOUBLE - 700 AS x, (c_custkey * 37 % 6000)::DOUBLE - 500 AS y, 100 + c_nationkey * 190.0::DOUBLE AS z FROM customer),
+    d AS (SELECT *, sqrt(least({', '.join(_SEGMENT.format(u=u, u0=a, u1=b, v=v, w=w) for u, a, b, v, w in _EDGES)})) AS d, x BETWEEN 0 AND 5000 AND y BETWEEN 0 AND 5000 AND NOT (x > 2500 AND y > 2500) AS inside FROM p)
+    SELECT c_custkey, round(CASE WHEN inside THEN least(d, z, 5000 - z) ELSE -d END, 3) AS dist_npil_nm FROM d WHERE d > 0.01::DOUBLE""")
+def mesh_distance_concave(t):
+    """Signed distances to a block with a corner cut out, of 2,400 faces; points on the surface are left out, as their sign is a matter of rounding."""
+    rows = t.table("customer").select("c_custkey", (F.col("c_acctbal") * 0.9 - 700).alias("x"), ((F.col("c_custkey") * 37 % 6000).cast("double") - 500).alias("y"), (F.col("c_nationkey") * 190.0 + 100).alias("z"))
+    out = geometry.mesh_distance(rows, _corner_block(5000.0, 16))
+    return out.where("abs(dist_npil_nm) > 0.01").select("c_custkey", F.round("dist_npil_nm", 3).alias("dist_npil_nm"))
+
+
 @query("""WITH g AS (SELECT (floor(c_acctbal / 500))::BIGINT AS cx, c_nationkey::BIGINT AS cy, min(c_custkey) AS sv FROM customer GROUP BY 1, 2), p AS (SELECT s_suppkey, nullif(s_acctbal, 73) AS x, s_nationkey AS y FROM supplier)
     SELECT s_suppkey, coalesce(CASE WHEN x IS NOT NULL THEN sv END, 0) AS segment_id FROM p LEFT JOIN g ON cx = floor(x / 500) AND cy = y""")
 def xyz2id_grid(t):
@@ -199,6 +230,43 @@ def xyz2id_grid(t):
     return lookup.points_to_segments(points, cells, (500.0, 1.0, 1.0), raw=True, root=False, integer=True).select("s_suppkey", "segment_id")
 
 
+def _hierarchy(t):
+    """Cells of customers, and three layers of nodes above their supervoxels: by market segment in chunks of two by two cells, by its first letter in chunks of four by four, and by nation's parity. Every seventh supervoxel skips layer 2, and half of all edges were replaced before the moment asked for."""
+    place = {"cx": F.floor(F.col("c_acctbal") / 500) + 4, "cy": F.col("c_nationkey").cast("long"), "cz": F.lit(0).cast("long")}
+    rows = t.table("customer").where("c_acctbal >= -2000").select("c_custkey", "c_mktsegment", "c_nationkey", *[c.alias(n) for n, c in place.items()])
+    rows = rows.withColumn("chunk", chunks.morton(*(F.floor(F.col(n) / 2) for n in place)))
+    number = {2: F.ascii("c_mktsegment") % 32 + 1, 3: F.ascii("c_mktsegment") % 4 + 1, 4: F.col("c_nationkey") % 2 + 1}
+    node = {k: chunks.node_id(k, chunks.chunk_at(F.col("chunk"), k), n) for k, n in number.items()}
+    rows = rows.select("cx", "cy", "cz", "chunk", F.col("c_custkey").alias("supervoxel_id"), *[c.alias(f"n{k}") for k, c in node.items()])
+    skips = F.col("supervoxel_id") % 7 == 0
+    edges = rows.select(F.col("supervoxel_id").alias("child_id"), F.when(skips, F.col("n3")).otherwise(F.col("n2")).alias("parent_id"))
+    edges = edges.union(rows.select("n2", "n3").distinct()).union(rows.select("n3", "n4").distinct())
+    moments = [F.lit(x).cast("timestamp") for x in ("2020-01-01", PIN, None)]
+    old = edges.where("child_id % 2 = 0").select("child_id", (F.col("parent_id") + 1000).alias("parent_id"), moments[0].alias("valid_from"), moments[1].alias("valid_to"))
+    return rows, edges.select("child_id", "parent_id", F.when(F.col("child_id") % 2 == 0, moments[1]).otherwise(moments[0]).alias("valid_from"), moments[2].alias("valid_to")).union(old)
+
+
+_CODE = "list_sum([(({x} >> i) & 1) * (1 << (3 * i)) + (({y} >> i) & 1) * (1 << (3 * i + 1)) for i in range(10)])::BIGINT"
+
+
+@query(f"""WITH c AS (SELECT c_custkey AS sv, (floor(c_acctbal / 500))::BIGINT + 4 AS cx, c_nationkey::BIGINT AS cy, ascii(c_mktsegment) AS a, c_nationkey % 2 AS p FROM customer WHERE c_acctbal >= -2000),
+    m AS (SELECT *, {_CODE.format(x="(cx // 2)", y="(cy // 2)")} AS code FROM c),
+    n AS (SELECT *, CASE WHEN sv % 7 = 0 THEN sv ELSE (2::BIGINT << 55) + (code << 25) + a % 32 + 1 END AS n2, (3::BIGINT << 55) + ((code >> 3) << 25) + a % 4 + 1 AS n3, (4::BIGINT << 55) + ((code >> 6) << 25) + p + 1 AS n4 FROM m),
+    g AS (SELECT cx, cy, arg_min(n, sv) AS n FROM n GROUP BY 1, 2),
+    up AS (SELECT b, min(t) AS t FROM (SELECT (2::BIGINT << 55) + (code << 25) + a % 32 + 1 AS b, n3 AS t FROM n) GROUP BY 1), top AS (SELECT n3 AS b, min(n4) AS t FROM n GROUP BY 1),
+    q AS (SELECT s_suppkey, (floor(s_acctbal / 500))::BIGINT + 4 AS cx, s_nationkey AS cy FROM supplier)
+    SELECT s_suppkey, coalesce(g.n.sv, 0) AS layer_1, coalesce(g.n.n2, 0) AS layer_2, coalesce(CASE WHEN g.n.sv % 7 = 0 THEN g.n.n3 ELSE up.t END, 0) AS layer_3, coalesce(top.t, 0) AS root
+    FROM q LEFT JOIN g ON g.cx = q.cx AND g.cy = q.cy LEFT JOIN up ON up.b = g.n.n2 LEFT JOIN top ON top.b = CASE WHEN g.n.sv % 7 = 0 THEN g.n.n3 ELSE up.t END""")
+def xyz2id_layers(t):
+    """Supervoxel, level-2 chunk, layer-3 node and root of points, at one moment."""
+    cells, parents = _hierarchy(t)
+    nodes = hierarchy.layer_nodes(cells, parents, 3, F.lit(PIN).cast("timestamp"))
+    points = t.table("supplier").select("s_suppkey", (F.floor(F.col("s_acctbal") / 500) + 4).cast("double").alias("x"), F.col("s_nationkey").cast("double").alias("y"), F.lit(0.0).alias("z"))
+    for layer, name in ((1, "layer_1"), (2, "layer_2"), (3, "layer_3"), (None, "root")):
+        points = lookup.points_to_segments(points, cells, raw=True, integer=True, stop_layer=layer, nodes=nodes, chunk_cells=(2, 2, 2)).withColumnRenamed("segment_id", name)
+    return points.drop("x", "y", "z")
+
+
 @query(with_tables("chunks") + "SELECT root_id, l2_id, (rep_coord_nm_x - 250)^2 + (rep_coord_nm_y - 50)^2 + (rep_coord_nm_z - 90)^2 AS d2 FROM chunks QUALIFY row_number() OVER (PARTITION BY root_id ORDER BY d2, l2_id) = 1")
 def nearest_chunk(t):
     points = t.table("orders").select(F.col("o_orderkey").alias("root_id"), F.lit(250.0).alias("px"), F.lit(50.0).alias("py"), F.lit(90.0).alias("pz"))
@@ -547,9 +615,42 @@ def tree_reroot(t):
     return skeleton.reroot(nodes, last).select("root_id", "node_id", "parent_id")
 
 
-@query()
+@query("WITH RECURSIVE " + with_tables("skeletons").removeprefix("WITH ") + """, e AS (SELECT c.root_id, c.node_id, c.parent_id, sqrt(coalesce((c.x - p.x)^2 + (c.y - p.y)^2 + (c.z - p.z)^2, 0)) AS length FROM skeletons c LEFT JOIN skeletons p ON p.root_id = c.root_id AND p.node_id = c.parent_id),
+    w AS (SELECT root_id, node_id, 0::DOUBLE AS d FROM e WHERE parent_id = -1 UNION ALL SELECT e.root_id, e.node_id, w.d + e.length FROM w JOIN e ON e.root_id = w.root_id AND e.parent_id = w.node_id)
+    SELECT root_id, node_id, 1::BIGINT AS top, round(d, 4) AS distance FROM w""")
+def tree_distances(t):
+    return paths.distances(t.skeletons()).select("root_id", "node_id", "top", F.round("distance", 4).alias("distance"))
+
+
+_KEY = "WITH RECURSIVE " + with_tables("skeletons").removeprefix("WITH ") + """, e AS (SELECT c.root_id, c.node_id, c.parent_id, sqrt(coalesce((c.x - p.x)^2 + (c.y - p.y)^2 + (c.z - p.z)^2, 0)) AS length FROM skeletons c LEFT JOIN skeletons p ON p.root_id = c.root_id AND p.node_id = c.parent_id),
+    up AS (SELECT root_id, node_id, node_id AS top, 0::DOUBLE AS d FROM e UNION ALL SELECT up.root_id, up.node_id, e.parent_id, up.d + e.length FROM up JOIN e ON e.root_id = up.root_id AND e.node_id = up.top WHERE e.parent_id <> -1),
+    gap AS MATERIALIZED (SELECT a.root_id, a.node_id AS a, b.node_id AS b, round(min(a.d + b.d), 6) AS d FROM up a JOIN up b ON a.root_id = b.root_id AND a.top = b.top GROUP BY ALL),
+    deg AS (SELECT root_id, node, count(*) AS n FROM (SELECT root_id, node_id AS node FROM e WHERE parent_id <> -1 UNION ALL SELECT root_id, parent_id FROM e WHERE parent_id <> -1) GROUP BY ALL),
+    ends AS (SELECT e.root_id, node_id FROM e LEFT JOIN deg ON deg.root_id = e.root_id AND node = node_id WHERE coalesce(n, 0) <= 1),
+    first AS (SELECT root_id, node_id AS root FROM e WHERE parent_id = -1),
+    start AS (SELECT n.root_id, arg_max(n.node_id, (g.d, -n.node_id)) AS s FROM ends n JOIN first USING (root_id) JOIN gap g ON g.root_id = n.root_id AND g.a = root AND g.b = n.node_id GROUP BY ALL),
+    goal AS (SELECT n.root_id, any_value(s) AS s, arg_max(n.node_id, (g.d, -n.node_id)) AS t, max(g.d) AS d FROM ends n JOIN start USING (root_id) JOIN gap g ON g.root_id = n.root_id AND g.a = s AND g.b = n.node_id WHERE n.node_id <> s GROUP BY ALL),
+    spine AS (SELECT x.root_id, x.b AS node FROM goal JOIN gap x ON x.root_id = goal.root_id AND x.a = s JOIN gap y ON y.root_id = goal.root_id AND y.a = t AND y.b = x.b WHERE abs(x.d + y.d - goal.d) < 1e-4),
+    side AS (SELECT n.root_id, n.node_id, min(g.d) AS side, arg_min(g.b, (g.d, g.b)) AS place FROM ends n JOIN goal USING (root_id) JOIN spine USING (root_id) JOIN gap g ON g.root_id = n.root_id AND g.a = n.node_id AND g.b = spine.node WHERE n.node_id NOT IN (s, t) GROUP BY ALL),
+    best AS (SELECT side.root_id, arg_max(place, (side, g.d, -side.node_id)) AS place FROM side JOIN start USING (root_id) JOIN gap g ON g.root_id = side.root_id AND g.a = s AND g.b = side.node_id WHERE side > 0 GROUP BY ALL),
+    found AS (SELECT root_id, coalesce(place, s) AS node_id, place IS NOT NULL AS branched FROM start LEFT JOIN best USING (root_id))
+    SELECT c_custkey AS root_id, round(x / 16, 6) AS x, round(y / 16, 6) AS y, round(z / 45, 6) AS z, branched, found.root_id IS NULL AS failed FROM customer LEFT JOIN found ON found.root_id = c_custkey LEFT JOIN skeletons k ON k.root_id = c_custkey AND k.node_id = found.node_id"""
+
+
+def _key_points(t, large):
+    out = skeleton.key_points(t.skeletons(), t.table("customer").select(F.col("c_custkey").alias("root_id")), large=large)
+    return out.select("root_id", *[r6(F.col(a)).alias(a) for a in "xyz"], "branched", "failed")
+
+
+@query(_KEY)
 def tree_keypoint(t):
-    return skeleton.key_points(t.skeletons(), t.table("customer").select(F.col("c_custkey").alias("root_id")))
+    return _key_points(t, skeleton.LARGE)
+
+
+@query(_KEY)
+def tree_keypoint_joins(t):
+    """The same as tree_keypoint, every tree by joins, as only very large ones are otherwise."""
+    return _key_points(t, 0)
 
 
 @query("""WITH f AS (SELECT c_nationkey AS fragment, count(*)::INT AS n FROM customer GROUP BY 1), s AS (SELECT fragment, coalesce(sum(n) OVER (ORDER BY fragment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS shift, n FROM f)
