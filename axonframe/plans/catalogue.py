@@ -290,6 +290,18 @@ def latest_id(t):
     return versions.latest_ids(ids, lineage, at)
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT event_id AS a, event_id + 1 AS b, 0.7::DOUBLE AS share FROM events WHERE event_id % 23 <> 0 AND ts <= TIMESTAMP '{PIN}' UNION ALL SELECT event_id, event_id + 3, CASE WHEN event_id % 2 = 0 THEN 0.9::DOUBLE ELSE 0.3 END FROM events WHERE event_id % 23 <> 0 AND event_id % 5 = 0 AND ts <= TIMESTAMP '{PIN}'
+    UNION ALL SELECT event_id, event_id + 2, 0.7 FROM events WHERE event_id % 23 <> 0 AND event_id % 7 = 0 AND ts <= TIMESTAMP '{PIN}'), heir AS (SELECT a, arg_max(b, (share, -b)) AS b FROM e GROUP BY 1),
+    walk AS (SELECT event_id AS root_id, event_id AS here FROM events UNION ALL SELECT root_id, heir.b FROM walk JOIN heir ON heir.a = walk.here) SELECT root_id, max(here) AS latest_id FROM walk GROUP BY 1""")
+def latest_id_chain(t):
+    """Ids after chains of up to 23 edits, with splits into a larger, a lesser and an equal part, and merges where their ends meet."""
+    log = t.table("events").withColumn("timestamp", F.col("ts").cast("timestamp"))
+    step = lambda rows, by, share: rows.where("event_id % 23 <> 0").select(F.col("event_id").alias("old_id"), (F.col("event_id") + by).alias("new_id"), "timestamp", share.alias("share"))
+    lesser = F.when(F.col("event_id") % 2 == 0, 0.9).otherwise(0.3)
+    edited = step(log, 1, F.lit(0.7)).union(step(log.where("event_id % 5 = 0"), 3, lesser)).union(step(log.where("event_id % 7 = 0"), 2, F.lit(0.7)))
+    return versions.current_ids(log.select(F.col("event_id").alias("root_id")), edited, F.lit(PIN).cast("timestamp"))
+
+
 @query(f"SELECT user_id, event_id, event_type, value FROM events WHERE ts <= TIMESTAMP '{PIN}' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1")
 def snapshot_latest(t):
     return versions.snapshot(t.table("events").withColumn("ts", F.col("ts").cast("timestamp")), ["user_id"], F.lit(PIN).cast("timestamp"), tie="event_id").select("user_id", "event_id", "event_type", "value")
@@ -545,12 +557,13 @@ def upsert_rows(t):
 
 # model fitting
 
-_EXAMPLES = _FEATURES + ", e AS (SELECT *, CASE WHEN l2_id % 10 = 1 THEN 1 ELSE 0 END AS label FROM features WHERE l2_id % 10 <= 3 AND log_area IS NOT NULL AND log_size IS NOT NULL AND log_max_dt IS NOT NULL AND log_mean_dt IS NOT NULL AND roundness IS NOT NULL) "
+_EXAMPLES = _FEATURES + ", e AS (SELECT *, CASE WHEN l2_id % 3 = 1 THEN 1 ELSE 0 END AS label FROM features WHERE log_area IS NOT NULL AND log_size IS NOT NULL AND log_max_dt IS NOT NULL AND log_mean_dt IS NOT NULL AND roundness IS NOT NULL) "
 
 
 def _examples(t):
+    """All chunks, in three classes: positives, hard and soft negatives."""
     chunks = t.chunks()
-    return training.examples(chunks.where("l2_id % 10 = 1"), chunks.where("l2_id % 10 in (2, 3)"), chunks.where("l2_id % 10 = 0"))
+    return training.examples(*(chunks.where(f"l2_id % 3 = {k}") for k in (1, 2, 0)))
 
 
 @query(_EXAMPLES + "SELECT label, count(*) AS n FROM e GROUP BY 1")
@@ -580,7 +593,16 @@ def kde_grid(t):
     return training.mixed_density(training.kde(rows, "v", points=64, width=10.0)).select(r6(F.col("at")).alias("at"), F.round("density", 9).alias("density"))
 
 
-@query()
+@query("""WITH v AS (SELECT c_acctbal / 40 - 200 AS v FROM customer WHERE c_acctbal / 40 - 200 BETWEEN -200 AND 50), g AS (SELECT -200 + i * 250.0::DOUBLE / 31 AS pos FROM range(32) r(i)),
+    h AS (SELECT 0.9::DOUBLE * least(stddev_samp(v), (quantile_cont(v, 0.75) - quantile_cont(v, 0.25)) / 1.34::DOUBLE) * count(*) ^ -0.2::DOUBLE AS h, count(*) AS n FROM v)
+    SELECT round(pos, 6) AS "at", round(sum(exp(-0.5::DOUBLE * ((pos - v) / h)^2)) / any_value(n * h * sqrt(2 * pi())), 9) AS density FROM g, v, h GROUP BY pos""")
+def kde_bandwidth(t):
+    """The density with the width of the rule, from exact quartiles."""
+    rows = t.table("customer").select((F.col("c_acctbal") / 40 - 200).alias("v"))
+    return training.kde(rows, "v", points=32).select(r6(F.col("at")).alias("at"), F.round("density", 9).alias("density"))
+
+
+@query(with_tables("chunks") + "SELECT root_id, l2_id FROM chunks QUALIFY row_number() OVER (PARTITION BY root_id ORDER BY sha256(l2_id || ':20260524'), l2_id) <= 3")
 def soft_negative_sample(t):
     return training.soft_negatives(t.chunks().select("root_id", "l2_id"), per_root=3)
 
