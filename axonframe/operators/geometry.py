@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -42,6 +43,61 @@ class ThinPlateSpline:
         r = np.linalg.norm(points[:, None] - self.source[None], axis=2)
         return r @ self.weights + np.column_stack([np.ones(len(points)), points]) @ self.affine
 
+    def jacobian(self, points: np.ndarray) -> np.ndarray:
+        """The derivative at each point: 3 x 3, a row for each coordinate that comes out."""
+        gap = points[:, None] - self.source[None]
+        r = np.linalg.norm(gap, axis=2)
+        unit = gap / np.where(r > 0, r, 1)[:, :, None]
+        return np.einsum("ijk,jl->ilk", unit, self.weights) + self.affine[1:].T[None]
+
+    def inverse(self, tolerance: float = 1e-6, steps: int = 60) -> InverseSpline:
+        return InverseSpline(self, tolerance, steps)
+
+    def to_json(self) -> str:
+        return json.dumps({k: np.asarray(v).tolist() for k, v in (("source", self.source), ("weights", self.weights), ("affine", self.affine))})
+
+    @classmethod
+    def from_json(cls, text: str) -> ThinPlateSpline:
+        """From stored coefficients: source points (n x 3), their weights (n x 3), and the affine part (4 x 3, the constant first)."""
+        raw = json.loads(text)
+        spline = cls(*(np.asarray(raw[k], float) for k in ("source", "weights", "affine")))
+        if spline.source.ndim != 2 or spline.source.shape[1] != 3 or spline.weights.shape != spline.source.shape or spline.affine.shape != (4, 3):
+            raise ValueError("a spline has source points and weights of the same number, three coordinates each, and an affine part of four rows")
+        return spline
+
+
+@dataclass
+class InverseSpline:
+    """Where a spline takes points from, by damped Newton steps for all points at once: a step is halved until it brings the point nearer. Points that do not come within the tolerance (in the spline's units) are NaN."""
+
+    forward: ThinPlateSpline
+    tolerance: float = 1e-6
+    steps: int = 60
+
+    def __call__(self, points: np.ndarray) -> np.ndarray:
+        target = np.asarray(points, float)
+        linear = np.linalg.pinv(self.forward.affine[1:])
+        x = (target - self.forward.affine[0]) @ linear
+        miss = target - self.forward(x) if len(x) else target
+        for _ in range(self.steps):
+            size = np.linalg.norm(miss, axis=1)
+            open_ = np.flatnonzero(size > self.tolerance)
+            if not len(open_):
+                break
+            step = (np.linalg.pinv(self.forward.jacobian(x[open_])) @ miss[open_][:, :, None])[:, :, 0]
+            share = np.ones(len(open_))
+            left = np.arange(len(open_))
+            for _ in range(20):
+                tried = x[open_[left]] + share[left, None] * step[left]
+                now = target[open_[left]] - self.forward(tried)
+                nearer = np.linalg.norm(now, axis=1) < size[open_[left]]
+                x[open_[left[nearer]]], miss[open_[left[nearer]]] = tried[nearer], now[nearer]
+                left = left[~nearer]
+                if not len(left):
+                    break
+                share[left] /= 2
+        return np.where((np.linalg.norm(miss, axis=1) <= self.tolerance)[:, None], x, np.nan) if len(x) else x
+
 
 def mirror_landmarks(point_a, point_b, raw: bool = True, units: str = "nm", voxel=VOXEL_NM) -> ThinPlateSpline:
     """The spline that swaps the sides: fitted on A over B to B over A. Raw landmarks are voxels; else they are in `units`."""
@@ -69,17 +125,18 @@ def apply_to_points(df: DataFrame, f, prefix: str = "", out: str = "m") -> DataF
     return df.withColumns({f"{out}_{a}": F.nanvl(F.col("__m")[a], F.lit(None).cast("double")) for a in "xyz"}).drop("__m")
 
 
-def mirror(df: DataFrame, method: str = "tps", units: str = "nm", to_symmetric: ThinPlateSpline | None = None, back: ThinPlateSpline | None = None, swap: ThinPlateSpline | None = None, axis_um: float = 734.144, prefix: str = "", out: str = "m") -> DataFrame:
-    """Adds the mirrored point. tps (or symmetric): to the symmetric space in µm, flipped along x of length axis_um, and back; landmarks: one spline that swaps the sides."""
+def mirror(df: DataFrame, method: str = "tps", units: str = "nm", to_symmetric: ThinPlateSpline | None = None, back: ThinPlateSpline | InverseSpline | None = None, swap: ThinPlateSpline | None = None, axis_um: float = 734.144, prefix: str = "", out: str = "m") -> DataFrame:
+    """Adds the mirrored point. tps (or symmetric): to the symmetric space in µm, flipped along x of length axis_um, and back, by the spline that is given for it or else by inverting the first (to 1e-6 µm); landmarks: one spline that swaps the sides."""
     if method == "landmarks":
         if swap is None:
             raise ValueError("method landmarks needs the spline of mirror_landmarks")
         return apply_to_points(df, swap, prefix, out)
     if method not in ("tps", "symmetric"):
         raise ValueError(f"unknown method {method!r}")
-    if to_symmetric is None or back is None:
-        raise ValueError("method tps needs the registration and its inverse")
+    if to_symmetric is None:
+        raise ValueError("method tps needs the registration")
     scale = UNIT_NM[units] / 1000.0
+    back = back or to_symmetric.inverse()
 
     def flip(points: np.ndarray) -> np.ndarray:
         moved = to_symmetric(points * scale)

@@ -57,3 +57,14 @@ def quantiles(df: DataFrame, columns, at) -> DataFrame:
     value = F.when(share == 0, F.col("low")).otherwise(F.col("low") * (1 - share) + F.col("high") * share)
     row = pairs.agg(*(F.max(F.when((F.col("column") == c) & (F.col("i") == i), value)).alias(f"v{c}_{i}") for c in range(len(columns)) for i in range(len(at))))
     return row.select(*(F.array(*(F.col(f"v{c}_{i}") for i in range(len(at)))).alias(name) for c, name in enumerate(columns)))
+
+
+def running_before(df: DataFrame, order: str, value: str, out: str) -> DataFrame:
+    """df with out: the sum of value over all rows before each one, by order (nulls of value count nothing). Range partitions are summed; each adds the sums before it to those of its own rows."""
+    part, of = fresh("part", df), fresh("of", df)
+    ranged = stored(df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn(part, F.spark_partition_id()), "ranged")
+    sums = ranged.groupBy(F.col(part).alias(of)).agg(F.sum(value).alias("run"))
+    before = sums.select(of, F.coalesce(F.sum("run").over(Window.orderBy(of).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("run_before"))  # one row for each range partition
+    own = F.coalesce(F.sum(value).over(Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    held = ranged.withColumn(out, own).join(F.broadcast(before), F.col(part) == F.col(of))
+    return held.select(*(c for c in df.columns if c != out), (F.col(out) + F.col("run_before")).alias(out))

@@ -217,12 +217,3 @@ def read_neurons(nodes: DataFrame, ids: DataFrame, somata: DataFrame | None = No
         provenance = somata.select(F.col("root_id").alias("__s"), F.col("source").alias("soma_source"), "n_nuclei", "nucleus_id", "soma_score", "dist_npil_nm", "l2_id")
         neurons = neurons.join(provenance.dropDuplicates(["__s"]), F.col("root_id") == F.col("__s"), "left").drop("__s")
     return convert_units(mine, units, voxel), neurons
-
-
-def concat_meshes(fragments: DataFrame) -> DataFrame:
-    """Faces of fragments(fragment, n_vertices, faces: array<array<int>>) with indices into the joined vertex list: each fragment's shift is the number of vertices before it."""
-    from pyspark.sql import Window
-
-    before = F.sum("n_vertices").over(Window.orderBy("fragment").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = fragments.select(F.col("fragment").alias("__f"), F.coalesce(before, F.lit(0)).cast("int").alias("shift"))
-    return fragments.join(sizes, F.col("fragment") == F.col("__f")).select("fragment", F.posexplode("faces").alias("face", "v"), "shift").select("fragment", "face", F.transform("v", lambda i: i + F.col("shift")).alias("v"))

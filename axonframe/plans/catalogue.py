@@ -12,7 +12,7 @@ from axonframe.functions import chunks, coords
 from axonframe.functions.columns import number_text
 from axonframe.functions.edits import COLOURS, OTHER_COLOUR, affiliation_colour
 from axonframe.functions.scoring import FEATURES, SomaModel, chunk_features, distance_penalty
-from axonframe.operators import edits, geometry, hierarchy, lookup, maintenance, metadata, nuclei, partners, paths, skeleton, soma, training, versions
+from axonframe.operators import edits, geometry, hierarchy, lookup, maintenance, metadata, nuclei, partners, paths, skeleton, soma, training, versions, welding
 from axonframe.plans.proxies import PIN, Tables, with_tables
 from axonframe.sources import tables
 from axonframe.streaming import edit_stream
@@ -130,6 +130,14 @@ def partner_cosine(t):
     return partners.cosine_similarity(partners.partner_summary(t.synapses()), groups).withColumn("cosine", r6(F.col("cosine")))
 
 
+@query("""WITH w AS (SELECT l_suppkey AS q, l_partkey % 200 AS g, count(*)::DOUBLE AS w FROM lineitem GROUP BY 1, 2), n AS (SELECT q, sqrt(sum(w * w)) AS n FROM w GROUP BY 1)
+    SELECT a.q AS a, b.q AS b, round(sum(a.w * b.w) / any_value(x.n * y.n), 6) AS cosine FROM w a JOIN w b ON a.g = b.g AND a.q < b.q JOIN n x ON x.q = a.q JOIN n y ON y.q = b.q GROUP BY 1, 2 HAVING sum(a.w * b.w) / any_value(x.n * y.n) >= 0.8::DOUBLE""")
+def partner_cosine_least(t):
+    """Pairs of similar profiles, without making those that are not."""
+    groups = t.table("part").select(F.col("p_partkey").alias("partner"), (F.col("p_partkey") % 200).alias("group"))
+    return partners.cosine_similarity(partners.partner_summary(t.synapses()), groups, least=0.8).withColumn("cosine", r6(F.col("cosine")))
+
+
 # coordinates and geometry
 
 
@@ -167,13 +175,29 @@ def mirror_flip(t):
     return geometry.mirror(rows, "tps", "nm", same, same).select("c_custkey", F.round("m_x", 4).alias("m_x"))
 
 
-@query()
+_SOURCE = np.random.default_rng(1).uniform(0, 10_000, (12, 3)).round(3)
+_WARP = geometry.ThinPlateSpline.fit(_SOURCE, _SOURCE + np.random.default_rng(2).normal(0, 50, (12, 3)).round(3))
+
+
+def _spline_sql(axis: int) -> str:
+    """One coordinate of _WARP over x, y and z."""
+    number = lambda v: f"({float(v)!r}::DOUBLE)"
+    terms = [f"{number(w[axis])} * sqrt((x - {number(s[0])})^2 + (y - {number(s[1])})^2 + (z - {number(s[2])})^2)" for s, w in zip(_WARP.source, _WARP.weights)]
+    return " + ".join([number(_WARP.affine[0][axis]), *(f"{number(_WARP.affine[i + 1][axis])} * {c}" for i, c in enumerate("xyz")), *terms])
+
+
+@query("WITH p AS (SELECT c_custkey, c_acctbal AS x, c_nationkey * 300.0::DOUBLE AS y, 10.0::DOUBLE AS z FROM customer) SELECT c_custkey, " + ", ".join(f"round({_spline_sql(i)}, 4) AS m_{a}" for i, a in enumerate("xyz")) + " FROM p")
 def tps_eval(t):
-    rng = np.random.default_rng(1)
-    source = rng.uniform(0, 10_000, (12, 3))
-    warp = geometry.ThinPlateSpline.fit(source, source + rng.normal(0, 50, (12, 3)))
-    rows = t.table("customer").select("c_custkey", F.col("c_acctbal").alias("x"), F.lit(10.0).alias("y"), F.lit(10.0).alias("z"))
-    return geometry.apply_to_points(rows, warp)
+    rows = t.table("customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 300.0).alias("y"), F.lit(10.0).alias("z"))
+    return geometry.apply_to_points(rows, _WARP).select("c_custkey", *(F.round(f"m_{a}", 4).alias(f"m_{a}") for a in "xyz"))
+
+
+@query("SELECT c_custkey, c_acctbal AS x, c_nationkey * 300.0::DOUBLE AS y, 10.0::DOUBLE AS z FROM customer")
+def tps_round_trip(t):
+    """Points through a curved warp and back by its inversion, as they were."""
+    rows = t.table("customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 300.0).alias("y"), F.lit(10.0).alias("z"))
+    back = geometry.apply_to_points(geometry.apply_to_points(rows, _WARP), _WARP.inverse(1e-9), "m_", "b")
+    return back.select("c_custkey", *((F.round(f"b_{a}", 4) + 0.0).alias(a) for a in "xyz"))
 
 
 def _cube(size: float) -> geometry.Mesh:
@@ -675,14 +699,28 @@ def tree_keypoint_joins(t):
     return _key_points(t, 0)
 
 
-@query("""WITH f AS (SELECT c_nationkey AS fragment, count(*)::INT AS n FROM customer GROUP BY 1), s AS (SELECT fragment, coalesce(sum(n) OVER (ORDER BY fragment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS shift, n FROM f)
+@query("""WITH f AS (SELECT c_nationkey AS fragment, count(*)::INT AS n FROM customer GROUP BY 1), s AS (SELECT fragment, coalesce(sum(n) OVER (ORDER BY fragment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS shift, n FROM f)
     SELECT fragment, 0 AS face, shift AS v0, shift + 1 AS v1, shift + n - 1 AS v2 FROM s""")
 def mesh_concat(t):
     fragments = t.table("customer").groupBy(F.col("c_nationkey").alias("fragment")).agg(F.count(F.lit(1)).cast("int").alias("n_vertices"))
     fragments = fragments.withColumn("faces", F.array(F.array(F.lit(0), F.lit(1), F.col("n_vertices") - 1)))
-    return skeleton.concat_meshes(fragments).select("fragment", "face", *[F.col("v")[i].alias(f"v{i}") for i in range(3)])
+    return welding.concat_meshes(fragments).select("fragment", "face", *[F.col("v")[i].alias(f"v{i}") for i in range(3)])
 
 
 @query("SELECT c_custkey, CASE WHEN c_acctbal = floor(c_acctbal) THEN c_acctbal::BIGINT::VARCHAR ELSE c_acctbal::VARCHAR END AS said FROM customer WHERE abs(c_acctbal) BETWEEN 0.01 AND 1000000")
 def number_format(t):
     return t.table("customer").where(F.abs("c_acctbal").between(0.01, 1_000_000)).select("c_custkey", number_text(F.col("c_acctbal")).alias("said"))
+
+
+@query("""WITH d AS (SELECT DISTINCT (floor(c_acctbal / 100))::BIGINT AS x, c_nationkey::BIGINT AS y FROM customer)
+    SELECT x + dx AS x, y + dy AS y, count(*) AS n_faces FROM d, (VALUES (0, 0), (1, 0), (0, 1), (1, 1)) v(dx, dy) GROUP BY 1, 2""")
+def mesh_weld(t):
+    """Squares of a grid as fragments with corners of their own, a little off; welded, each corner is one vertex of all squares around it."""
+    squares = t.table("customer").select(F.floor(F.col("c_acctbal") / 100).alias("fx"), F.col("c_nationkey").cast("long").alias("fy")).distinct().withColumn("fragment", F.struct("fx", "fy"))
+    corner = F.posexplode(F.array(*(F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1))))).alias("vertex", "c")
+    off = (F.pmod(F.xxhash64("fx", "fy"), F.lit(7)) - 3) * 1e-5
+    vertices = squares.select("fragment", "fx", "fy", corner).select("fragment", "vertex", (F.col("fx") + F.col("c.dx") + off).alias("x"), (F.col("fy") + F.col("c.dy") + off).alias("y"), F.lit(0.0).alias("z"))
+    faces = squares.select("fragment", F.lit(0).alias("face"), F.array(*map(F.lit, range(4))).alias("v"))
+    welded, whole = welding.weld(vertices, faces, 1e-3)
+    used = whole.select(F.explode("v").alias("of")).groupBy("of").agg(F.count(F.lit(1)).alias("n_faces"))
+    return welded.join(used, F.col("index") == F.col("of")).select(F.round("x").cast("long").alias("x"), F.round("y").cast("long").alias("y"), "n_faces")

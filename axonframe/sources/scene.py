@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from axonframe.operators.geometry import ThinPlateSpline
+
 LAYERS = "layers array<struct<type:string, name:string, source:string, annotations:array<struct<id:string, type:string, point:array<double>, pointA:array<double>, pointB:array<double>>>>>"
 
 
@@ -43,6 +45,14 @@ def landmark_pairs(annotations: DataFrame) -> tuple[list, list]:
     return [r.pointA for r in rows], [r.pointB for r in rows]
 
 
+def load_registration(spark: SparkSession, path: str) -> ThinPlateSpline:
+    """A registration stored as one JSON document of spline coefficients, from any store that Spark reads; its inverse() goes the other way, so that one direction is enough."""
+    rows = spark.read.text(path, wholetext=True).take(2)
+    if len(rows) != 1:
+        raise ValueError(f"{path} has to be one document")
+    return ThinPlateSpline.from_json(rows[0][0])
+
+
 def annotation_layer(df: DataFrame, prefix: str = "soma: ") -> DataFrame:
     """(point, segments, layer) of rows with a position; a layer for each source."""
     return df.where("position IS NOT NULL").select(F.col("position").alias("point"), F.col("root_id").cast("string").alias("segments"), F.concat(F.lit(prefix), F.coalesce("source", F.lit("NA"))).alias("layer"))
