@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Patterns that an affiliation holds and the colours of edits, first match first, and the colour of all others.
-COLOURS = (("^auto$", "grey"), ("Cambridge", "#A3E1CD"), ("Wei|Dacks", "#A41034"))
+COLOURS = (("\\Aauto\\z", "grey"), ("Cambridge", "#A3E1CD"), ("Wei|Dacks", "#A41034"))
 OTHER_COLOUR = "black"
 
 

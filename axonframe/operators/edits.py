@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from axonframe.functions.coords import VOXEL_NM, raw_to_nm
 from axonframe.functions.edits import affiliation_colour, centroid, frame_of
+from axonframe.functions.shared import fresh
+from axonframe.operators.maintenance import numbered
 
 DERIVED = ("sink_x", "sink_y", "sink_z", "source_x", "source_y", "source_z", "operation_ts")
 
@@ -50,7 +52,8 @@ def in_requested_order(wanted: DataFrame, log: DataFrame, key: str = "operation_
     rest = [c for c in log.columns if c != key]
     row = F.struct(*rest)
     first = log.groupBy(F.col(key).alias("__k")).agg(F.min_by(row, F.struct(*([order] if order in rest else []), F.to_json(row))).alias("__r"))
-    return wanted.select(ordinal, key).join(first, F.col(key) == F.col("__k")).select(ordinal, key, *[F.col("__r")[c].alias(c) for c in rest])
+    # Null-safe, so that the log's rows are dealt anew: a join on the aggregate's own key could not be split where an id is asked very often.
+    return wanted.select(ordinal, key).where(F.col(key).isNotNull()).join(first, F.col(key).eqNullSafe(F.col("__k"))).select(ordinal, key, *[F.col("__r")[c].alias(c) for c in rest])
 
 
 def details_from_json(df: DataFrame, column: str = "json", fields: str = "timestamp string, user string, status string, sink_coords string, source_coords string") -> DataFrame:
@@ -100,10 +103,10 @@ def exists(log: DataFrame, ids: DataFrame, key: str = "operation_id") -> DataFra
     return ids.join(have, F.col(key) == F.col("__k"), "left").select(*ids.columns, F.col("__k").isNotNull().alias("found"))
 
 
-def all_operations(spark: SparkSession, log: DataFrame, last: int, centroids: bool = False) -> DataFrame:
-    """The log's rows for ids 1 to last."""
-    ids = spark.range(1, last + 1).select(F.col("id").cast("int").alias("__k"))
-    rows = log.join(ids, F.col("operation_id") == F.col("__k"), "left_semi")
+def all_operations(log: DataFrame, last: int | None = None, centroids: bool = False) -> DataFrame:
+    """The log's rows for ids 1 to last, or all from 1. The bounds reach the scan; nothing is shuffled."""
+    rows = log.where(F.col("operation_id") >= 1)
+    rows = rows if last is None else rows.where(F.col("operation_id") <= last)
     return add_centroids(rows) if centroids else rows
 
 
@@ -128,6 +131,15 @@ def movie_frames(points: DataFrame, frames: int) -> DataFrame:
     return n.select("frame", "n", running.alias("shown"), (F.col("frame") / frames).alias("progress"))
 
 
+def batches(df: DataFrame, order: list[str], size: int, out: str = "batch") -> DataFrame:
+    """df with the row's place in order (place, from 1) and the number (from 1) of its batch of at most size consecutive rows, as a service takes them. Places are sums over range partitions."""
+    if size < 1:
+        raise ValueError("size must be 1 or more")
+    by, place = fresh("by", df), fresh("place", df)
+    numbered_rows = numbered(df.withColumn(by, F.struct(*order)), by, place)
+    return numbered_rows.select(*df.columns, F.col(place).alias("place"), (F.floor((F.col(place) - 1) / size) + 1).cast("long").alias(out))
+
+
 def bounding_box(df: DataFrame, *columns: str) -> DataFrame:
     """Least and greatest value of each column, nulls apart."""
     return df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))])

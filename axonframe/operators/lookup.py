@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -51,6 +52,21 @@ def points_to_segments(points: DataFrame, cells: DataFrame, cell=(1.0, 1.0, 1.0)
     return joined.select(*[F.col(c) for c in points.columns if c != "segment_id"], (value if integer else value.cast("string")).alias("segment_id"))
 
 
+@dataclass(frozen=True)
+class Space:
+    """How points find their level-2 chunks: the grid of supervoxels, the nodes above them (hierarchy.layer_nodes), and the sizes of cells and chunks."""
+
+    cells: DataFrame
+    nodes: DataFrame
+    cell: tuple = (1.0, 1.0, 1.0)
+    chunk_cells: tuple = (1, 1, 1)
+
+    def level2(self, points: DataFrame, voxel=VOXEL_NM) -> DataFrame:
+        """points(x, y, z in nm, ..) with l2_id, null where there is none."""
+        found = points_to_segments(points, self.cells, self.cell, voxel=voxel, integer=True, stop_layer=2, nodes=self.nodes, chunk_cells=self.chunk_cells)
+        return found.select(*(c for c in points.columns if c != "l2_id"), F.nullif(F.col("segment_id"), F.lit(0)).alias("l2_id"))
+
+
 def lookup_service(points: DataFrame, fetch, chunksize: int = 2000) -> DataFrame:
     """points(x, y, z, ..) with segment_id from a remote service: fetch(list of (x, y, z)) gives ids as text.
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from axonframe.functions.columns import missing_id, require_columns
-from axonframe.functions.shared import checkpointed
+from axonframe.functions.shared import checkpointed, fresh
 from axonframe.operators.versions import root_at
 
 
@@ -26,9 +26,10 @@ def sequential_update(df: DataFrame, history: DataFrame, at: Column, supervoxels
 def flag_duplicates(df: DataFrame, key: str = "root_id", bad: str = "duplicate", out: str = "root_duplicated") -> DataFrame:
     """Adds a flag: the row's status is good (null is) and its root has several good rows. Counted by an aggregate that is joined back."""
     good = F.col("status").isNull() | (F.col("status") != bad)
-    counts = df.where(good).groupBy(F.col(key).alias("__k")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    joined = df.join(counts, F.col(key).eqNullSafe(F.col("__k")), "left")
-    return joined.select(*[c for c in df.columns if c != out], (good & F.col("__n").isNotNull()).alias(out))
+    of, many = fresh("of", df), fresh("many", df)
+    counts = df.where(good).groupBy(F.col(key).alias(of)).agg(F.count(F.lit(1)).alias(many)).where(F.col(many) > 1)
+    joined = df.join(counts, F.col(key).eqNullSafe(F.col(of)), "left")
+    return joined.select(*[c for c in df.columns if c != out], (good & F.col(many).isNotNull()).alias(out))
 
 
 def cell_changed(old: Column, new: Column) -> Column:
@@ -72,12 +73,12 @@ def assign_serials(df: DataFrame, order: str = "_id", column: str = "serial_id")
 def update_table(df: DataFrame, history: DataFrame, at: Column, update_duplicates: bool = True, serials: bool = False, supervoxels: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(table after the update, rows that changed). Without update_duplicates rows of status duplicate are left alone and only ids and points are compared."""
     rows = df if update_duplicates else df.where(F.col("status").isNull() | (F.col("status") != "duplicate"))
-    fresh = sequential_update(rows, history, at, supervoxels)
+    renewed = sequential_update(rows, history, at, supervoxels)
     columns = ["root_id", "supervoxel_id"] + [c for c in ("point_xyz",) if c in df.columns]
     if update_duplicates:
-        fresh = flag_duplicates(fresh)
+        renewed = flag_duplicates(renewed)
         columns = columns + ["root_duplicated"] if "root_duplicated" in df.columns else columns
-    changed = changed_rows(rows, fresh, columns)
+    changed = changed_rows(rows, renewed, columns)
     after = upsert(df, changed.select("_id", *[c for c in columns if c in df.columns]))
     return (assign_serials(after) if serials else after), changed
 
@@ -86,8 +87,8 @@ def upsert(table: DataFrame, rows: DataFrame, key: str = "_id", append: bool = F
     """table with the columns of rows replaced where the key matches; rows with new keys are added where append. Keys of rows have to be unique."""
     require_columns(rows, key)
     new = [c for c in rows.columns if c != key]
-    fresh = rows.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in new])
-    joined = table.join(fresh, F.col(key) == F.col("__k"), "left")
+    renewed = rows.select(F.col(key).alias("__k"), *[F.col(c).alias(f"__{c}") for c in new])
+    joined = table.join(renewed, F.col(key) == F.col("__k"), "left")
     hit = F.col("__k").isNotNull()
     out = joined.select(*[F.when(hit, F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in table.columns])
     if append:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from axonframe.functions.columns import require_columns
+from axonframe.functions.shared import fresh
 from axonframe.operators.versions import root_at
 
 
@@ -46,10 +49,10 @@ def good_status(bad=("duplicate", "bad_nucleus")) -> Column:
 
 def unique_rows(df: DataFrame, key: str = "root_id", order: str = "_id") -> tuple[DataFrame, DataFrame]:
     """The first row of each key (nulls of `order` last, ties by the rows' text), and all rows of keys with several: min_by and a join, so that a hot key's rows never meet in one window."""
-    row = F.struct(*df.columns)
-    groups = df.groupBy(F.col(key).alias("__key")).agg(F.min_by(row, F.struct(F.col(order).isNull(), order, F.to_json(row))).alias("__row"), F.count(F.lit(1)).alias("__n"))
-    several = df.join(groups.where("__n > 1").select("__key"), F.col(key).eqNullSafe(F.col("__key")), "left_semi")
-    return groups.select("__row.*"), several
+    row, of = F.struct(*df.columns), fresh("of", df)
+    groups = df.groupBy(F.col(key).alias(of)).agg(F.min_by(row, F.struct(F.col(order).isNull(), order, F.to_json(row))).alias("first"), F.count(F.lit(1)).alias("rows"))
+    several = df.join(groups.where("rows > 1").select(of), F.col(key).eqNullSafe(F.col(of)), "left_semi")
+    return groups.select("first.*"), several
 
 
 def metadata(df: DataFrame, ids: DataFrame | list | str | None = None, ignore_case: bool = False, fixed: bool = False, unique: bool = False, history: DataFrame | None = None, at: Column | None = None, exclude_status=("duplicate", "bad_nucleus")) -> tuple[DataFrame, DataFrame | None]:
@@ -101,12 +104,10 @@ def count_by(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
 
 def add_count(df: DataFrame, *columns: str, name: str = "n") -> DataFrame:
     """Each row with its group's size, by an aggregate joined back: the aggregate shrinks before it is shuffled and a hot group's rows can be split."""
-    counts = count_by(df, *columns, name=name).select(*[F.col(c).alias(f"__{c}") for c in columns], name)
-    on = None
-    for c in columns:
-        same = F.col(c).eqNullSafe(F.col(f"__{c}"))
-        on = same if on is None else on & same
-    return df.join(counts, on).drop(*[f"__{c}" for c in columns])
+    keys, total = {c: fresh(f"of_{i}", df) for i, c in enumerate(columns)}, fresh("total", df)
+    counts = count_by(df, *columns, name=total).select(*[F.col(c).alias(n) for c, n in keys.items()], total)
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(n)) for c, n in keys.items()])
+    return df.join(counts, on).select(*[c for c in df.columns if c != name], F.col(total).alias(name))
 
 
 def wide_counts(df: DataFrame, row: str, column: str, values: list) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import warnings
 
 import numpy as np
 import pandas as pd
@@ -217,3 +218,16 @@ def read_neurons(nodes: DataFrame, ids: DataFrame, somata: DataFrame | None = No
         provenance = somata.select(F.col("root_id").alias("__s"), F.col("source").alias("soma_source"), "n_nuclei", "nucleus_id", "soma_score", "dist_npil_nm", "l2_id")
         neurons = neurons.join(provenance.dropDuplicates(["__s"]), F.col("root_id") == F.col("__s"), "left").drop("__s")
     return convert_units(mine, units, voxel), neurons
+
+
+def unplaced(neurons: DataFrame) -> DataFrame:
+    """One row: missing (neurons of read_neurons whose soma was not found, so that they could not be rerooted) and total."""
+    return neurons.agg(F.count_if(F.col("soma_source").isNull()).alias("missing"), F.count(F.lit(1)).alias("total"))
+
+
+def warn_unplaced(neurons: DataFrame) -> int:
+    """Warns how many neurons could not be rerooted, if any; their number."""
+    missing, total = unplaced(neurons).first()
+    if missing:
+        warnings.warn(f"{missing} of {total} neurons could not be rerooted; their soma_source is null", stacklevel=2)
+    return missing

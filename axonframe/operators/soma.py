@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from axonframe.functions.columns import is_blank, require_columns
 from axonframe.functions.coords import VOXEL_NM, format_xyz, parse_xyz
+from axonframe.functions.shared import stored
 from axonframe.functions.scoring import SomaModel, chunk_features, distance_penalty, mahalanobis
 from axonframe.operators.geometry import Mesh, mesh_distance, side_distance, side_of
+from axonframe.operators.lookup import Space
 from axonframe.operators.nuclei import dedup_nuclei
 
 #: Terms of the score that each method uses: shape, distance from the neuropil.
@@ -44,10 +46,11 @@ def best_chunks(membership: DataFrame, attributes: DataFrame, model: SomaModel,
 
 
 def annotated_somata(annotations: DataFrame, voxel=VOXEL_NM, source: str = "annotation") -> DataFrame:
-    """Rows of RESULT from soma_xyz ("x,y,z" voxels), each root's first row by _id; nm positions."""
+    """Rows of RESULT from soma_xyz ("x,y,z" voxels), each root's first row by _id (ties by text); nm positions."""
     require_columns(annotations, "root_id", "soma_xyz")
     nucleus = F.col("nucleus_id").cast("int") if "nucleus_id" in annotations.columns else F.lit(None).cast("int")
-    order = "_id" if "_id" in annotations.columns else "soma_xyz"
+    by = "_id" if "_id" in annotations.columns else "soma_xyz"
+    order = F.struct(F.col(by).isNull().alias("a"), F.col(by).alias("b"), F.col("soma_xyz").alias("c"), nucleus.alias("d"))
     first = annotations.groupBy("root_id").agg(F.min_by(F.struct(F.col("soma_xyz").alias("s"), nucleus.alias("n")), order).alias("f"))
     rows = first.where(~is_blank(F.col("f.s"))).select("root_id", parse_xyz(F.col("f.s")).alias("p"), F.col("f.n").alias("nucleus_id")).where("p IS NOT NULL")
     place = format_xyz(*[F.col(f"p.{a}") * float(v) for a, v in zip("xyz", voxel)])
@@ -58,21 +61,32 @@ def _no_score() -> list[Column]:
     return [F.lit(None).cast(t).alias(c) for c, t in (("soma_score", "double"), ("dist_npil_nm", "double"), ("l2_id", "long"))]
 
 
-def with_known_scores(rows: DataFrame, mesh: Mesh, l2_of_points: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
-    """Rows of RESULT with the distance of their positions from the mesh and, where the point's chunk is known (root_id, l2_id), that chunk's score."""
+def with_known_scores(rows: DataFrame, mesh: Mesh, space: Space | None = None, attributes: DataFrame | None = None, model: SomaModel | None = None, voxel=VOXEL_NM) -> DataFrame:
+    """Rows of RESULT with the distance of their positions from the mesh, and with a space the level-2 chunk that each position lies in and, with attributes and model, that chunk's score.
+
+    A chunk without attributes, or that score_chunks leaves out, gives no score; a position in no chunk keeps what it had.
+    Only chunks that a position lies in are scored, each once.
+    """
     p = parse_xyz(F.col("position"))
-    rows = mesh_distance(rows.select("*", *[p[a].alias(f"__{a}") for a in "xyz"]).drop("dist_npil_nm"), mesh, "__").drop("__x", "__y", "__z")
-    if l2_of_points is not None and scored is not None:
-        chunk = l2_of_points.where("l2_id <> 0").join(scored.select(F.col("l2_id").alias("__l2"), F.col("soma_score").alias("__s")), F.col("l2_id") == F.col("__l2"), "left").select(F.col("root_id").alias("__root"), F.col("l2_id").alias("__own"), "__s")
-        rows = rows.join(chunk, F.col("root_id") == F.col("__root"), "left").withColumns({"l2_id": F.coalesce("l2_id", "__own"), "soma_score": F.coalesce("soma_score", "__s")})
+    rows = rows.select("*", *[p[a].alias(a) for a in "xyz"])
+    rows = mesh_distance(rows.drop("dist_npil_nm"), mesh)
+    if space is not None:
+        rows = space.level2(rows.withColumnRenamed("l2_id", "l2_before"), voxel)
+        if attributes is not None and model is not None:
+            rows = stored(rows, "known")  # read twice below
+            asked = rows.select(F.col("l2_id").alias("asked")).where("asked IS NOT NULL").distinct()
+            scored = score_chunks(attributes.join(asked, F.col("l2_id") == F.col("asked"), "left_semi"), model, mesh, "l2+mesh").groupBy(F.col("l2_id").alias("of")).agg(F.min("soma_score").alias("found"))
+            rows = rows.join(scored, F.col("l2_id").eqNullSafe(F.col("of")), "left").withColumn("soma_score", F.coalesce("found", "soma_score"))
+        rows = rows.withColumn("l2_id", F.coalesce("l2_id", "l2_before"))
     return rows.select("root_id", "position", "source", "n_nuclei", "nucleus_id", "soma_score", "dist_npil_nm", "l2_id")
 
 
-def soma_positions(ids: DataFrame, method: str = "auto", annotations: DataFrame | None = None, nuclei: DataFrame | None = None, membership: DataFrame | None = None, attributes: DataFrame | None = None, model: SomaModel | None = None, mesh: Mesh | None = None, keep: str = "largest", units: str = "nm", voxel=VOXEL_NM, source: str = "annotation") -> DataFrame:
+def soma_positions(ids: DataFrame, method: str = "auto", annotations: DataFrame | None = None, nuclei: DataFrame | None = None, membership: DataFrame | None = None, attributes: DataFrame | None = None, model: SomaModel | None = None, mesh: Mesh | None = None, keep: str = "largest", units: str = "nm", voxel=VOXEL_NM, source: str = "annotation", space: Space | None = None) -> DataFrame:
     """ordinal and RESULT for ids(ordinal, root_id), in input order by ordinal: the first source that has the root.
 
     Sources of auto: annotations, nuclei, and with a mesh the scored chunks; each is cut to the wanted roots before it is
-    aggregated, parsed or measured, and gives those that the ones before it lack. Roots in no source give a row of nulls; an id that comes twice gives its rows twice.
+    aggregated, parsed or measured, and gives those that the ones before it lack. With a mesh, annotated and nuclear
+    positions get their distance from it and, with a space, their level-2 chunk and its score. Roots in no source give a row of nulls; an id that comes twice gives its rows twice.
     """
     require_columns(ids, "ordinal", "root_id")
     if method in ("l2+mesh", "mesh") and mesh is None:
@@ -83,6 +97,9 @@ def soma_positions(ids: DataFrame, method: str = "auto", annotations: DataFrame
     def asked(rows: DataFrame, key: str = "root_id") -> DataFrame:
         return rows.join(wanted.select(F.col("root_id").alias("__w")), F.col(key) == F.col("__w"), "left_semi")
 
+    def known(rows: DataFrame) -> DataFrame:
+        return rows if mesh is None else with_known_scores(rows, mesh, space, attributes, model, voxel)
+
     def add(rows: DataFrame) -> DataFrame:
         if found is None:
             return rows
@@ -90,10 +107,10 @@ def soma_positions(ids: DataFrame, method: str = "auto", annotations: DataFrame
 
     if method in ("auto", source, "annotation") and annotations is not None:
         rows = annotated_somata(asked(annotations), voxel, source)
-        found = add(with_known_scores(rows, mesh) if mesh is not None else rows)
+        found = add(known(rows))
     if method in ("auto", "nucleus") and nuclei is not None:
         rows = dedup_nuclei(asked(nuclei, "pt_root_id"), keep).select("root_id", "position", "source", "n_nuclei", F.col("nucleus_id").cast("int").alias("nucleus_id"), *_no_score())
-        found = add(with_known_scores(rows, mesh) if mesh is not None else rows)
+        found = add(known(rows))
     if membership is not None and (method in METHODS or method == "auto" and mesh is not None):
         found = add(best_chunks(asked(membership), attributes, model, mesh, method if method in METHODS else "l2+mesh"))
     if found is None:
@@ -113,7 +130,7 @@ def clean_side(side: Column) -> Column:
 
 def soma_sides(ids: DataFrame, annotations: DataFrame, positions: DataFrame | None = None, mirrored_x: str | None = None, method: str = "auto", threshold: float = 0) -> DataFrame:
     """ids with side: the annotated one (manual), that of the mirrored soma position (position), or the first of these there is (auto)."""
-    manual = annotations.groupBy(F.col("root_id").alias("__a")).agg(F.min_by(clean_side(F.col("side")), "_id").alias("__manual")) if "side" in annotations.columns else None
+    manual = annotations.groupBy(F.col("root_id").alias("__a")).agg(F.min_by(clean_side(F.col("side")), F.struct(F.col("_id").isNull().alias("a"), F.col("_id").alias("b"), F.col("side").alias("c"))).alias("__manual")) if "side" in annotations.columns else None
     if manual is None and method == "manual":
         raise ValueError("missing required columns: side")
     df = ids if manual is None or method == "position" else ids.join(manual, F.col("root_id") == F.col("__a"), "left").drop("__a")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from axonframe.functions import chunks, coords
 from axonframe.functions.columns import number_text
 from axonframe.functions.edits import COLOURS, OTHER_COLOUR, affiliation_colour
+from axonframe.functions.shared import stored
 from axonframe.functions.scoring import FEATURES, SomaModel, chunk_features, distance_penalty
 from axonframe.operators import edits, geometry, hierarchy, lookup, maintenance, metadata, nuclei, partners, paths, skeleton, soma, training, versions, welding
 from axonframe.plans.proxies import PIN, Tables, with_tables
@@ -394,6 +395,90 @@ def l2_top1(t):
     return soma.best_chunks(chunks.select("root_id", "l2_id"), chunks.drop("root_id"), MODEL).select("root_id", "l2_id", r6(F.col("soma_score")).alias("soma_score"))
 
 
+#: Chunks a thousand times farther apart, and a cube to measure them from.
+_SIDE = 200_000.0
+_FAR = _FEATURES + """, far AS (SELECT f.root_id, f.l2_id, f.log_area, f.log_size, f.log_max_dt, f.log_mean_dt, f.roundness, f.pca_val_0, c.rep_coord_nm_x * 1000 AS x, c.rep_coord_nm_y * 1000 AS y, c.rep_coord_nm_z * 1000 AS z FROM features f JOIN chunks c USING (root_id, l2_id)),
+    """
+_CUBE_DISTANCE = "CASE WHEN least(x, y, z) > 0 AND greatest(x, y, z) < 200000 THEN least(x, y, z, 200000 - x, 200000 - y, 200000 - z) ELSE -sqrt(greatest(-x, x - 200000, 0)^2 + greatest(-y, y - 200000, 0)^2 + greatest(-z, z - 200000, 0)^2) END"
+_PENALTY = "-2 * ln(greatest(CASE WHEN um BETWEEN -200 AND 50 THEN g[least(floor((um + 200) / 50), 4)::INT + 1] + (g[least(floor((um + 200) / 50), 4)::INT + 2] - g[least(floor((um + 200) / 50), 4)::INT + 1]) * ((um + 200) / 50 - least(floor((um + 200) / 50), 4)) ELSE 4e-6::DOUBLE END, 2.2250738585072014e-308::DOUBLE) / 0.012::DOUBLE)"
+_SCORED = _FAR + f"g AS (SELECT [0.004, 0.008, 0.012, 0.006, 0.004, 0.005]::DOUBLE[] AS g), m AS (SELECT *, {_CUBE_DISTANCE} AS d, ({_CUBE_DISTANCE}) / 1000 AS um FROM far), s AS (SELECT *, {_SHAPE} AS shape, {_PENALTY} AS penalty FROM m, g WHERE pca_val_0 > 0) "
+
+
+def _far_chunks(t):
+    return t.chunks().withColumns({f"rep_coord_nm_{a}": F.col(f"rep_coord_nm_{a}") * 1000 for a in "xyz"})
+
+
+@query(_SCORED + "SELECT root_id, l2_id, round(d, 3) + 0 AS dist_npil_nm, round(shape + penalty, 6) AS soma_score FROM s")
+def soma_score_sum(t):
+    """Shape and distance together."""
+    out = soma.score_chunks(_far_chunks(t), MODEL, _cube(_SIDE), "l2+mesh")
+    return out.select("root_id", "l2_id", (F.round("dist_npil_nm", 3) + 0).alias("dist_npil_nm"), r6(F.col("soma_score")).alias("soma_score"))
+
+
+def _by_chunks(t, method):
+    chunks = _far_chunks(t)
+    ids = t.table("orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_orderkey").alias("root_id"))
+    out = soma.soma_positions(ids, method, membership=chunks.select("root_id", "l2_id"), attributes=chunks.drop("root_id"), model=MODEL, mesh=None if method == "l2" else _cube(_SIDE))
+    return out.select("ordinal", "root_id", "position", "source", (r6(F.col("soma_score")) + 0).alias("soma_score"), (F.round("dist_npil_nm", 3) + 0).alias("dist_npil_nm"), "l2_id")
+
+
+def _best_sql(score: str, source: str, distance: str) -> str:
+    number = lambda c: f"{c}::BIGINT::VARCHAR"
+    place = f"{number('x')} || ',' || {number('y')} || ',' || {number('z')}"
+    return _SCORED + f""", best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY root_id ORDER BY {score} NULLS LAST, l2_id) = 1)
+    SELECT o_orderkey AS ordinal, o_orderkey AS root_id, CASE WHEN l2_id IS NOT NULL THEN {place} END AS position, CASE WHEN l2_id IS NOT NULL THEN '{source}' END AS source, round({score}, 6) + 0 AS soma_score, {distance} AS dist_npil_nm, l2_id FROM orders LEFT JOIN best ON root_id = o_orderkey"""
+
+
+@query(_best_sql("shape", "l2", "NULL::DOUBLE"))
+def soma_l2(t):
+    return _by_chunks(t, "l2")
+
+
+@query(_best_sql("penalty", "mesh", "round(d, 3) + 0"))
+def soma_mesh(t):
+    return _by_chunks(t, "mesh")
+
+
+@query(_best_sql("shape + penalty", "l2+mesh", "round(d, 3) + 0"))
+def soma_l2_mesh(t):
+    """The cascade where neither annotations nor nuclei know a root: the best chunk by shape and distance."""
+    return _by_chunks(t, "auto")
+
+
+_NODES = f"""c AS (SELECT c_custkey AS sv, (floor(c_acctbal / 500))::BIGINT + 4 AS cx, c_nationkey::BIGINT AS cy, ascii(c_mktsegment) AS a FROM customer WHERE c_acctbal >= -2000),
+    m2 AS (SELECT *, {_CODE.format(x="(cx // 2)", y="(cy // 2)")} AS code FROM c), n2 AS (SELECT cx, cy, arg_min(CASE WHEN sv % 7 = 0 THEN sv ELSE (2::BIGINT << 55) + (code << 25) + a % 32 + 1 END, sv) AS l2 FROM m2 GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {_NODES}, p AS (SELECT c_custkey AS root_id, floor(c_acctbal / 500) + 4 AS x, c_nationkey::DOUBLE AS y, 0.0::DOUBLE AS z, nullif(l2, 0) AS l2 FROM customer LEFT JOIN n2 ON cx = floor(c_acctbal / 500) + 4 AND cy = c_nationkey),
+    q AS (SELECT root_id, x::BIGINT::VARCHAR || ',' || y::BIGINT::VARCHAR || ',0' AS position, l2, x * 10000 AS x, y * 10000 AS y, 100000.0::DOUBLE AS z FROM p), g AS (SELECT [0.004, 0.008, 0.012, 0.006, 0.004, 0.005]::DOUBLE[] AS g),
+    f AS (SELECT *, l2 % 997 + 1 AS area, ln(2 + l2 % 997) AS log_area, ln(2 + l2 % 89) AS log_size, ln(2 + l2 % 41) AS log_max_dt, ln(2 + l2 % 31) AS log_mean_dt, (l2 % 7) / 10.0::DOUBLE AS roundness, (l2 % 300)::DOUBLE * 1000 AS ax FROM q),
+    h AS (SELECT * EXCLUDE (x, y, z), ax AS x, 50000.0::DOUBLE AS y, 50000.0::DOUBLE AS z FROM f), s AS (SELECT *, ({_CUBE_DISTANCE}) / 1000 AS um FROM h)
+    SELECT root_id, position, l2 AS l2_id, round({_SHAPE} + {_PENALTY}, 6) AS soma_score FROM s, g""")
+def soma_known(t):
+    """Annotated somata with the level-2 chunks that they lie in, and those chunks' scores."""
+    cells, parents = _hierarchy(t)
+    cells = stored(cells, "cells")
+    space = lookup.Space(cells, stored(hierarchy.layer_nodes(cells, parents, 2, F.lit(PIN).cast("timestamp")), "nodes"), chunk_cells=(2, 2, 2))
+    i = F.col("l2_id")
+    asked = space.nodes.where("layer = 2").select(F.col("node_id").alias("l2_id")).distinct()
+    attributes = asked.select("l2_id", (i % 300 * 1000.0).alias("rep_coord_nm_x"), F.lit(50000.0).alias("rep_coord_nm_y"), F.lit(50000.0).alias("rep_coord_nm_z"), (i % 997 + 1).alias("area_nm2"), (i % 89 + 1).alias("size_nm3"), (i % 41 + 1).alias("max_dt_nm"), (i % 31 + 1).alias("mean_dt_nm"), F.lit(1.0).alias("pca_val_0"), (i % 7 / 10.0).alias("pca_val_2"))
+    attributes = stored(attributes, "attributes")  # a table, as a service keeps it; as six expressions of one column its conditions would multiply in the planner
+    place = F.concat_ws(",", (F.floor(F.col("c_acctbal") / 500) + 4).cast("string"), F.col("c_nationkey").cast("string"), F.lit("0"))
+    annotated = t.table("customer").select(F.col("c_custkey").alias("_id"), F.col("c_custkey").alias("root_id"), place.alias("soma_xyz"))
+    ids = annotated.select(F.col("_id").alias("ordinal"), "root_id")
+    out = soma.soma_positions(ids, annotations=annotated, model=MODEL, attributes=attributes, mesh=_cube(_SIDE), space=space, voxel=(1.0, 1.0, 1.0))
+    return out.select("root_id", "position", "l2_id", r6(F.col("soma_score")).alias("soma_score"))
+
+
+@query("WITH a AS (SELECT DISTINCT o_custkey FROM orders WHERE o_orderkey % 3 = 0) SELECT count(*) FILTER (o_custkey IS NULL) AS missing, count(*) AS total FROM customer LEFT JOIN a ON o_custkey = c_custkey")
+def neurons_unplaced(t):
+    """How many neurons could not be hung from their somata."""
+    ids = t.table("customer").select(F.col("c_custkey").alias("ordinal"), F.col("c_custkey").alias("root_id"))
+    annotated = t.table("orders").where("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("_id"), F.col("o_custkey").alias("root_id"), F.lit("1,2,3").alias("soma_xyz"))
+    somata = soma.soma_positions(ids, annotations=annotated)
+    return skeleton.unplaced(skeleton.read_neurons(t.skeletons(), ids, somata.drop("ordinal"))[1])
+
+
 # edit log
 
 
@@ -421,9 +506,11 @@ def ops_seed_cache(t):
     return edits.seed_cache(log.where("operation_id % 2 = 0"), log.where("operation_id % 3 = 0"))
 
 
-@query("SELECT o_orderkey AS ordinal, (o_orderkey * 7 % 400)::INT AS operation_id, user_id AS user FROM orders JOIN events ON event_id = o_orderkey * 7 % 400 WHERE o_orderkey < 1000 AND event_id % 3 <> 0")
+@query("SELECT o_orderkey AS ordinal, (o_orderkey * 7 % m)::INT AS operation_id, user_id AS user FROM orders, (SELECT max(event_id) + 1 AS m FROM events) JOIN events ON event_id = o_orderkey * 7 % m WHERE event_id % 3 <> 0")
 def ops_requested_order(t):
-    wanted = t.table("orders").where("o_orderkey < 1000").select(F.col("o_orderkey").alias("ordinal"), (F.col("o_orderkey") * 7 % 400).cast("int").alias("operation_id"))
+    """Requests that come back to the same ids again and again, over the whole log."""
+    top = edits.last_operation(t.log())
+    wanted = t.table("orders").join(F.broadcast(top)).select(F.col("o_orderkey").alias("ordinal"), (F.col("o_orderkey") * 7 % (F.col("last_operation") + 1)).cast("int").alias("operation_id"))
     return edits.in_requested_order(wanted, t.log().where("operation_id % 3 <> 0").select("operation_id", "user"))
 
 
@@ -446,9 +533,9 @@ def ops_centroid(t):
     return edits.add_centroids(t.log()).select("operation_id", "sink_x", "sink_y", "sink_z", "source_y")
 
 
-@query("SELECT max(event_id)::INT AS last_operation FROM events WHERE event_id >= 100 AND event_id < 900")
+@query("SELECT max(event_id)::INT AS last_operation FROM events WHERE event_id >= 1")
 def ops_last(t):
-    return edits.last_operation(t.log(), 100, 900)
+    return edits.last_operation(t.log(), 1)
 
 
 @query("SELECT max(event_id)::INT AS last_operation FROM events")
@@ -461,14 +548,20 @@ def ops_exists(t):
     return edits.exists(t.log().where("operation_id % 2 = 0"), t.table("orders").select(F.col("o_orderkey").cast("int").alias("operation_id")))
 
 
-@query("SELECT event_id::INT AS operation_id, user_id AS user FROM events WHERE event_id BETWEEN 1 AND 500")
+@query("SELECT event_id::INT AS operation_id, user_id AS user, CASE WHEN event_id % 7 <> 0 THEN (event_id % 10 + event_id % 11) / 2.0::DOUBLE END AS sink_x FROM events WHERE event_id >= 1")
 def ops_all(t):
-    return edits.all_operations(t.spark, t.log(), 500).select("operation_id", "user")
+    return edits.all_operations(t.log(), centroids=True).select("operation_id", "user", "sink_x")
 
 
 @query("SELECT event_id::INT AS operation_id, user_id AS user FROM events WHERE event_id >= 1")
 def ops_all_whole(t):
-    return edits.all_operations(t.spark, t.log(), edits.last_operation(t.log()).first()[0] or 0).select("operation_id", "user")
+    return edits.all_operations(t.log()).select("operation_id", "user")
+
+
+@query("SELECT event_id::INT AS operation_id, place, (place - 1) // 50 + 1 AS batch FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS place FROM events)")
+def ops_batches(t):
+    """Edits in order of time, in batches of 50 as a service takes them."""
+    return edits.batches(t.log(), ["timestamp", "operation_id"], 50).select("operation_id", "place", "batch")
 
 
 @query("SELECT event_id::INT AS operation_id, n_name FROM events LEFT JOIN nation ON user_id = n_nationkey")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,9 +53,16 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
-def cached(spark: SparkSession, path: str, build, refresh: bool = False) -> DataFrame:
-    """The table at path, built and written first where it is not there (or refresh is asked for)."""
-    if refresh or not path_exists(spark, path):
+def age_seconds(spark: SparkSession, path: str) -> float:
+    """How long ago the path was last written to, by the clock of the store that holds it."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return time.time() - store.getFileStatus(target).getModificationTime() / 1000
+
+
+def cached(spark: SparkSession, path: str, build, refresh: bool = False, expires: float | None = None) -> DataFrame:
+    """The table at path, built and written first where it is not there, is older than `expires` seconds, or refresh is asked for."""
+    if refresh or not path_exists(spark, path) or expires is not None and age_seconds(spark, path) > expires:
         build().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -120,6 +128,35 @@ def segment_properties(df: DataFrame, id_col: str = "root_id", sep: str = "_") -
     return json.dumps({"@type": "neuroglancer_segment_properties", "inline": {"ids": ids, "properties": [{"id": "label", "type": "label", "values": values}]}})
 
 
+def write_properties(df: DataFrame, path: str, id_col: str = "root_id", sep: str = "_") -> bool:
+    """The document of segment_properties as a text file in the folder path, in any store, unless a table with the same rows was written there; whether it was written.
+
+    Ids and labels are put into text by the tasks that hold them, sorted by range, and one task writes the lines one by
+    one: the driver sees none of them. That it is one file is the format's.
+    """
+    digest, spark = f"{id_col} {sep} {table_digest(df)}", df.sparkSession
+    if path_exists(spark, f"{path}/digest") and spark.read.text(f"{path}/digest").first()[0] == digest:
+        return False
+    labels = F.concat_ws(sep, *[F.col(c).cast("string") for c in sorted(df.columns) if c != id_col])
+    quoted = lambda c: F.regexp_replace(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', "$1")
+    rows = df.select(F.col(id_col).cast("string").alias("id"), labels.alias("label")).where("id IS NOT NULL")
+    # Two lists in one document: ids first, then labels in the same order; a comma before all but the first of each.
+    lines = rows.select(F.explode(F.array(F.struct(F.lit(1).alias("part"), quoted(F.col("id")).alias("text")), F.struct(F.lit(3).alias("part"), quoted(F.col("label")).alias("text")))).alias("l"), "id", "label").select("l.part", "id", "label", "l.text")
+    frame = [(0, '{"@type": "neuroglancer_segment_properties", "inline": {"ids": ['), (2, '], "properties": [{"id": "label", "type": "label", "values": ['), (4, "]}]}}")]
+    lines = lines.union(spark.createDataFrame([(p, "", "", t) for p, t in frame], "part int, id string, label string, text string"))
+
+    def written(frames):
+        before = None
+        for pdf in frames:
+            again = [a == b for a, b in zip(pdf["part"], [before, *pdf["part"].tolist()[:-1]])]
+            yield pdf.assign(value=[("," if a and p in (1, 3) else "") + t for a, p, t in zip(again, pdf["part"], pdf["text"])])[["value"]]
+            before = pdf["part"].iloc[-1] if len(pdf) else before
+
+    lines.orderBy("part", "id", "label").coalesce(1).mapInPandas(written, "value string").write.mode("overwrite").text(f"{path}/info")
+    spark.createDataFrame([(digest,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/digest")
+    return True
+
+
 def write_if_changed(text: str, path: str) -> bool:
     """Writes the file unless it has this content already; whether it was written."""
     if os.path.exists(path):
