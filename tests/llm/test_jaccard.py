@@ -69,21 +69,45 @@ def test_bands_meet():
     assert (bands[::2] == bands[1::2]).any(axis=1).all()
 
 
-def test_set_edges_connect_chains():
-    sets = [np.arange(i, i + 40, dtype=np.uint64) for i in range(0, 120, 4)] + [np.arange(1000, 1040, dtype=np.uint64)]
+def test_star_edges_are_the_links_of_the_hub():
+    rng = np.random.default_rng(2)
+    sets = [np.unique(np.concatenate([np.arange(100), rng.integers(100, 160, int(rng.integers(1, 60)))])).astype(np.uint64) for _ in range(40)] + [np.array([7], np.uint64), np.arange(1000, 1040, dtype=np.uint64)]
     first = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    edges = jaccard.set_edges(np.concatenate(sets), first)
-    assert len(edges) == 29 and all(abs(a - b) == 1 for a, b in edges)
+    for hub in (0, 17, 40, 41):
+        mine = set(sets[hub].tolist())
+        want = [i for i, s in enumerate(sets) if i != hub and len(mine & set(s.tolist())) >= 0.8 * len(mine | set(s.tolist()))]
+        assert jaccard.star_edges(np.concatenate(sets), first, hub).tolist() == want
+
+
+def test_a_bucket_of_long_texts_is_split_by_its_bytes(spark, monkeypatch):
+    """Long texts that share a passage of 0.6 of their shingles, and two near copies among them: many blocks, the same result."""
+    rng = np.random.default_rng(9)
+    shared = [f"s{n}" for n in range(1200)]
+    rows = [(i, " ".join([*shared, *(f"w{i}x{n}" for n in range(300 + 10 * (i % 3)))])) for i in range(30)]
+    rows += [(100, rows[7][1] + " one more"), (101, rows[8][1] + " two more")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(map(repr, brute(rows)))
+    monkeypatch.setattr(jaccard, "ENTRIES", 5000)
+    assert sorted(map(repr, map(tuple, jaccard.similar_documents(docs).collect()))) == want
+
+
+def test_pairs_at_half_similarity_do_not_chain(spark):
+    """Each text shares half of its shingles with the next one: candidates in a row, and no link."""
+    words = [f"w{n}" for n in range(4000)]
+    rows = [(i, " ".join(words[30 * i : 30 * i + 94])) for i in range(120)]
+    got = jaccard.similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r.doc_id, r.component_id) for r in got) == [(i, i) for i in range(120)]
 
 
 def test_sets_of_sliced_texts():
     texts = pa.array(["", "a b", "A b", "a b c d e f g a b c d e", None, "x"]).fill_null("")
     hashes, first = jaccard.sets_of(texts)
     assert np.diff(first).tolist() == [1, 1, 1, 7, 1, 1]
-    node = jaccard.nodes_of(hashes, first)
+    node = jaccard.names_of(hashes, first)[0]
+    assert not np.array_equal(*jaccard.names_of(hashes, first))
     assert node[1] == node[2] and node[0] == node[4] and len(set(node.tolist())) == 4
     again, first = jaccard.sets_of(texts.slice(3))
-    assert jaccard.nodes_of(again, first).tolist() == node[3:].tolist()
+    assert jaccard.names_of(again, first)[0].tolist() == node[3:].tolist()
 
 
 def test_large_groups_are_verified_in_blocks(spark):
