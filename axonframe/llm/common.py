@@ -103,6 +103,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", most: int = SLICE_BYTES)
     pa.default_memory_pool().release_unused()
 
 
+def outside(spans: list, covers: list) -> list:
+    """The spans (start, end, ...) that lie within none of covers; both in order of start, each is passed over once."""
+    left, reach, at = [], -1, 0
+    for span in spans:
+        while at < len(covers) and covers[at][0] <= span[0]:
+            reach, at = max(reach, covers[at][1]), at + 1
+        if span[1] > reach:
+            left.append(span)
+    return left
+
+
 def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """Words [^\\x20\\x09-\\x0D]+ of all texts in one array, and each text's first place in it (one more at the end)."""
     lists = pc.ascii_split_whitespace(texts)

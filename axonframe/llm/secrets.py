@@ -3,7 +3,7 @@
 A candidate is a long string shortly behind a word such as "key" or "auth". Its novelty is what it adds to the compressed
 size of the text around it, under a dictionary of common identifiers: readable identifiers and repeated text add little,
 random keys nearly their full entropy. Candidates whose bytes are mostly new are reported beside the patterns' spans.
-A candidate has letters and digits: words of any language that is written together are no keys, however new they are.
+Candidates of letters or of digits alone must be newer than others, as words of a language that is written together are.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import slices, texts_of
+from axonframe.llm.common import outside, slices, texts_of
 
 KINDS = ("assign", "access", "hex", "novel")
 #: Fixed patterns and least lengths (of group 2 in the first, else of the match).
@@ -31,8 +31,8 @@ CONTEXT = re.compile("|".join(CONTEXTS), re.I | re.A)
 #: A text without any of these has no span: the fixed patterns' keywords are among the contexts. For a quick first look.
 MAYBE = f"(?i:{'|'.join(CONTEXTS)})|AKIA|[0-9a-f]{{16}}"
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-#: How far behind its context word a candidate may start, how much text around it primes the compressor, and the share of its bytes that must be new.
-REACH, AROUND, NOVEL_SHARE = 40, 400, 0.72
+#: How far behind its context word a candidate may start, how much text around it primes the compressor, and the share of its bytes that must be new: where it has letters and digits, and otherwise.
+REACH, AROUND, NOVEL_SHARE, PLAIN_SHARE = 40, 400, 0.72, 1.05
 
 IDENTIFIERS = (
     "authorization authentication bearer token access_token refresh_token client_id client_secret credentials private_key public_key signature secret_key api_key "
@@ -71,7 +71,7 @@ class Novelty:
                 whole = CANDIDATE.match(text, c.start())
                 last = whole.end()
                 mixed = any(x.isdigit() for x in whole[0]) and any(x.isalpha() for x in whole[0])
-                if mixed and self.share(text[max(0, c.start() - AROUND) : c.start()], whole[0], text[last : last + AROUND]) >= NOVEL_SHARE:
+                if self.share(text[max(0, c.start() - AROUND) : c.start()], whole[0], text[last : last + AROUND]) >= (NOVEL_SHARE if mixed else PLAIN_SHARE):
                     found.append((c.start(), last, 3))
         return found
 
@@ -84,8 +84,7 @@ def find_novel(text: str) -> list[tuple[int, int, int]]:
 def all_spans(text: str, novelty: Novelty) -> tuple[list, list]:
     """The fixed patterns' spans, and those with the novel ones, in order of start and kind. A candidate within a fixed span is not a second finding."""
     base = base_spans(text)
-    novel = [s for s in novelty.spans(text) if not any(b[0] <= s[0] and s[1] <= b[1] for b in base)]
-    return base, sorted(base + novel, key=lambda s: (s[0], s[2]))
+    return base, sorted(base + outside(novelty.spans(text), base), key=lambda s: (s[0], s[2]))
 
 
 def _said(spans: list) -> str:

@@ -20,14 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import slices, split_words, texts_of, written
+from axonframe.llm.common import outside, slices, split_words, texts_of, written
 from axonframe.llm.quality import held_out, in_order, sampled_labels
 
 #: Labelled rows to learn from at most (those with the least hashes of their ids).
 MAX_TRAIN_ROWS = 40_000
 FOLDS, HELD_OUT_FOLD, THRESHOLD = 4, 2, 0.3
 MIN_DOCS, MIN_Z = 3, 2.5
-#: Sizes of the model: the terms and exceptions of the greatest certainty.
+#: Sizes of the model: the terms and exceptions of the greatest certainty. None takes all that the sample gives.
 MAX_TERMS, MAX_EXCEPTIONS = 50_000, 5_000
 #: Lengths of word beginnings that can be terms; these are written with a star.
 STEMS = range(4, 9)
@@ -92,15 +92,16 @@ class Lexicon:
     exceptions: list[str]
 
 
-def learn_lexicon(rows: DataFrame) -> Lexicon:
-    """From rows (y, text) of the sample: terms whose log ratio is 1 or more and MIN_Z standard errors above zero, at most MAX_TERMS; phrases of a term and a neighbour that are MIN_Z below zero, at most MAX_EXCEPTIONS."""
+def learn_lexicon(rows: DataFrame, most_terms: int | None = MAX_TERMS, most_exceptions: int | None = MAX_EXCEPTIONS) -> Lexicon:
+    """From rows (y, text) of the sample: terms whose log ratio is 1 or more and MIN_Z standard errors above zero, at most most_terms; phrases of a term and a neighbour that are MIN_Z below zero, at most most_exceptions. None is no limit: the sample's size bounds both."""
+    first = lambda found, order, most: (found.orderBy(order, "term").limit(most) if most is not None else found).collect()
     totals = rows.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
     toxic, clean = totals[0] or 0.0, totals[1] or 0.0
     counted = lambda found: found.groupBy("term").agg(F.sum("y").alias("t"), F.sum(1 - F.col("y")).alias("c"))
     terms = _shares(counted(rows.mapInArrow(_term_rows, TERMS)).where(F.col("t") >= MIN_DOCS), toxic, clean).where((F.col("z") >= MIN_Z) & (F.col("w") >= 1.0))
-    weights = {r.term: r.w for r in terms.orderBy(F.desc("z"), "term").limit(MAX_TERMS).collect()}
+    weights = {r.term: r.w for r in first(terms, F.desc("z"), most_terms)}
     phrases = _shares(counted(rows.mapInArrow(_phrase_rows(weights), TERMS)).where(F.col("c") >= MIN_DOCS), toxic, clean).where(F.col("z") <= -MIN_Z)
-    return Lexicon(weights, [r.term for r in phrases.orderBy("z", "term").limit(MAX_EXCEPTIONS).collect()])
+    return Lexicon(weights, [r.term for r in first(phrases, F.asc("z"), most_exceptions)])
 
 
 def automaton(weights: dict[str, float], exceptions=()):
@@ -165,12 +166,10 @@ def measures(texts: pa.Array, machine) -> np.ndarray:
     out = np.zeros((len(texts), 4))
     for i in np.flatnonzero(hits[first[1:]] > hits[first[:-1]]).tolist():
         text = f" {' '.join(w for w in map(folded.__getitem__, code[first[i] : first[i + 1]].tolist()) if w)} "
-        spans = [(end - size + 1, end, term, weight) for end, (term, weight, size) in machine.iter(text)]
-        safe = [(a, b) for a, b, term, _ in spans if term is None]
+        spans = sorted(((end - size + 1, end, term, weight) for end, (term, weight, size) in machine.iter(text)), key=lambda s: s[0])
         counted: dict[int, tuple[float, str]] = {}
-        for a, b, term, weight in spans:
-            if term and not any(x <= a and b <= y for x, y in safe):
-                counted[a] = max(counted.get(a, (0.0, "")), (weight, term))
+        for a, _, term, weight in outside([s for s in spans if s[2]], [s for s in spans if not s[2]]):
+            counted[a] = max(counted.get(a, (0.0, "")), (weight, term))
         total, n = sum(w for w, _ in counted.values()), first[i + 1] - first[i]
         out[i] = np.log1p(total), total / np.sqrt(n + 10), 100 * total / (n + 10), np.log1p(len({t for _, t in counted.values()}))
     return out
@@ -199,7 +198,7 @@ def _measure_rows(lexicon: Lexicon):
     return measure
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text") -> tuple[Lexicon, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, id_col: str = "doc_id", text_col: str = "text", most_terms: int | None = MAX_TERMS, most_exceptions: int | None = MAX_EXCEPTIONS) -> tuple[Lexicon, np.ndarray]:
     """The lexicon and the weights of the measures. The weights are learned on documents that a lexicon of the other half has not seen. Ids that come many times bring more rows than labels: of these as many are taken, by their texts' hashes, as `most` allows."""
     sample = F.broadcast(sampled_labels(labels, "toxic", FOLDS, HELD_OUT_FOLD, most))
     rows = texts_of(docs, id_col, text_col).join(sample, F.col("doc_id") == F.col("label_id")).dropDuplicates(["text", "y"])
@@ -208,11 +207,11 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MAX_TRAIN_ROWS, id_col:
         rows = rows.where(F.pmod(F.xxhash64(F.lit(1), "text"), F.lit(1 << 20)) < (most << 20) // n)
     x, y = [np.empty((0, 4))], [np.empty(0)]
     for half in (True, False):
-        lexicon = learn_lexicon(rows.where(F.col("half") == half).select("y", "text"))
+        lexicon = learn_lexicon(rows.where(F.col("half") == half).select("y", "text"), most_terms, most_exceptions)
         seen = rows.where(F.col("half") != half).select("y", "text").mapInArrow(_measure_rows(lexicon), "y double, x array<double>").toPandas()
         for held, part in zip((x, y), in_order(seen, 4)):
             held.append(part)
-    return learn_lexicon(rows.select("y", "text")), fit_logistic(np.concatenate(x), np.concatenate(y))
+    return learn_lexicon(rows.select("y", "text"), most_terms, most_exceptions), fit_logistic(np.concatenate(x), np.concatenate(y))
 
 
 def _scorer(lexicon: Lexicon, weights: np.ndarray):
@@ -227,12 +226,12 @@ def _scorer(lexicon: Lexicon, weights: np.ndarray):
     return score
 
 
-def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN_ROWS) -> DataFrame:
+def score_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN_ROWS, most_terms: int | None = MAX_TERMS, most_exceptions: int | None = MAX_EXCEPTIONS) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1, higher: label 1 likelier), predicted (1 if score >= 0.3).
 
     Only the text is scored, the whole of it; null is the empty text, which has no match. A null id is not held out.
     Without labels there is no lexicon and each score is one half. An empty table gives no rows.
     """
-    lexicon, weights = fit(docs, labels, most, id_col, text_col)
+    lexicon, weights = fit(docs, labels, most, id_col, text_col, most_terms, most_exceptions)
     rows = texts_of(docs, id_col, text_col).mapInArrow(_scorer(lexicon, weights), "doc_id long, score double")
     return rows.select("doc_id", held_out(F.col("doc_id"), FOLDS, HELD_OUT_FOLD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -1,5 +1,7 @@
 import re
+import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -96,6 +98,51 @@ def test_exceptions_are_learned_from_clean_rows(spark):
     assert "clown" in lexicon.weights and "clown fish" in lexicon.exceptions and "you clown" not in lexicon.exceptions
 
 
+def brute_lexicon(rows):
+    """Terms and exception phrases with their log ratios and certainties, from plain counts."""
+    fold = lambda text: [f or None for f in toxicity.fold(pa.array(text.split(), pa.string())).to_pylist()]
+    split = [(y, fold(t)) for y, t in rows]
+    toxic, clean = sum(y for y, _ in rows), sum(1 - y for y, _ in rows)
+
+    def weighed(documents):
+        t, c = Counter(), Counter()
+        for y, found in documents:
+            (t if y else c).update(found)
+        for term in t.keys() | c.keys():
+            w = np.log((t[term] + 0.5) / (toxic + 1)) - np.log((c[term] + 0.5) / (clean + 1))
+            yield term, t[term], c[term], w, w / np.sqrt(1 / (t[term] + 0.5) + 1 / (c[term] + 0.5))
+
+    terms = weighed([(y, {x for w in words if w for x in (w, *(w[:k] + "*" for k in range(4, 9) if k < len(w)))}) for y, words in split])
+    weights = {term: w for term, t, _, w, z in terms if t >= toxicity.MIN_DOCS and z >= toxicity.MIN_Z and w >= 1}
+    holds = lambda w: any(w.startswith(t[:-1]) if t.endswith("*") else w == t for t in weights)
+    pairs = [(y, {f"{a} {b}" for a, b in zip(words, words[1:]) if a and b and (holds(a) or holds(b))}) for y, words in split]
+    return weights, {p for p, _, c, _, z in weighed(pairs) if c >= toxicity.MIN_DOCS and z <= -toxicity.MIN_Z}
+
+
+def test_lexicon_against_brute_force(spark):
+    rng = np.random.default_rng(11)
+    words = [f"word{n}" for n in range(30)] + ["M0RON!", "moronic", "moro", "clown", "clowns", "fish", "--"]
+    likely = lambda y: np.array([1.0] * 30 + [4.0 * y + 0.1] * 3 + [9.0 * y + 0.1] * 2 + [0.2, 1.0])
+    rows = []
+    for i in range(500):
+        y, share = float(i % 3 == 0), likely(i % 3 == 0)
+        text = " ".join(rng.choice(words, rng.integers(0, 30), p=share / share.sum()))
+        rows.append((y, text + (" clown fish" if not y and i % 7 < 2 else "")))
+    table = spark.createDataFrame(rows, "y double, text string")
+    got, (weights, exceptions) = toxicity.learn_lexicon(table, None, None), brute_lexicon(rows)
+    assert weights and exceptions and got.weights.keys() == weights.keys() and set(got.exceptions) == exceptions
+    assert np.allclose([got.weights[t] for t in weights], list(weights.values()))
+    few = toxicity.learn_lexicon(table, 2, 0)
+    assert len(few.weights) == 2 and few.weights.items() <= got.weights.items() and few.exceptions == []
+
+
+def test_a_long_text_of_terms_and_exceptions_takes_linear_time():
+    machine = toxicity.automaton({"clown": 3.0}, ["clown fish"])
+    began = time.perf_counter()
+    (m,) = toxicity.measures(pa.array(["clown fish a clown " * 200_000]), machine)
+    assert time.perf_counter() - began < 20 and np.isclose(m[0], np.log1p(3.0 * 200_000))
+
+
 def test_repeated_ids_do_not_swell_the_sample(spark):
     docs = spark.createDataFrame([(1, f"text {i} good") for i in range(300)] + [(2, f"other {i} bad") for i in range(300)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1)], LABELS)

@@ -2,13 +2,16 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import zstandard
 from pyspark.sql import functions as F
 
 from axonframe.llm import secrets
+from axonframe.llm.common import outside
 from tests.llm.cases import DOCS, awkward, empty
 
 KEY = "Zq8vT3LmXw92KpRrYd7NcBf1Hs5Jg0"
@@ -49,10 +52,11 @@ def brute_novel(text):
     compress = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(secrets.IDENTIFIERS.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_content_size=False, write_checksum=False).compress
     for c in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text):
         near = [m for m in re.finditer(words, text, re.I | re.A) if m.end() <= c.start() <= m.end() + secrets.REACH]
-        if not near or not re.search("[0-9]", c[0]) or not re.search("[A-Za-z]", c[0]):
+        if not near:
             continue
+        least = secrets.NOVEL_SHARE if re.search("[0-9]", c[0]) and re.search("[A-Za-z]", c[0]) else secrets.PLAIN_SHARE
         around = (text[max(0, c.start() - secrets.AROUND) : c.start()] + " " + text[c.end() : c.end() + secrets.AROUND]).encode()
-        if len(compress(around + c[0].encode())) - len(compress(around)) >= secrets.NOVEL_SHARE * len(c[0]):
+        if len(compress(around + c[0].encode())) - len(compress(around)) >= least * len(c[0]):
             found.append((c.start(), c.end(), 3))
     return found
 
@@ -78,6 +82,42 @@ def test_novel_spans_against_brute_force():
     assert hits >= 0.9 * len(rows) / 2 and wrong <= 0.02 * len(rows) / 2, (hits, wrong)
 
 
+def test_keys_of_one_kind_of_character():
+    """Keys of letters, capitals or digits alone in prose, beside words of that prose written together."""
+    rng = random.Random(8)
+    texts = [t for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist() if t and len(t) > 2000]
+    words = [w for t in texts[:200] for w in t.split() if w.isalpha() and w.isascii()]
+    share = {}
+    for name, letters in (("letters", string.ascii_letters), ("capitals", string.ascii_uppercase), ("digits", string.digits), ("compound", "")):
+        rows = []
+        for _ in range(150):
+            at, n = rng.randrange(len(words) - 90), rng.randrange(20, 41)
+            one = "".join(rng.choice(letters) for _ in range(n)) if letters else "".join(rng.sample(words, 20))[:n]
+            rows.append(f"{' '.join(words[at : at + 50])} signature: {one} {' '.join(words[at + 50 : at + 90])}")
+        got = [secrets.find_novel(t) for t in rows]
+        assert got == [brute_novel(t) for t in rows]
+        share[name] = sum(map(bool, got)) / len(rows)
+    assert share["letters"] > 0.75 and share["capitals"] > 0.9 and share["digits"] > 0.5 and share["compound"] < 0.03, share
+
+
+def test_a_long_text_of_keys_takes_linear_time():
+    """100,000 lines with a novel key and two fixed ones each in 30 seconds."""
+    rng = random.Random(2)
+    letters = string.ascii_letters + string.digits
+    text = "".join(f'auth line {i}: signature = "{"".join(rng.choices(letters, k=30))}" token={"k" * 14} deadbeefdeadbeef{i:08x}\n' for i in range(100_000))
+    began = time.perf_counter()
+    base, every = secrets.all_spans(text, secrets.Novelty())
+    assert time.perf_counter() - began < 30
+    assert len(base) == 200_000 and len(every) > 290_000
+
+
+def test_outside_against_all_pairs():
+    rng = random.Random(4)
+    for _ in range(300):
+        spans, covers = (sorted((a, a + rng.randrange(1, 9)) for a in (rng.randrange(40) for _ in range(rng.randrange(12)))) for _ in range(2))
+        assert outside(spans, covers) == [s for s in spans if not any(a <= s[0] and s[1] <= b for a, b in covers)]
+
+
 def test_novelty_and_redaction(spark):
     key = KEY
     texts = [f"the auth header {key} was sent", "auth_configuration_production_environment_default_2", "authorization service_request_response_header_01", f"nothing near {key}", None, ""]
