@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from axonframe.llm.common import slices, split_words, texts_of
+from axonframe.llm.common import slices, split_words, texts_of, with_groups, written
 
 WINDOW, PREFIX, FREQUENT = 35, 8, 4096
 #: Bytes of stretches that a task remembers to merge later ones with; beyond it, it starts anew.
@@ -350,11 +350,13 @@ def _trees(window: int):
 
 
 def repeated_runs(docs: DataFrame, frames: DataFrame, window: int = WINDOW, prefix: int = PREFIX, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, mark, run) of the windows of docs (doc_id, mark, text; frames has the texts squeezed) that start elsewhere too; run as in pack_runs. Rows that repeat bring their prefixes once."""
+    """(doc_id, mark, run) of the windows of docs (doc_id, mark, text; frames has the texts squeezed) that start elsewhere too; run as in pack_runs. Rows that repeat bring their prefixes once; counts of very frequent prefixes go to their rows, which are dealt over all partitions."""
     counted = docs.select("doc_id", "text").mapInArrow(_count(window, prefix), "h long, n long")
-    counts = counted.groupBy(F.col("h").alias("prefix")).agg(F.sum("n").alias("n")).where("n > 1")
+    counts = written(counted.groupBy(F.col("h").alias("prefix")).agg(F.sum("n").alias("n")).where("n > 1"), "prefixes")
+    total = counts.agg(F.sum("n")).first()[0] or 0
     keyed = docs.select(F.xxhash64("doc_id", "mark").alias("key"), "text")
-    found = keyed.mapInArrow(_occurrences(window, prefix), "h long, key long").join(counts, F.col("h") == F.col("prefix"))
+    occurring = keyed.mapInArrow(_occurrences(window, prefix), "h long, key long")
+    found = with_groups(occurring, counts, {"h": "prefix"}, "n", total, "key").where(F.col("prefix").isNotNull())
     often = F.col("n") > frequent
     lists = found.groupBy(F.col("key").alias("of")).agg(F.collect_set(F.when(~often, F.col("prefix"))).alias("prefixes"), F.collect_set(F.when(often, F.col("prefix"))).alias("frequent"))
     held = frames.withColumn("key", F.xxhash64("doc_id", "mark")).join(lists, F.col("key") == F.col("of")).select("doc_id", "mark", "frame", "prefixes", "frequent")

@@ -6,8 +6,10 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from axonframe.llm import substring
+from axonframe.llm.common import with_groups
 from tests.llm.cases import DOCS, awkward, empty
 
 
@@ -65,6 +67,24 @@ def test_many_repeated_rows(spark, frequent):
     check(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), frequent=frequent)
 
 
+def test_a_passage_of_every_document_has_no_hot_task(spark):
+    """The counts of a prefix that 4,000 documents share are broadcast, and its rows stay spread over the partitions."""
+    passage = " ".join(f"p{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} {passage} " + " ".join(f"c{i % 50}x{k}" for k in range(36))) for i in range(4000)], "doc_id long, text string").repartition(7)
+    check(docs, frequent=100)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = spark.range(8000).select(F.when(F.col("id") % 5 > 0, 1).otherwise(F.col("id")).alias("h"), F.col("id").alias("key"))
+    counts = rows.groupBy(F.col("h").alias("prefix")).agg(F.count("*").alias("n"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = with_groups(rows, counts, {"h": "prefix"}, "n", 8000, "key")
+        sizes = [r[1] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert len(sizes) == n and max(sizes) <= 2 * sum(sizes) / n and joined.where("prefix IS NULL").count() == 0
+
+
 def test_long_runs_are_packed_in_pieces(monkeypatch):
     monkeypatch.setattr(substring, "RUN_WINDOWS", 10)
     row, runs = substring.pack_runs(np.array([5, 100]), np.array([25, 3]))

@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from axonframe.llm import packing, token_orc
@@ -83,8 +84,34 @@ def test_packing(spark, tokenizer, source):
             assert offset == at
             at += length
         assert at <= 2048
-    total = sum(r.length for r in got)
-    assert len(places) <= -(-total // 2048) * 1.02 + 2
+    assert {(r.n_sequences, r.least_sequences) for r in got} == {(len(places), packing.lower_bound(np.array([r.length for r in got]), 2048))}
+    assert len(places) <= packing.lower_bound(np.array([r.length for r in got]), 2048) + 2
+
+
+@pytest.mark.parametrize("group_pieces", [packing.GROUP_PIECES, 300])
+def test_packing_meets_its_bound(spark, group_pieces):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = packing.pack_documents(docs, group_pieces=group_pieces)
+    r = got.agg(F.countDistinct("sequence_id").alias("n"), F.max("n_sequences").alias("said"), F.max("least_sequences").alias("least"), F.max(F.col("offset") + F.col("length")).alias("fill"), F.count(F.lit(1)).alias("rows")).first()
+    assert r.n == r.said <= r.least + 1 and r.fill <= 2048
+    assert got.select("doc_id", "piece").distinct().count() == r.rows
+
+
+def test_exchange_rounds_against_one_round(spark):
+    """Groups of a few pieces each waste a sequence apiece; the rounds mend that, and their sequences stay whole."""
+    rng = np.random.default_rng(6)
+    docs = spark.createDataFrame([(i if i % 9 else None, "w " * int(n)) for i, n in enumerate(rng.integers(0, 160, 600))], "doc_id long, text string")
+    once, often = (packing.pack_documents(docs, capacity=200, group_pieces=20, rounds=n).collect() for n in (1, None))
+    counts = [len({r.sequence_id for r in rows}) for rows in (once, often)]
+    assert counts[1] < counts[0] and often[0].least_sequences <= counts[1] == often[0].n_sequences
+    for rows in (once, often):
+        assert len(rows) == 600
+        ends = defaultdict(list)
+        for r in rows:
+            ends[r.sequence_id].append((r.offset, r.offset + r.length))
+        for parts in ends.values():
+            parts.sort()
+            assert parts[0][0] == 0 and parts[-1][1] <= 200 and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
 
 
 def test_packing_empty(spark):
