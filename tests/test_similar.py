@@ -181,3 +181,29 @@ def test_a_killed_run_leaves_the_old_table_and_the_second_of_two_writers_fails(s
     with pytest.raises(Exception, match="exist"):
         table._enter(1, {})
     assert table.read().where("_id = 1").first()["v"] == "b" and table.read().count() == 2
+
+
+def test_a_profile_goes_once_to_each_block(spark, monkeypatch):
+    """Dense profiles share most of their columns: they are shipped per pair of blocks, not per shared column of it, and without a bound no pair is shuffled."""
+    shipped = []
+    frame = type(spark.range(0))
+    with_partitions = frame.repartition
+
+    def counted(self, n, *cols):
+        if "asks" in self.columns:
+            shipped.append(self.count())
+        return with_partitions(self, n, *cols)
+
+    monkeypatch.setattr(frame, "repartition", counted)
+    rng = random.Random(4)
+    rows = [(q, p, float(rng.randrange(1, 6))) for q in range(60) for p in rng.sample(range(40), 35)]
+    df = spark.createDataFrame(rows, "query long, partner long, w double")
+    got = {(r["a"], r["b"]): r["cosine"] for r in partners.similar_profiles(df, 0.8, 20).collect()}
+    want = brute_pairs(rows, 0.8 - 1e-12)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in got) and 10 < len(got) < 1700
+    assert shipped == [60 * 3]
+    every = partners.cosine_similarity(df.withColumnRenamed("w", "weight"), block_rows=20)
+    found = {(r["a"], r["b"]): r["cosine"] for r in every.collect()}
+    want = brute_pairs(rows, -1)
+    assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in found)
+    assert shipped == [60 * 3] * 2
