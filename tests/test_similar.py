@@ -207,3 +207,23 @@ def test_a_profile_goes_once_to_each_block(spark, monkeypatch):
     want = brute_pairs(rows, -1)
     assert found.keys() == want.keys() and all(found[k] == pytest.approx(want[k]) for k in found)
     assert shipped == [60 * 3] * 2
+
+
+def test_all_pairs_that_share_a_partner_and_no_others(spark):
+    """Rare and common partners, text ids, opposite weights whose product is zero, blocks of a few rows."""
+    rng = random.Random(8)
+    rows = [(f"n{q:03d}", p, float(w)) for q in range(120) for p, w in {rng.randrange(150): rng.randrange(1, 5), rng.randrange(150): 2, 900 + q % 5: 1 if q % 2 else -1}.items()]
+    rows += [("zero", 3, 1.0), ("zero", 4, 1.0), ("oppose", 3, 1.0), ("oppose", 4, -1.0), (None, 3, 1.0), ("none", None, 1.0)]
+    df = spark.createDataFrame(rows, "query string, partner long, weight double").repartition(3)
+    vectors = defaultdict(dict)
+    for q, p, w in rows:
+        if q is not None and p is not None:
+            vectors[q][p] = w
+    length = {q: sum(w * w for w in v.values()) ** 0.5 for q, v in vectors.items()}
+    want = {(a, b): sum(w * vectors[b].get(p, 0) for p, w in vectors[a].items()) / length[a] / length[b] for a in vectors for b in vectors if a < b and vectors[a].keys() & vectors[b].keys()}
+    for block in (7, 4096):
+        got = partners.cosine_similarity(df, block_rows=block).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == set(want)
+        assert all(r["cosine"] == pytest.approx(want[r["a"], r["b"]]) for r in got)
+    assert want["oppose", "zero"] == 0
+    assert partners.cosine_similarity(df.limit(0)).count() == 0
