@@ -1,4 +1,8 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands name candidates, whole shingle sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles: SimHash fingerprints and MinHash bands name candidates, whole shingle sets decide.
+
+A set's fingerprint has the bits that are set in over half of its hashes. Fingerprints at 4 or fewer differing bits meet
+by the Golay-code keys of simhash.fingerprint_links, and what these connect is a bucket. Most pairs near LEAST differ in
+more bits than such keys can bridge; for them there are bands as well.
 
 A band is the least values of ROWS hash functions over a text's set; two sets of similarity s agree in a band with
 probability s ** ROWS, and those that do share the band's bucket. Only pairs of similarity LEAST or more, counted on the
@@ -22,6 +26,7 @@ from pyspark.sql import functions as F
 
 from axonframe.llm.common import removed, slices, split_words, texts_of, with_groups, written
 from axonframe.llm.components import components, named
+from axonframe.llm.simhash import fingerprint_links, majorities
 
 SHINGLE, LEAST, SEED = 5, 0.8, 42
 BANDS, ROWS = 50, 6
@@ -89,7 +94,7 @@ def _sketch(batches):
             hashes, first = sets_of(part.column(3))
             bands = bands_of(hashes, first)
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, names_of(hashes, first)), pa.array(np.diff(first)), listed], ["row", "doc_id", "t", "n1", "n2", "len", "bands"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *map(pa.array, names_of(hashes, first)), pa.array(np.diff(first)), pa.array(majorities(hashes, first).view(np.int64)), listed], ["row", "doc_id", "t", "n1", "n2", "len", "fp", "bands"])
 
 
 def _sets(batches):
@@ -201,20 +206,34 @@ def open_links(rows: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFram
     return rows.groupBy("key", "i", "j").applyInArrow(_cross, "a long, b long")
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
+def near_fingerprints(fps: DataFrame) -> DataFrame:
+    """(near, kin) for each fingerprint of the column fp that its Golay-code keys connect with another, at 4 or fewer bits each time, or that several rows have: kin is the same for all that are connected."""
+    alike = fps.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    alike = written(alike, "fingerprints")
+    kin = components(fingerprint_links(alike)).select(F.col("node").alias("near"), F.col("component").alias("kin"))
+    found = alike.join(kin, F.col("fp") == F.col("near"), "left").where("near IS NOT NULL OR n > 1")
+    return found.select(F.col("fp").alias("near"), F.coalesce("kin", "fp").alias("kin"), "n")
+
+
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, bands: int = BANDS) -> DataFrame:
     """One row per row of docs: doc_id, component_id (least doc_id reachable over links of similarity LEAST or more of the sets of five-word shingles).
 
     Words are [^\\x20\\x09-\\x0D]+ after A-Z became a-z; texts of fewer words are one shingle; null texts and texts
     without words are equal. Null ids take part and never name a component that has another id. Texts of one set are
     one node: copies cost nothing beyond their own rows. A set is known by 128 bits, a shingle by 64. An empty table
-    gives no rows; other columns are ignored, whatever their names.
+    gives no rows; other columns are ignored, whatever their names. bands: so many of the BANDS name candidates beside the
+    fingerprints.
     """
     texts = texts_of(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("t"), "text")
-    sketched = written(texts.mapInArrow(_sketch, "row long, doc_id long, t long, n1 long, n2 long, len long, bands array<long>"), "sketches")
+    sketched = written(texts.mapInArrow(_sketch, "row long, doc_id long, t long, n1 long, n2 long, len long, fp long, bands array<long>"), "sketches")
     nodes = sketched.groupBy(F.col("n1").alias("s1"), F.col("n2").alias("s2")).agg(F.min("row").alias("node"), F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
     nodes = written(nodes, "nodes")
-    banded = sketched.join(nodes.select("node"), F.col("row") == F.col("node")).select("node", "len", "t", F.explode("bands").alias("key"))
+    firsts = written(sketched.join(nodes.select("node"), F.col("row") == F.col("node")).select("node", "len", "t", "fp", F.slice("bands", 1, bands).alias("bands")), "firsts")
+    # A bucket of near fingerprints is named apart from those of bands, by another hash of 64 bits.
+    kin = with_groups(firsts.select("node", "len", "t", "fp"), near_fingerprints(firsts.select("fp")), {"fp": "near"}, "n", firsts.count(), "node").where("kin IS NOT NULL")
+    banded = firsts.select("node", "len", "t", F.explode("bands").alias("key")).union(kin.select("node", "len", "t", F.xxhash64(F.lit("fingerprints"), "kin")))
     banded = written(banded, "bands")
+    removed(firsts)
     met = banded.groupBy(F.col("key").alias("met")).agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub <> last")
     met = written(met.select("met", "hub"), "met")
     members = written(banded.join(met, F.col("key") == F.col("met")).select("key", "node", "len", "t", "hub"), "members")

@@ -22,7 +22,6 @@ from pyspark.sql import functions as F
 
 from axonframe.llm.common import fresh, slices, split_words, texts_of, written
 from axonframe.llm.components import components, named
-from axonframe.llm.jaccard import similar_documents
 
 SHINGLE, SEED, MOST_BITS = 4, 42, 4
 #: Low bit and width of each segment.
@@ -37,6 +36,15 @@ VERIFY_ROWS = 1 << 20
 SMALL_BUCKET = 16
 
 
+def majorities(hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """For each run of hashes, which begin at first (one more at the end) and are none of them empty, the bits set in over half of it."""
+    if len(first) < 2:
+        return np.zeros(0, np.uint64)
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    ones = np.add.reduceat(bits, first[:-1], axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > np.diff(first)[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
 def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     words, first = split_words(pc.ascii_lower(texts))
     spaced = pc.binary_join_element_wise(words, "", " ") if len(words) else words
@@ -52,12 +60,9 @@ def fingerprints_of(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
     start, stop = offsets[i], offsets[np.minimum(i + shingle, first[doc + 1])] - 1
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(data[a:b], SEED) for a, b in zip(start.tolist(), stop.tolist())), np.uint64, len(doc))
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     out = np.zeros(len(n), np.uint64)
     some = np.flatnonzero(count)
-    if len(some):
-        ones = np.add.reduceat(bits, np.concatenate([[0], np.cumsum(count[some])[:-1]]), axis=0, dtype=np.int32)
-        out[some] = np.packbits(2 * ones > count[some, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    out[some] = majorities(hashes, np.concatenate([[0], np.cumsum(count[some])]))
     return out.view(np.int64)
 
 
@@ -197,7 +202,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their component of similar_documents (five-word shingles, similarity 0.8 or more), all columns, whatever their names; null ids that name none stay, a null text is empty. Ids name documents here: rows that share an id go together. An empty table stays empty."""
+    """The rows of docs whose id names their component of similar_documents (five-word shingles, near fingerprints or a band in common, similarity 0.8 or more), all columns, whatever their names; null ids that name none stay, a null text is empty. Ids name documents here: rows that share an id go together. An empty table stays empty."""
+    from axonframe.llm.jaccard import similar_documents  # which takes its candidates from fingerprint_links
+
     name = fresh(docs, "drop")
     drop = similar_documents(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name)).distinct()
     return docs.join(drop, docs[id_col].cast("long") == F.col(name), "left_anti")

@@ -134,3 +134,34 @@ def test_cross_edges_join_roots_once():
     first = np.arange(0, 161, 40)
     root = np.array([0, 1, 1, 3])
     assert jaccard.cross_edges(np.concatenate(sets).astype(np.uint64), first, root, np.array([True, False, False, True])) == [(0, 1)]
+
+
+def test_fingerprint_keys_name_candidates(spark, monkeypatch):
+    """Without any band, the pairs that Golay-code keys connect and that are similar are linked, and no others; the pipeline's stage asks for these keys."""
+    import corpus_pipeline
+
+    rng = np.random.default_rng(21)
+    rows = []
+    for k in range(40):
+        words = [f"w{n}" for n in rng.integers(0, 5000, 900)]
+        rows.append((3 * k, " ".join(words)))
+        for copy in (1, 2):
+            for at in rng.choice(900, int(rng.integers(1, 25)), replace=False):
+                words[at] = f"x{k}y{copy}z{at}"
+            rows.append((3 * k + copy, " ".join(words)))
+    sets = [shingles(t) for _, t in rows]
+    fps = jaccard.majorities(*jaccard.sets_of(pa.array([t for _, t in rows])))
+    kin, own = list(range(len(rows))), list(range(len(rows)))
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i)]
+    for names, linked in ((kin, lambda i, j: (int(fps[i]) ^ int(fps[j])).bit_count() <= 4), (own, lambda i, j: kin[i] == kin[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))):
+        for i, j in pairs:
+            if linked(i, j):
+                low, high = sorted((names[i], names[j]))
+                names[:] = [low if x == high else x for x in names]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_documents(docs, bands=0).collect()}
+    assert got == dict(enumerate(own)) and 40 < len(set(own)) < 110
+    asked, links = [], jaccard.fingerprint_links
+    monkeypatch.setattr(jaccard, "fingerprint_links", lambda fps: asked.append(fps.count()) or links(fps))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert asked == [len(set(fps.tolist()))] and kept == {d for d, c in brute(rows) if d == c}
