@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from axonframe.functions.columns import require_columns
 from axonframe.functions.shared import dropped, stored
 
-#: Nodes of a piece that one task contracts at once.
-PIECE = 1 << 18
+#: Nodes of a piece that one task contracts at once: what a task of Python holds, whatever the partitions are.
+PIECE = 1 << 16
 #: Decimals of nm to which path lengths are compared, so that their order does not hang on the order of sums.
 DECIMALS = 6
 
@@ -78,7 +78,7 @@ def _contract(batches):
         leaves = ended & ~final[to]
         top = np.where(ended, np.where(leaves, up[to], node[to]), up)
         far = np.where(ended, far + np.where(leaves, length[to], 0.0), length)
-        piece = np.full(len(node), uuid.uuid4().hex[:16])
+        piece = np.full(len(node), uuid.uuid4().int >> 65)
         yield pa.RecordBatch.from_arrays([table["root_id"].combine_chunks(), table["node_id"].combine_chunks(), pa.array(top.astype(np.int64)), pa.array(far), pa.array(leaves | ~ended), table["up"].combine_chunks(), pa.array(piece)], ["root_id", "node_id", "top", "far", "open", "up", "piece"])
 
 
@@ -90,7 +90,7 @@ def contracted(tree: DataFrame, stop: Column) -> DataFrame:
     """tree(root_id, node_id, up, length) with top and far: as far up as its piece and the stops allow; open where that is no stop."""
     rows = tree.select("root_id", "node_id", F.col("up").cast("long").alias("up"), "length", F.coalesce(stop, F.lit(False)).alias("stop"))
     rows = rows.withColumns({c: F.col(c).cast("long") for c in ("root_id", "node_id")})
-    return stored(_ranged(rows).mapInArrow(_contract, "root_id long, node_id long, top long, far double, open boolean, up long, piece string"), "contracted")
+    return stored(_ranged(rows).mapInArrow(_contract, "root_id long, node_id long, top long, far double, open boolean, up long, piece long"), "contracted")
 
 
 def _asked(rows: DataFrame) -> DataFrame:

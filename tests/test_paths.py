@@ -110,3 +110,28 @@ def test_a_chain_of_a_million_nodes_spans_tasks(spark):
     pieces = paths.contracted(tree, F.lit(False))
     parts = pieces.select(F.input_file_name().alias("f"), "piece").distinct().collect()
     assert len({p["f"] for p in parts}) > 1 and pieces.where("open").count() > n / 2
+
+
+def test_a_task_holds_a_piece_whatever_the_rows():
+    """Contracting half a million nodes of one partition takes no more memory than a piece does, and no more than 32 MB."""
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    def batches(n, size=10_000):
+        for at in range(0, n, size):
+            node = np.arange(at, min(at + size, n))
+            up = pa.array(node - 1, mask=node == 0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(node), np.int64)), pa.array(node), up, pa.array(np.ones(len(node))), pa.array(np.zeros(len(node), bool))], ["root_id", "node_id", "up", "length", "stop"])
+
+    peaks = []
+    for n in (70_000, 500_000):
+        tracemalloc.start()
+        rows, far = 0, 0.0
+        for out in paths._contract(batches(n)):
+            rows, far = rows + len(out), far + out.column("far").to_numpy().sum()
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+        assert rows == n and far >= n - 1
+    assert peaks[1] < 32e6 and peaks[1] < 1.5 * peaks[0]
