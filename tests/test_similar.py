@@ -1,5 +1,6 @@
 """Similar profiles, inverted splines, welded meshes and keyed tables."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -227,3 +228,53 @@ def test_all_pairs_that_share_a_partner_and_no_others(spark):
         assert all(r["cosine"] == pytest.approx(want[r["a"], r["b"]]) for r in got)
     assert want["oppose", "zero"] == 0
     assert partners.cosine_similarity(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("alike, many", [(1024, 18), (4, 90)])
+def test_equal_profiles_go_as_one_and_all_their_pairs_come(spark, monkeypatch, tmp_path, alike, many):
+    """Six profiles of 20 neurons each and one alone, whose partner none other has: rows shipped follow the profiles, pairs the neurons. A profile of many neurons goes in parts."""
+    shipped = []
+    frame = type(spark.range(0))
+    with_partitions = frame.repartition
+
+    def counted(self, n, *cols):
+        if "asks" in self.columns:
+            shipped.append(self.count())
+        return with_partitions(self, n, *cols)
+
+    monkeypatch.setattr(frame, "repartition", counted)
+    monkeypatch.setattr(partners, "ALIKE", alike, raising=False)
+    rng = random.Random(6)
+    kinds = [{p: float(rng.randrange(1, 6)) for p in rng.sample(range(8), 4 + k % 3)} | {50: 1.0} for k in range(5)] + [{70: 2.0}]
+    names = [(f"n{rng.random():.6f}{k}", kind) for k, kind in enumerate(kinds) for _ in range(20)]
+    rows = [(name, p, w) for name, kind in names for p, w in kind.items()] + [("alone", 90, 1.0)]
+    df = spark.createDataFrame(rows, "query string, partner long, weight double").repartition(3)
+    vectors = defaultdict(dict)
+    for q, p, w in rows:
+        vectors[q][p] = w
+    for least in (None, 0.9):
+        want = {k: v for k, v in brute_pairs(rows, least or -1).items() if vectors[k[0]].keys() & vectors[k[1]].keys()}
+        got = (partners.cosine_similarity(df, block_rows=41) if least is None else partners.similar_profiles(df.withColumnRenamed("weight", "w"), least, 41)).collect()
+        assert len(got) == len(want) and {(r["a"], r["b"]) for r in got} == set(want) and len(want) >= 6 * 190
+        assert all(r["cosine"] == pytest.approx(want[r["a"], r["b"]]) for r in got)
+    assert all(n <= many for n in shipped) and len(shipped) == 2
+
+
+def test_rows_of_a_summary_may_repeat_and_what_is_read_twice_is_deleted(spark, monkeypatch):
+    stored, left = partners.stored, []
+
+    def kept_at(df, name):
+        table = stored(df, name)
+        left.append((name, os.path.dirname(table.inputFiles()[0].removeprefix("file:").replace("///", "/"))))
+        return table
+
+    monkeypatch.setattr(partners, "stored", kept_at)
+    rows = [(q, (q * 7 + i) % 11, 1) for q in range(30) for i in range(9) for _ in range(1 + i % 3)]
+    df = spark.createDataFrame(rows, "query long, partner long, weight int")
+    once = df.groupBy("query", "partner").agg(F.sum("weight").alias("weight"))
+    groups = spark.createDataFrame([(p, p % 4 if p else None) for p in range(11)], "partner long, group long")
+    got = {(r["a"], r["b"]): r["cosine"] for r in partners.cosine_similarity(df, groups).collect()}
+    want = {(r["a"], r["b"]): r["cosine"] for r in partners.cosine_similarity(once, groups).collect()}
+    assert got == want and len(got) == 435
+    kept = Counter(name for name, folder in left if os.path.exists(folder))
+    assert set(kept) == {"profiles"} and len(left) > kept["profiles"]
