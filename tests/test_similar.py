@@ -5,6 +5,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -278,3 +279,49 @@ def test_rows_of_a_summary_may_repeat_and_what_is_read_twice_is_deleted(spark, m
     assert got == want and len(got) == 435
     kept = Counter(name for name, folder in left if os.path.exists(folder))
     assert set(kept) == {"profiles"} and len(left) > kept["profiles"]
+
+
+@pytest.mark.parametrize("neurons, profiles, most", [(1500, 1500, {"a": 0.2, "b": 0.4, "cosine": 3.0}), (1500, 30, {"a": 0.2, "b": 0.4, "cosine": 0.4})])
+def test_pairs_come_in_an_order_whose_parquet_is_small(spark, tmp_path, neurons, profiles, most):
+    """Bytes a pair of each column, of neurons that all differ and of equal ones; all pairs are there, with Spark's rounding."""
+    rng = np.random.default_rng(7)
+    kinds = rng.poisson(25, (profiles, 24)) + 1
+    rows = [(q * 7919 % 1000003, p, int(w)) for q in range(neurons) for p, w in enumerate(kinds[q % profiles])]
+    df = spark.createDataFrame(rows, "query long, partner long, weight long")
+    partners.cosine_similarity(df, digits=6).coalesce(1).write.parquet(str(tmp_path / "pairs"))
+    size, n = Counter(), 0
+    for name in (tmp_path / "pairs").glob("*.parquet"):
+        meta = pq.ParquetFile(name).metadata
+        for group in map(meta.row_group, range(meta.num_row_groups)):
+            n += group.num_rows
+            for c in map(group.column, range(3)):
+                size[c.path_in_schema] += c.total_compressed_size
+    assert n == neurons * (neurons - 1) // 2
+    assert all(size[c] <= most[c] * n for c in most), {c: size[c] / n for c in most}
+    got = pq.read_table(tmp_path / "pairs").to_pandas()
+    assert (got["a"] < got["b"]).all() and not got.duplicated(["a", "b"]).any()
+    plain = partners.cosine_similarity(df).withColumn("cosine", F.round("cosine", 6)).toPandas()
+    assert got.sort_values(["a", "b"]).reset_index(drop=True).equals(plain.sort_values(["a", "b"]).reset_index(drop=True))
+
+
+def test_rounding_is_that_of_spark(spark):
+    rng = np.random.default_rng(3)
+    half = (rng.integers(0, 10**6, 2000) + 0.5) / 10**6
+    values = np.concatenate([rng.uniform(-1, 1, 2000), half, -half, np.nextafter(half, 0), np.nextafter(half, 2), [0.0, -1e-9, 1e-9, 1.0, -1.0, 5e-7, -5e-7]])
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
+    want = np.array([r[0] for r in df.select(F.round("v", 6), "i").orderBy("i").collect()])
+    assert np.array_equal(partners._rounded(values, 6), want) and np.isnan(partners._rounded(np.array([np.nan]), 6)).all()
+
+
+@pytest.mark.parametrize("rest", [4, 30, 4096])
+def test_rectangles_hold_each_pair_once(monkeypatch, rest):
+    monkeypatch.setattr(partners, "REST", rest)
+    rng = np.random.default_rng(rest)
+    for one, other in ((40, 60), (1, 90), (70, 1), (0, 5), (3, 3)):
+        ranks = rng.permutation(one + other)
+        for a, b in ((np.sort(ranks[:one]), np.sort(ranks[one:])), (np.sort(ranks[:one]), np.arange(one + other)), (np.arange(other), np.arange(other))):
+            met = Counter()
+            for x, y, order in partners._rectangles(a, b):
+                assert x[-1] < y[0] if order > 0 else y[-1] < x[0] if order else len(x) * len(y) <= rest
+                met.update((int(i), int(j)) for i in x for j in y)
+            assert met == Counter((int(i), int(j)) for i in a for j in b)
